@@ -33,8 +33,9 @@ def wind_speed(u: Column, v: Column) -> Column:
 
 
 def wind_from(u: Column, v: Column) -> Column:
-    """Direction the wind comes from, degrees from north in [0, 360)."""
-    return F.pmod(F.degrees(F.atan2(-u, -v)) + 360.0, F.lit(360.0))
+    """Direction the wind comes from, degrees from north in [0, 360); calm air reads 180."""
+    angle = F.pmod(F.degrees(F.atan2(-u, -v)) + 360.0, F.lit(360.0))
+    return F.when((u == 0) & (v == 0), F.lit(180.0)).otherwise(angle)
 
 
 def wind_toward(u: Column, v: Column) -> Column:

@@ -19,11 +19,11 @@ def _positions(points: DataFrame, lat: str, lon: str) -> DataFrame:
 
 
 def _best(candidates: DataFrame, distance: Distance, order: list[str], payload: list[str]) -> DataFrame:
-    """Closest candidate per position; ties go to the lowest ``order`` values."""
+    """Closest candidate per position; equal to the millimetre, the lowest ``order`` values win."""
     scored = candidates.withColumn("_km", distance(F.col("_lat"), F.col("_lon"), F.col("r_lat"), F.col("r_lon")))
     return scored.groupBy("_lat", "_lon").agg(
         F.min_by(F.struct(F.col("_km").alias("km"), *[F.col(f"r_{p}").alias(p) for p in payload]),
-                 F.struct("_km", *[F.col(f"r_{o}") for o in order])).alias("_near"))
+                 F.struct(F.round("_km", 6), *[F.col(f"r_{o}") for o in order])).alias("_near"))
 
 
 def _references(refs: DataFrame, lat: str, lon: str, columns: list[str]) -> DataFrame:
@@ -73,7 +73,7 @@ def _nearest_literal(points, slim, rows, payload, order, lat, lon, distance_name
     packed = slim.sparkSession.createDataFrame(rows, slim.schema).agg(
         F.collect_list(F.struct(*slim.columns)).alias("refs"))
     scored = F.array_min(F.transform("_refs", lambda r: F.struct(
-        distance(F.col(lat), F.col(lon), r["r_lat"], r["r_lon"]).alias("km"),
+        F.round(distance(F.col(lat), F.col(lon), r["r_lat"], r["r_lon"]), 6).alias("km"),
         *[r[f"r_{o}"].alias(f"o{i}") for i, o in enumerate(order)],
         *[r[f"r_{p}"].alias(p) for p in payload])))
     located = F.col(lat).isNotNull() & F.col(lon).isNotNull()

@@ -72,15 +72,33 @@ def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[P
     return hits.groupBy(*by).agg(F.array(*picks).alias("q"), F.max("_n").alias("n"))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    """One row per group with a column ``<column>_p<percent>`` per column and probability.
+# Groups up to this size are sorted whole; larger ones go through the bins.
+SMALL_GROUP_ROWS = 50_000
 
-    Groups whose columns are all null do not appear; with no ``by`` there is always one row.
-    """
+
+def _by_bins(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
     long = unpivot(df, by, columns, "_name", "_value")
     found = long_quantiles(long, [*by, "_name"], "_value", [interpolated(p) for p in probs])
-    wide = []
-    for c in columns:
-        for i, p in enumerate(probs):
-            wide.append(F.max(F.when(F.col("_name") == c, F.col("q")[i])).alias(column_name(c, p)))
+    wide = [F.max(F.when(F.col("_name") == c, F.col("q")[i])).alias(column_name(c, p))
+            for c in columns for i, p in enumerate(probs)]
     return found.groupBy(*by).agg(*wide)
+
+
+def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float],
+                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+    """One row per group with a column ``<column>_p<percent>`` per column and probability.
+
+    Groups are counted first.  Small ones use the built-in aggregate; large ones (and
+    rows with a null key) use the bins.  With no ``by`` there is always one row.
+    """
+    slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    if not by:
+        return _by_bins(slim, by, columns, probs)
+    sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    sized = slim.join(sizes, by, "left")
+    small = F.col("_rows") <= small_group_rows
+    values = {c: F.percentile(F.when(~F.isnan(c), F.col(c)), F.array(*[F.lit(float(p)) for p in probs])) for c in columns}
+    direct = sized.filter(small).groupBy(*by).agg(*[v.alias(c) for c, v in values.items()]).select(
+        *by, *[F.col(c)[i].alias(column_name(c, p)) for c in columns for i, p in enumerate(probs)])
+    binned = _by_bins(sized.filter(~F.coalesce(small, F.lit(False))), by, columns, probs)
+    return direct.unionByName(binned)
