@@ -92,32 +92,3 @@ def pm25_index(pm25: Column) -> Column:
 def pm25_category(pm25: Column) -> Column:
     """Category of the unrounded PM2.5 sub-index; "Unknown" when invalid."""
     return category(subindex(pm25, "pm25"))
-
-
-def overall(columns: dict[str, Column], table: str = "domain", gap: str = "continuous",
-            min_pollutants: int = 0) -> Column:
-    """Struct ``(aqi, dominant_pollutant, category, color, health_advisory, n_pollutants)``.
-
-    The index is the largest sub-index (one decimal); the first pollutant wins a
-    tie.  ``min_pollutants=3`` applies the official rule: at least that many
-    pollutants, one of them particulate matter, or no index at all.
-    """
-    parts = {name: F.bround(subindex(value, name, table, gap), 1) for name, value in columns.items()}
-    values = list(parts.values())
-    best = F.greatest(*values) if len(values) > 1 else values[0]
-    count = sum((v.isNotNull().cast("int") for v in values[1:]), values[0].isNotNull().cast("int"))
-    if min_pollutants:
-        matter = [parts[p].isNotNull() for p in ("pm25", "pm10") if p in parts]
-        allowed = count >= min_pollutants
-        if matter:
-            allowed = allowed & (matter[0] | matter[-1])
-        best = F.when(allowed, best)
-    dominant = F.when(best.isNull(), F.lit(None).cast("string"))
-    for name, value in parts.items():
-        dominant = dominant.when(value == best, F.lit(name.upper()))
-    return F.struct(
-        best.alias("aqi"), dominant.alias("dominant_pollutant"), category(best).alias("category"),
-        color_of_index(best).alias("color"),
-        F.when(best.isNull(), F.lit("No measurements provided.")).otherwise(advisory(best)).alias("health_advisory"),
-        count.alias("n_pollutants"),
-    )

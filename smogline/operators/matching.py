@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from smogline import constants as K
-from smogline.functions import clock, geo
+from smogline.functions import aqi, clock, geo
 from smogline.functions.geo import ProximityCells
 from smogline.operators import nearest, series
-from smogline.operators.common import count_if, present
+from smogline.operators.common import count_if, present, with_row_of
 
 
 def distinct_stations(df: DataFrame, key="station_id", lat="latitude", lon="longitude",
@@ -99,7 +99,6 @@ def matching_sweep(pixels: DataFrame, ground: DataFrame, configs=SWEEP, record_i
         F.lit(n).alias("config"), F.lit(r).alias("spatial_radius_km"), F.lit(w).alias("time_window_min"),
         F.col(f"m_{n}").alias("spatial_matched"), F.col(f"_p.p_{n}").alias("collocated_pairs"))
         for n, r, w in configs])
-    from smogline.operators.common import with_row_of
     return with_row_of(matched, paired, "_p").select(F.inline(table))
 
 
@@ -212,3 +211,24 @@ def satellite_carry_forward(times: DataFrame, composites: DataFrame, keys: list[
                               list(times_id))
     age = (clock.micros(F.col(times_ts)) - clock.micros(F.col("matched_ts"))) / 3600e6
     return joined.withColumn("satellite_age_hours", age).drop("matched_ts")
+
+
+def station_latest(readings: DataFrame, stations: DataFrame, value: str, tie: list[str], ts="timestamp_utc",
+                   key="station_id") -> DataFrame:
+    """Every station with its newest reading, index, color and status."""
+    newest = readings.groupBy(key).agg(F.max_by(F.struct(F.col(value).alias("pm25"), F.col(ts).alias("last_updated")),
+                                                F.struct(ts, *tie)).alias("_l"))
+    index = F.col("aqi")
+    return (stations.join(newest, key, "left").select(*stations.columns, "_l.pm25", "_l.last_updated")
+            .withColumn("aqi", aqi.pm25_index(F.col("pm25")))
+            .withColumns({"category": aqi.category(index), "color": aqi.color_of_index(index),
+                          "status": F.when(F.col("last_updated").isNull(), "NO DATA").otherwise("ACTIVE")}))
+
+
+def recent_history(readings: DataFrame, value: str, hours: int = 24, ts="timestamp_utc", key="station_id") -> DataFrame:
+    """Readings of each station's last hours (6 to 168) with index and category."""
+    if not 6 <= hours <= 168:
+        raise ValueError("hours must lie between 6 and 168")
+    last = readings.groupBy(key).agg(F.max(ts).alias("_last"))
+    recent = readings.join(last, key).filter(F.col(ts) > F.col("_last") - F.expr(f"INTERVAL {hours} HOURS")).drop("_last")
+    return recent.withColumns({"aqi": aqi.pm25_index(F.col(value)), "category": aqi.pm25_category(F.col(value))})

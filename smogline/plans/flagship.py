@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from smogline import constants as K
-from smogline.functions import aqi, clock
-from smogline.operators import cleaning, series
+from smogline.functions import clock
+from smogline.operators import cleaning, indices, series
 from smogline.plans import sqltext as S
 from smogline.plans.registry import query
 
@@ -19,8 +19,7 @@ def hourly_index(long: DataFrame, flat_run: int = 4) -> DataFrame:
     wide = cleaning.pivot_long_to_wide(hourly, ["station_id", "timestamp_utc"])
     bounded = cleaning.mask_physical_bounds(wide)
     masked = series.flatline_mask(bounded, OBSERVED, run=flat_run)
-    overall = aqi.overall({p: F.col(p) for p in K.POLLUTANTS})
-    return masked.withColumn("_o", overall).select("*", "_o.aqi", "_o.dominant_pollutant", "_o.category").drop("_o")
+    return indices.with_overall(masked, K.POLLUTANTS).drop("color", "health_advisory", "n_pollutants")
 
 
 _MEANS = ", ".join(f"avg(CASE WHEN parameter = '{p}' THEN value END) AS {p}" for p in OBSERVED)

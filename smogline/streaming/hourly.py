@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from smogline import constants as K
-from smogline.functions import aqi
 from smogline.operators.cleaning import mask_physical_bounds
+from smogline.operators.indices import with_overall
 
 OBSERVED = K.POLLUTANTS
 
@@ -40,11 +40,9 @@ def hourly_indices(readings: DataFrame, delay: str = "2 hours", pollutants=OBSER
         *[F.avg(F.when(F.col("parameter") == p, F.col("value"))).alias(p) for p in pollutants],
         F.count(F.lit(1)).alias("readings"))
     masked = mask_physical_bounds(hourly)
-    overall = aqi.overall({p: F.col(p) for p in pollutants})
-    return masked.withColumn("_o", overall).select(
+    return with_overall(masked, list(pollutants)).select(
         F.col("w.start").cast("timestamp_ntz").alias("hour"), "station_id", "readings", *pollutants,
-        F.col("_o.aqi").alias("aqi"), F.col("_o.dominant_pollutant").alias("dominant_pollutant"),
-        F.col("_o.category").alias("category"))
+        "aqi", "dominant_pollutant", "category")
 
 
 def run_hourly(readings: DataFrame, out: str, checkpoint: str, **options) -> None:
