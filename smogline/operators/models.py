@@ -10,9 +10,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, functions as F
 
 from smogline import constants as K
-from smogline.operators.features import FeatureSet, align
+from smogline.operators.common import with_row_of
+from smogline.operators.features import FeatureSet
 from smogline.operators.profile import persistence_baseline, regression_metrics
 from smogline.operators.splits import group_kfold
+from smogline.session import materialise
 
 
 def estimators(rf_trees: int = 100, rf_depth: int = 12, gbt_rounds: int = 300, gbt_step: float = 0.05,
@@ -53,7 +55,7 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str], low: float
 def evaluate(train: DataFrame, test: DataFrame, features: list[str], target: str, estimator, name: str,
              folds: int = 5) -> DataFrame:
     """Station-grouped cross-validation on the training rows plus holdout scores: one row."""
-    dealt = group_kfold(train, "station_id", folds)
+    dealt = materialise(group_kfold(train, "station_id", folds), "folds")
     scores = []
     for k in range(folds):
         model = fit(dealt.filter(F.col("fold") != k), features, target, estimator)
@@ -63,18 +65,17 @@ def evaluate(train: DataFrame, test: DataFrame, features: list[str], target: str
         F.avg("mae").alias("cv_mae"), F.avg("rmse").alias("cv_rmse"), F.avg("r2").alias("cv_r2"))
     model = fit(train, features, target, estimator)
     holdout = regression_metrics(predict(model, test, features, None, None), target, "prediction")
-    return holdout.join(cv).select(F.lit(name).alias("model"), F.lit(len(features)).alias("features"),
-                                   F.col("n").alias("test_rows"), "mae", "rmse", "r2", "cv_mae", "cv_rmse", "cv_r2")
+    return with_row_of(holdout, cv, "_cv").select(F.lit(name).alias("model"), F.lit(len(features)).alias("features"),
+                                                  F.col("n").alias("test_rows"), "mae", "rmse", "r2", "_cv.*")
 
 
 def train_baselines(train: DataFrame, test: DataFrame, group: str = "full", target: str = K.TARGET, folds: int = 5,
                     **sizes) -> DataFrame:
     """Scores of the three baselines; the one with the smallest holdout MAE is marked."""
     fs = FeatureSet(group, keep=["station_id", target]).fit(train)
-    x_train, x_test = fs.transform(train).cache(), fs.transform(test).cache()
+    x_train, x_test = materialise(fs.transform(train), "train"), materialise(fs.transform(test), "test")
     rows = [evaluate(x_train, x_test, fs.names, target, e, n, folds) for n, e in estimators(**sizes).items()]
     table = reduce(DataFrame.unionByName, rows)
-    from smogline.operators.common import with_row_of
     best = table.agg(F.min_by("model", "mae").alias("model"))
     return with_row_of(table, best).withColumn("is_best", F.col("model") == F.col("_stats.model")).drop("_stats")
 
@@ -85,7 +86,7 @@ def train_horizons(train: DataFrame, test: DataFrame, lag_columns: list[str], gr
     """One boosted model per horizon on features and lags, against persistence."""
     leads = [f"target_lead_{h}h" for h in horizons]
     fs = FeatureSet(group, keep=[target, *leads, *lag_columns]).fit(train)
-    x_train, x_test = fs.transform(train).cache(), fs.transform(test).cache()
+    x_train, x_test = materialise(fs.transform(train), "train"), materialise(fs.transform(test), "test")
     features = [*fs.names, *lag_columns]
     rows = []
     for h, lead in zip(horizons, leads):
@@ -95,7 +96,7 @@ def train_horizons(train: DataFrame, test: DataFrame, lag_columns: list[str], gr
         base = persistence_baseline(x_test, target, [h]).select(F.col("mae").alias("persistence_mae"))
         gain = F.when(F.col("persistence_mae") > 0,
                       (F.col("persistence_mae") - F.col("mae")) / F.col("persistence_mae") * 100.0).otherwise(0.0)
-        rows.append(scores.join(base).select(
+        rows.append(with_row_of(scores, base, "_base").select("*", "_base.persistence_mae").select(
             F.lit(h).alias("horizon_hours"), "n", "persistence_mae", "mae", "rmse", "r2",
             (F.col("mae") < F.col("persistence_mae")).alias("beats_persistence"), gain.alias("gain_pct")))
     return reduce(DataFrame.unionByName, rows)
@@ -108,12 +109,12 @@ def ablation(train: DataFrame, test: DataFrame, target: str = K.TARGET, groups=(
     for position, group in enumerate(groups):
         fs = FeatureSet(group, keep=[target]).fit(train)
         gbt = GBTRegressor(labelCol="label", maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=0.8, seed=42)
-        model = fit(fs.transform(train), fs.names, target, gbt)
-        scores = regression_metrics(predict(model, fs.transform(test), fs.names, None, None), target, "prediction")
+        x_train, x_test = materialise(fs.transform(train), group), materialise(fs.transform(test), group)
+        model = fit(x_train, fs.names, target, gbt)
+        scores = regression_metrics(predict(model, x_test, fs.names, None, None), target, "prediction")
         rows.append(scores.select(F.lit(position).alias("position"), F.lit(group).alias("feature_group"),
                                   F.lit(len(fs.names)).alias("features"), "n", "mae", "rmse", "r2"))
     table = reduce(DataFrame.unionByName, rows)
-    from smogline.operators.common import with_row_of
     first = table.agg(F.min_by("mae", "position").alias("mae"))
     return (with_row_of(table, first)
             .withColumn("mae_gain_pct", F.when(F.col("_stats.mae") > 0, (F.col("_stats.mae") - F.col("mae"))
@@ -132,7 +133,3 @@ def forecast_defaults(df: DataFrame, prediction: str = "prediction", target: str
 def batch_score(model: PipelineModel, features: FeatureSet, df: DataFrame) -> DataFrame:
     """Engineer, align, predict and clip a whole table."""
     return predict(model, features.transform(df), features.names)
-
-
-__all__ = ["ablation", "align", "batch_score", "estimators", "evaluate", "fit", "forecast_defaults", "predict",
-           "train_baselines", "train_horizons"]

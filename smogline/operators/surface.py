@@ -229,6 +229,34 @@ def regression_kriging(stations: DataFrame, grid: Grid, by: list[str], grid_tren
     return placed.withColumn("value", F.greatest(F.lit(0.0), trend + F.col("correction"))).drop("correction")
 
 
+def _loo_solve(pdf: pd.DataFrame, by: list[str], station: str, length_km: float, nugget: float) -> pd.DataFrame:
+    """Kriged value of every station of one group from the others, from one inverse."""
+    lat = pdf["latitude"].to_numpy(float)
+    scale = np.array([K.KM_PER_DEGREE, K.KM_PER_DEGREE * np.cos(np.radians(lat.mean()))])
+    xy = pdf[["latitude", "longitude"]].to_numpy(float) * scale
+    y = pdf["observed"].to_numpy(float)
+    n = len(y)
+    trend = (y.sum() - y) / max(n - 1, 1)          # mean of the others
+    gap = np.linalg.norm(xy[:, None, :] - xy[None, :, :], axis=2)
+    cov = (1.0 - nugget) * np.exp(-gap / length_km) + np.eye(n) * nugget
+    inverse = np.linalg.pinv(cov)
+    # leaving row i out: its weights on the others are -inverse[i, j] / inverse[i, i]
+    weights = -inverse / np.diag(inverse)[:, None]
+    np.fill_diagonal(weights, 0.0)
+    estimate = weights @ y + (1.0 - weights.sum(axis=1)) * trend
+    return pd.DataFrame({**{b: pdf[b] for b in by}, station: pdf[station], "observed": y, "estimate": estimate})[
+        [*by, station, "observed", "estimate"]].iloc[: n if n > 1 else 0]
+
+
+def kriging_leave_one_out(known: DataFrame, value: str, by: list[str], station="station_id", length_km: float = 40.0,
+                          nugget: float = 0.1) -> DataFrame:
+    """Each station's value kriged from the other stations of its group around their mean."""
+    kinds = dict(known.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, station]) + ", observed double, estimate double"
+    slim = known.select(*by, station, "latitude", "longitude", F.col(value).alias("observed"))
+    return slim.groupBy(*by).applyInPandas(lambda pdf: _loo_solve(pdf, list(by), station, length_km, nugget), schema)
+
+
 def surface_without_stations(grid_table: DataFrame, trend: Column) -> DataFrame:
     """The surface when no station reports: the trend itself with a fixed error of 15."""
     return grid_table.withColumns({"value": trend, "kriging_se": F.lit(15.0)})

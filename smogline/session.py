@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job relies on.  UTC keeps the timestamp arithmetic
 # free of daylight-saving jumps; the adaptive settings re-plan joins whose key
@@ -56,3 +56,13 @@ def work_folder(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="smogline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that is read many times to the shared folder and read it back.
+
+    Unlike a cached block, the files outlive a lost executor.
+    """
+    path = work_folder(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
