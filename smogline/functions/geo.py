@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from math import sin
-
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from smogline.constants import EARTH_RADIUS_KM, KM_PER_DEGREE
 
@@ -39,41 +37,43 @@ def location_id(lat: Column, lon: Column, prefix: str = "cell") -> Column:
 
 
 class ProximityCells:
-    """Cell keys such that two points within ``radius_km`` always share a key
-    once one side is replicated into its neighbourhood.
+    """Cell keys such that two points within the radius always share a key once
+    one side is replicated into its neighbourhood.
 
     Latitude is cut into bands at least one radius high.  Longitude is cut, per
     band, into cells wide enough for that band's latitude, counted around the
-    globe so that the date line needs no special case.
+    globe so that the date line needs no special case.  The radius may be a
+    column, for searches whose reach differs by row.
     """
 
-    def __init__(self, radius_km: float):
-        self.radius_km = radius_km
-        self.band_deg = radius_km / (KM_PER_DEGREE * 0.99)
-        self.half_chord = sin(min(radius_km / (2 * EARTH_RADIUS_KM), 1.5))
+    _COLUMNS = 100_000_000      # more cells than any band has
 
-    def band(self, lat: Column) -> Column:
-        return F.floor(lat / self.band_deg).cast("int")
+    def __init__(self, radius_km: float | Column):
+        self.radius = radius_km if isinstance(radius_km, Column) else F.lit(float(radius_km))
+        self.band_deg = self.radius / (KM_PER_DEGREE * 0.99)
+        self.half_chord = F.sin(F.least(self.radius / (2 * EARTH_RADIUS_KM), F.lit(1.5)))
 
     def _cells_in(self, band: Column) -> Column:
         edge = F.greatest(F.abs(band), F.abs(band + 1)) * self.band_deg + self.band_deg
         shrink = F.cos(F.radians(F.least(edge, F.lit(89.9))))
-        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(self.half_chord) / shrink))) * 1.01
-        return F.greatest(F.floor(360.0 / width), F.lit(1)).cast("int")
+        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), self.half_chord / shrink))) * 1.01
+        return F.greatest(F.floor(360.0 / width), F.lit(1))
 
-    def _column(self, lon: Column, band: Column) -> Column:
-        cells = self._cells_in(band)
-        return F.pmod(F.floor((lon + 180.0) / (360.0 / cells)).cast("int"), cells)
+    @staticmethod
+    def _column(lon: Column, cells: Column) -> Column:
+        return F.pmod(F.floor((lon + 180.0) * cells / 360.0), cells)
 
     def home(self, lat: Column, lon: Column) -> Column:
-        band = self.band(lat)
-        return F.struct(band.alias("band"), self._column(lon, band).alias("col"))
-
-    def neighbourhood(self, lat: Column, lon: Column) -> Column:
-        """Array of the distinct cells whose home points may lie within the radius."""
-        def around(band):
-            cells, column = self._cells_in(band), self._column(lon, band)
-            return [F.struct(band.alias("band"), F.pmod(column + step, cells).alias("col")) for step in (-1, 0, 1)]
-        band = self.band(lat)
-        members = [c for shift in (-1, 0, 1) for c in around(band + shift)]
-        return F.array_distinct(F.array(*members))
+        band = F.floor(lat / self.band_deg)
+        return band * self._COLUMNS + self._column(lon, self._cells_in(band))
+
+    def spread(self, df: DataFrame, lat: str, lon: str, name: str = "_cell") -> DataFrame:
+        """One row per distinct cell whose home points may lie within the radius."""
+        steps = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c).alias("c")) for b in (-1, 0, 1) for c in (0, 1, -1)])
+        around = df.withColumn("_s", F.explode(steps)).withColumn("_band", F.floor(F.col(lat) / self.band_deg) + F.col("_s.b"))
+        counted = around.withColumn("_cells", self._cells_in(F.col("_band")))
+        # a band of one or two cells has no separate neighbours on both sides
+        step = F.col("_s.c")
+        distinct = counted.filter((step == 0) | ((step == 1) & (F.col("_cells") > 1)) | ((step == -1) & (F.col("_cells") > 2)))
+        column = F.pmod(self._column(F.col(lon), F.col("_cells")) + step, F.col("_cells"))
+        return distinct.withColumn(name, F.col("_band") * self._COLUMNS + column).drop("_s", "_band", "_cells")

@@ -32,8 +32,7 @@ def haversine_matrix(a: DataFrame, b: DataFrame, radius_km: float, a_id: str, b_
     cells = ProximityCells(radius_km)
     left = a.select(F.col(a_id), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo")).withColumn(
         "_cell", cells.home(F.col("_la"), F.col("_lo")))
-    right = b.select(F.col(b_id), F.col("latitude").alias("_lb"), F.col("longitude").alias("_lp")).withColumn(
-        "_cell", F.explode(cells.neighbourhood(F.col("_lb"), F.col("_lp"))))
+    right = cells.spread(b.select(F.col(b_id), F.col("latitude").alias("_lb"), F.col("longitude").alias("_lp")), "_lb", "_lp")
     km = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
     return (left.join(right, "_cell").withColumn("distance_km", km)
             .filter(F.col("distance_km") <= radius_km).select(a_id, b_id, "distance_km"))
@@ -175,7 +174,7 @@ def proximity_aggregate(grid: DataFrame, features: DataFrame, grid_id: str, radi
     spots = features.groupBy(F.col("latitude").alias("_fa"), F.col("longitude").alias("_fo")).agg(
         F.sum("length_km").alias("length_km"), F.sum("area_km2").alias("area_km2"),
         F.count(F.lit(1)).alias("features"))
-    around = spots.withColumn("_cell", F.explode(cells.neighbourhood(F.col("_fa"), F.col("_fo"))))
+    around = cells.spread(spots, "_fa", "_fo")
     km = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_fa"), F.col("_fo"))
     near = home.join(around, "_cell").withColumn("_km", km).filter(F.col("_km") <= radius_km)
     disc = 3.141592653589793 * radius_km * radius_km

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from smogline.functions.geo import ProximityCells, flat_km, haversine_km
-from smogline.operators.common import SMALL_TABLE_ROWS, null_safe_join, small_rows
+from smogline.operators.common import null_safe_join, small_rows
+
+# Up to this many references a linear search per point beats the cell joins.
+LITERAL_REFERENCES = 64
 
 Distance = Callable[[Column, Column, Column, Column], Column]
 
@@ -42,8 +45,7 @@ def nearest_within(points: DataFrame, refs: DataFrame, radius_km: float, payload
     """
     cells = ProximityCells(radius_km)
     homes = _positions(points, lat, lon).withColumn("_cell", cells.home(F.col("_lat"), F.col("_lon")))
-    around = _references(refs, ref_lat, ref_lon, payload + order).withColumn(
-        "_cell", F.explode(cells.neighbourhood(F.col("r_lat"), F.col("r_lon"))))
+    around = cells.spread(_references(refs, ref_lat, ref_lon, payload + order), "r_lat", "r_lon")
     found = _best(homes.join(around, "_cell"), distance, order, payload).filter(F.col("_near.km") <= radius_km)
     keyed = points.withColumns({"_lat": F.col(lat), "_lon": F.col(lon)})
     return (keyed.join(found, ["_lat", "_lon"], "left")
@@ -54,7 +56,7 @@ def nearest_within(points: DataFrame, refs: DataFrame, radius_km: float, payload
 def nearest_any(points: DataFrame, refs: DataFrame, payload: list[str], order: list[str],
                 lat="latitude", lon="longitude", ref_lat="latitude", ref_lon="longitude",
                 distance_name: str = "distance_km", distance: Distance = flat_km,
-                small_limit: int = SMALL_TABLE_ROWS) -> DataFrame:
+                small_limit: int = LITERAL_REFERENCES) -> DataFrame:
     """Nearest reference at any distance.
 
     A reference table proven small becomes an array literal and the search is a
@@ -82,31 +84,38 @@ def _nearest_literal(points, slim, rows, payload, order, lat, lon, distance_name
             .drop("_refs", "_near"))
 
 
-# Each level's cells are four times wider: one level above the first occupied
-# neighbourhood the true nearest reference is certainly inside the search ring.
-LEVEL_KM = [5.0 * 4 ** i for i in range(7)]
+# Search radii double from level to level.
+LEVELS = 13
+SMALLEST_KM = 5.0
+
+
+def _search_level(start: Column, lat: Column) -> Column:
+    """Level whose ring certainly holds the nearest reference.
+
+    A reference in the marked neighbourhood of a cell is at most two bands and two
+    columns away.  Up to 45 degrees and 640 km that is less than four radii, up to
+    75 degrees and 320 km less than eight; elsewhere the whole globe is searched.
+    """
+    climb = (F.when((F.abs(lat) <= 45) & (start <= 7), 2).when((F.abs(lat) <= 75) & (start <= 6), 3).otherwise(LEVELS))
+    return F.least(start + climb, F.lit(LEVELS - 1))
+
+
+def _levels(df: DataFrame) -> DataFrame:
+    return df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
 
 
 def _nearest_growing(points, slim, payload, order, lat, lon, distance_name, distance):
-    levels = [ProximityCells(km) for km in LEVEL_KM]
-    ring = F.array(*[
-        F.struct(F.lit(i).alias("level"), F.transform(c.neighbourhood(F.col("r_lat"), F.col("r_lon")),
-                                                      lambda x: x).alias("cells"))
-        for i, c in enumerate(levels)])
-    spread = (slim.withColumn("_ring", F.explode(ring))
-              .withColumn("_cell", F.explode("_ring.cells")).withColumn("_level", F.col("_ring.level")).drop("_ring"))
-    occupied = spread.select("_level", "_cell").distinct()
-    home = F.array(*[F.struct(F.lit(i).alias("level"), c.home(F.col("_lat"), F.col("_lon")).alias("cell"))
-                     for i, c in enumerate(levels)])
-    homes = (_positions(points, lat, lon).withColumn("_h", F.explode(home))
-             .select("_lat", "_lon", F.col("_h.level").alias("_level"), F.col("_h.cell").alias("_cell")))
-    start = (homes.join(occupied, ["_level", "_cell"], "left_semi")
+    cells = ProximityCells(F.lit(SMALLEST_KM) * F.pow(F.lit(2.0), F.col("_level")))
+    leveled = _levels(slim).withColumn("_cell", cells.home(F.col("r_lat"), F.col("r_lon")))
+    # one spot per occupied cell stands for its cell when neighbourhoods are marked
+    spots = leveled.groupBy("_level", "_cell").agg(F.min_by(F.struct("r_lat", "r_lon"), F.struct("r_lat", "r_lon")).alias("_spot"))
+    occupied = cells.spread(spots.select("_level", "_spot.r_lat", "_spot.r_lon"), "r_lat", "r_lon").distinct()
+    homes = _levels(_positions(points, lat, lon)).withColumn("_cell", cells.home(F.col("_lat"), F.col("_lon")))
+    start = (homes.join(occupied.select("_level", "_cell"), ["_level", "_cell"], "left_semi")
              .groupBy("_lat", "_lon").agg(F.min("_level").alias("_start")))
-    # two levels up keeps a margin for the cells' uneven shape
-    search = (homes.join(start, ["_lat", "_lon"])
-              .filter(F.col("_level") == F.least(F.col("_start") + 2, F.lit(len(levels) - 1))))
-    found = _best(search.join(spread, ["_level", "_cell"]), distance, order, payload)
+    search = cells.spread(start.withColumn("_level", _search_level(F.col("_start"), F.col("_lat"))), "_lat", "_lon")
+    found = _best(search.join(leveled, ["_level", "_cell"]), distance, order, payload)
     keyed = points.withColumns({"_lat": F.col(lat), "_lon": F.col(lon)})
     return (null_safe_join(keyed, found, ["_lat", "_lon"], "left")
-            .withColumns({p: F.col("_near")[p] for p in payload} | {distance_name: F.col("_near.km")})
+            .withColumns({p: F.col("_near")[p] for p in payload} | {distance_name: F.round("_near.km", 6)})
             .drop("_lat", "_lon", "_near"))
