@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from smogline.plans.views import Tables, with_views
 from smogline.session import tune
 
-DIGITS = 6
+SCALE = 1e6         # compared doubles are rounded to six decimals
 # Added before rounding so that means which end in an exact 5 do not sit on the edge
 # between two roundings, where the last bit of a sum would decide.
 NUDGE = 1.2345e-7
@@ -26,12 +26,12 @@ class Query:
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         out = self.build(Tables(tune(spark), folder))
         # floating sums depend on the order of addition in their last bits
-        return out.withColumns({c: F.round(F.col(c) + NUDGE, DIGITS) + F.lit(0.0) for c in self.doubles}) if self.doubles else out
+        return out.withColumns({c: F.floor((F.col(c) + NUDGE) * SCALE + 0.5) / SCALE for c in self.doubles}) if self.doubles else out
 
     def check_sql(self) -> str | None:
         if self.sql is None:
             return None
-        rounded = ", ".join(f"round(CAST({c} AS DOUBLE) + {NUDGE}, {DIGITS}) + 0.0::DOUBLE AS {c}" for c in self.doubles)
+        rounded = ", ".join(f"floor((CAST({c} AS DOUBLE) + {NUDGE}::DOUBLE) * {SCALE}::DOUBLE + 0.5::DOUBLE) / {SCALE}::DOUBLE AS {c}" for c in self.doubles)
         body = f"SELECT * REPLACE ({rounded}) FROM ({self.sql})" if rounded else self.sql
         return with_views(body)
 

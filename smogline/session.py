@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,11 @@ def local_session(cores: str = "8", app: str = "smogline", memory: str = "8g") -
     return spark
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="smogline-")
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder the cluster shares (``spark.checkpoint.dir``).
 
@@ -55,8 +61,7 @@ def work_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="smogline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
