@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from smogline.operators.common import null_safe_join, unpivot
+from smogline.operators.common import unpivot
 
 Position = Callable[[Column], Column]
 
@@ -39,15 +39,16 @@ def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[P
     """``by`` columns plus an array ``q`` of the values at the zero-based positions (each a
     function of the group's size) and ``n``, the number of values."""
     values = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    # + 0.0 folds the two zeros into one key
+    # + 0.0 folds the two zeros into one key; group and bin together make one value
+    # that is never null and partitions join and window alike
+    groups = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)], value_bin(F.col("_v")).alias("bin"))
     counts = (values.groupBy(*by, (F.col(value) + F.lit(0.0)).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")).withColumn("_bin", value_bin(F.col("_v"))))
-    bins = counts.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c"))
-    every = Window.partitionBy(*by)
-    ordered = every.orderBy("_bin")
-    placed = bins.select(
-        *by, "_bin", F.col("_c").alias("_in_bin"),
-        (F.sum("_c").over(ordered) - F.col("_c")).alias("_before"), F.sum("_c").over(every).alias("_n"))
+              .agg(F.count(F.lit(1)).alias("_c")).select(groups.alias("_at"), "_v", "_c"))
+    bins = counts.groupBy("_at").agg(F.sum("_c").alias("_in_bin"))
+    every = Window.partitionBy(*[F.col(f"_at.g{i}") for i in range(len(by))])
+    running = F.sum("_in_bin").over(every.orderBy("_at.bin"))
+    placed = bins.select("_at", "_in_bin", (running - F.col("_in_bin")).alias("_before"),
+                         F.sum("_in_bin").over(every).alias("_n"))
     wanted = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("long").alias("rank"))
         for i, at in enumerate(positions)
@@ -55,12 +56,12 @@ def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[P
     ])
     targets = (placed.withColumn("_w", F.filter(
         wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_in_bin"))))
-        .filter(F.size("_w") > 0).select(*by, "_bin", "_before", "_n", "_w"))
-    within = Window.partitionBy(*by, "_bin").orderBy("_v")
-    hits = (null_safe_join(counts, targets, [*by, "_bin"], "inner")
+        .filter(F.size("_w") > 0).select("_at", "_before", "_n", "_w"))
+    within = Window.partitionBy("_at").orderBy("_v")
+    hits = (counts.join(targets, "_at")
             .withColumn("_end", F.col("_before") + F.sum("_c").over(within))
             .withColumn("_start", F.col("_end") - F.col("_c"))
-            .select(*by, "_n", "_v", F.explode(F.filter(
+            .select(*[F.col(f"_at.g{i}").alias(b) for i, b in enumerate(by)], "_n", "_v", F.explode(F.filter(
                 "_w", lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_end")))).alias("_w")))
     picks = []
     for i, at in enumerate(positions):

@@ -14,13 +14,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from smogline import constants as K
 from smogline.functions import clock
-from smogline.operators.common import null_safe_join, with_row_of
+from smogline.operators.common import with_row_of
 from smogline.operators.quantiles import exact_quantiles
 
 SLICE_SECONDS = 3600
 ROWS_PER_BLOCK = 200_000
 
 
+def _sliced(df: DataFrame, keys: list[str], ts: str, slice_seconds: int) -> DataFrame:
+    """Adds ``_part``: series keys and time slice as one value.
+
+    As one struct it is never null itself, so rows without a key join like any
+    other, and window, aggregate and join all reuse the same partitioning.
+    """
+    slice_ = clock.time_chunk(F.col(ts), slice_seconds).alias("_slice")
+    return df.withColumn("_part", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], slice_))
+
+
+def _over_slices(keys: list[str]):
+    """Window over the slices of a series (a table of slices, not of rows)."""
+    series = [F.col(f"_part.k{i}") for i in range(len(keys))]
+    return (Window.partitionBy(*series) if series else Window).orderBy("_part._slice")
+
+
 def rank(df: DataFrame, keys: list[str], ts: str, tie: list[str] | None = None,
          slice_seconds: int = SLICE_SECONDS, name: str = "series_row") -> DataFrame:
     """Number the rows of each series 1, 2, 3 … in time order.
@@ -28,17 +44,13 @@ def rank(df: DataFrame, keys: list[str], ts: str, tie: list[str] | None = None,
     Slices are numbered on their own and shifted by the size of the slices
     before them, so no task holds more than one slice.
     """
-    part = [*keys, "_slice"]
-    sliced = df.withColumn("_slice", clock.time_chunk(F.col(ts), slice_seconds))
-    before = Window.orderBy("_slice") if not keys else Window.partitionBy(*keys).orderBy("_slice")
-    sizes = (sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
-             .select(*part, F.coalesce(F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, -1)),
-                                       F.lit(0)).alias("_before")))
-    inner = F.row_number().over(Window.partitionBy(*part).orderBy(ts, *(tie or [])))
-    numbered = sliced.withColumn("_inner", inner)
-    return (null_safe_join(numbered, sizes, part, "inner")
-            .withColumn(name, F.col("_before") + F.col("_inner"))
-            .drop("_slice", "_before", "_inner"))
+    sliced = _sliced(df, keys, ts, slice_seconds)
+    earlier = _over_slices(keys).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (sliced.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+             .select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(ts, *(tie or [])))
+    return (sliced.withColumn("_inner", inner).join(sizes, "_part")
+            .withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_before", "_inner"))
 
 
 def windowed(df: DataFrame, keys: list[str], ts: str, tie: list[str], before: int, after: int,
@@ -61,10 +73,7 @@ def windowed(df: DataFrame, keys: list[str], ts: str, tie: list[str], before: in
     ))
     copies = rank(df, keys, ts, tie, slice_seconds).withColumn("_own", block).withColumn("_block", F.explode(homes))
     window = Window.partitionBy(*keys, "_block").orderBy("series_row")
-    out = copies
-    for name, column in columns(window).items():
-        out = out.withColumn(name, column)
-    return out.filter(F.col("_block") == F.col("_own")).drop("_own", "_block", "series_row")
+    return copies.withColumns(columns(window)).filter(F.col("_block") == F.col("_own")).drop("_own", "_block", "series_row")
 
 
 def carry(df: DataFrame, keys: list[str], ts: str, tie: list[str], fills: dict[str, tuple[str, str]],
@@ -74,11 +83,10 @@ def carry(df: DataFrame, keys: list[str], ts: str, tie: list[str], fills: dict[s
     ``fills`` maps an output name to ``(source column, direction)``; direction
     "last" looks at this row and earlier ones, "next" at this row and later ones.
     """
-    part = [*keys, "_slice"]
     order = [F.col(ts), *[F.col(t) for t in tie]]
-    sliced = df.withColumn("_slice", clock.time_chunk(F.col(ts), slice_seconds))
-    window = Window.partitionBy(*part).orderBy(*order)
-    over_slices = Window.orderBy("_slice") if not keys else Window.partitionBy(*keys).orderBy("_slice")
+    sliced = _sliced(df, keys, ts, slice_seconds)
+    window = Window.partitionBy("_part").orderBy(*order)
+    over_slices = _over_slices(keys)
 
     edges, carried = [], []
     for i, (source, direction) in enumerate(fills.values()):
@@ -91,17 +99,17 @@ def carry(df: DataFrame, keys: list[str], ts: str, tie: list[str], fills: dict[s
             edges.append(F.min(seen).alias(f"_e{i}"))
             carried.append(F.first(f"_e{i}", ignorenulls=True)
                            .over(over_slices.rowsBetween(1, Window.unboundedFollowing))["v"].alias(f"_c{i}"))
-    summary = sliced.groupBy(*part).agg(*edges).select(*part, *carried)
+    summary = sliced.groupBy("_part").agg(*edges).select("_part", *carried)
 
     local = {}
     for i, (source, direction) in enumerate(fills.values()):
         local[f"_l{i}"] = (F.last(source, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
                            if direction == "last" else
                            F.first(source, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing)))
-    joined = null_safe_join(sliced.withColumns(local), summary, part, "inner")
+    joined = sliced.withColumns(local).join(summary, "_part")
     out = joined.withColumns({name: F.coalesce(F.col(f"_l{i}"), F.col(f"_c{i}")) for i, name in enumerate(fills)})
     helpers = [f"_{p}{i}" for i in range(len(fills)) for p in "lc"]
-    return out.drop("_slice", *helpers)
+    return out.drop("_part", *helpers)
 
 
 def _same_as_previous(value: str, steps: int, window) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from smogline import constants as K
 from smogline.operators import cleaning, features, imputing
+from smogline.plans import sqltext as S
+from smogline.plans.canonical import build_canonical
+from smogline.plans.joins import nearest_sql, temporal_sql
 from smogline.plans.registry import query
 
 _TAU = "(2 * pi())"
@@ -112,9 +115,33 @@ def _groups(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("canonical_dataset", "pm25_ground aod_550nm temperature_2m surface_pressure road_density distance_to_station_km temporal_offset_minutes")
+def _canonical_sql() -> str:
+    seen = "v_stations_seen AS (SELECT station_id, min(latitude) AS latitude, min(longitude) AS longitude FROM v_ground_located GROUP BY 1)"
+    def cell(c):
+        return f"round_even({c}, 2)"
+    hour = S.round_hour("timestamp_utc")
+    return f"""
+    WITH {seen}, placed AS (SELECT * FROM ({nearest_sql("v_sat_pixels", "v_stations_seen", 60.0)}) WHERE station_id IS NOT NULL),
+      pairs AS ({temporal_sql("placed", "v_ground_located", 90)}),
+      raw AS (SELECT timestamp_utc + INTERVAL 9000 DAY AS timestamp_utc, latitude, longitude,
+                     CASE WHEN temperature_2m - 273.15 BETWEEN -50 AND 60 THEN temperature_2m - 273.15 END AS temperature_2m,
+                     CASE WHEN surface_pressure / 100 BETWEEN 500 AND 1100 THEN surface_pressure / 100 END AS surface_pressure FROM v_weather),
+      w AS (SELECT {hour} AS h, {cell('latitude')} AS a, {cell('longitude')} AS o, avg(temperature_2m) AS temperature_2m,
+                   avg(surface_pressure) AS surface_pressure FROM raw GROUP BY 1, 2, 3),
+      s AS (SELECT {cell('latitude')} AS a, {cell('longitude')} AS o, least(greatest(road_density, 0), 50) AS road_density FROM v_static
+            QUALIFY row_number() OVER (PARTITION BY {cell('latitude')}, {cell('longitude')} ORDER BY location_id) = 1),
+      j AS (SELECT p.*, w.temperature_2m, w.surface_pressure, coalesce(s.road_density, 0) AS road_density FROM pairs p
+            LEFT JOIN w ON w.h = {S.round_hour('p.timestamp_utc')} AND w.a = {cell('p.latitude')} AND w.o = {cell('p.longitude')}
+            LEFT JOIN s ON s.a = {cell('p.latitude')} AND s.o = {cell('p.longitude')})
+    SELECT 'cell_' || replace(CAST({cell('latitude')} AS VARCHAR), '.', '') || '_' || replace(CAST({cell('longitude')} AS VARCHAR), '.', '') AS location_id,
+           station_id, timestamp_utc AS satellite_timestamp, pm25 AS pm25_ground, aod_550nm,
+           coalesce(temperature_2m, (SELECT median(temperature_2m) FROM j)) AS temperature_2m, surface_pressure, road_density,
+           distance_to_station_km, temporal_offset_minutes FROM j"""
+
+
+@query("canonical_dataset", "pm25_ground aod_550nm temperature_2m surface_pressure road_density distance_to_station_km temporal_offset_minutes",
+       _canonical_sql())
 def _canonical(t):
-    from smogline.plans.canonical import build_canonical
     weather = cleaning.clean_weather(t.v_weather)
     # weather years are moved to the observations' year, as the tables' clocks differ
     shifted = weather.withColumn("timestamp_utc", F.col("timestamp_utc") + F.expr("INTERVAL 9000 DAYS"))

@@ -12,7 +12,7 @@ from smogline.plans.registry import query
 _KM = S.haversine("p.latitude", "p.longitude", "s.latitude", "s.longitude")
 
 
-def _nearest_sql(pixels: str, stations: str, radius: float) -> str:
+def nearest_sql(pixels: str, stations: str, radius: float) -> str:
     return f"""
       SELECT p.*, n.station_id, n.km AS distance_to_station_km FROM {pixels} p LEFT JOIN (
         SELECT record_id, station_id, km FROM (
@@ -24,7 +24,7 @@ def _nearest_sql(pixels: str, stations: str, radius: float) -> str:
 
 
 @query("nearest_station_within", "latitude longitude aod_550nm distance_to_station_km",
-       _nearest_sql("v_pixels", "v_stations", 25.0))
+       nearest_sql("v_pixels", "v_stations", 25.0))
 def _nearest(t):
     return matching.nearest_station_within(t.v_pixels, t.v_stations)
 
@@ -38,7 +38,7 @@ def _haversine(t):
         "station_id", "location_id", "distance_km")
 
 
-def _temporal_sql(sat: str, ground: str, window: float) -> str:
+def temporal_sql(sat: str, ground: str, window: float) -> str:
     off = "abs(epoch_us(s.timestamp_utc) - epoch_us(g.timestamp_utc)) / 60e6"
     return f"""
       SELECT s.*, g.pm25, g.timestamp_utc AS ground_timestamp, {off} AS temporal_offset_minutes
@@ -48,7 +48,7 @@ def _temporal_sql(sat: str, ground: str, window: float) -> str:
 
 
 @query("temporal_window_match", "aod_550nm pm25 temporal_offset_minutes",
-       _temporal_sql("v_sat_events", "v_ground_events", 60))
+       temporal_sql("v_sat_events", "v_ground_events", 60))
 def _temporal(t):
     return matching.temporal_window_match(t.v_sat_events, t.v_ground_events, ["pm25"])
 
@@ -57,8 +57,8 @@ _SEEN = "v_stations_seen AS (SELECT station_id, min(latitude) AS latitude, min(l
 
 
 @query("collocate", "latitude longitude aod_550nm distance_to_station_km pm25 temporal_offset_minutes", f"""
-    WITH {_SEEN}, placed AS (SELECT * FROM ({_nearest_sql("v_sat_pixels", "v_stations_seen", 25.0)}) WHERE station_id IS NOT NULL)
-    {_temporal_sql("placed", "v_ground_located", 60)}""")
+    WITH {_SEEN}, placed AS (SELECT * FROM ({nearest_sql("v_sat_pixels", "v_stations_seen", 25.0)}) WHERE station_id IS NOT NULL)
+    {temporal_sql("placed", "v_ground_located", 60)}""")
 def _collocate(t):
     return matching.collocate(t.v_sat_pixels, t.v_ground_located, ["pm25"])
 
@@ -70,8 +70,8 @@ def _sweep_sql() -> str:
              (SELECT count(*) FROM paired WHERE distance_to_station_km <= {r} AND temporal_offset_minutes <= {w}) AS collocated_pairs"""
                               for n, r, w in matching.SWEEP)
     return f"""WITH {_SEEN},
-      placed AS (SELECT * FROM ({_nearest_sql("v_sat_pixels", "v_stations_seen", 50.0)}) WHERE station_id IS NOT NULL),
-      paired AS ({_temporal_sql("placed", "v_ground_located", 90)}) {arms}"""
+      placed AS (SELECT * FROM ({nearest_sql("v_sat_pixels", "v_stations_seen", 50.0)}) WHERE station_id IS NOT NULL),
+      paired AS ({temporal_sql("placed", "v_ground_located", 90)}) {arms}"""
 
 
 @query("matching_sweep", "spatial_radius_km time_window_min", _sweep_sql())

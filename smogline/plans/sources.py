@@ -131,7 +131,10 @@ def _canonical(t):
     return quality.canonical_manifest(t.v_features)
 
 
-@query("sink_geojson")
+@query("sink_geojson", "longitude latitude value uncertainty reliability", """
+    SELECT 'Feature' AS type, longitude, latitude, CAST(station_id AS VARCHAR) AS grid_id, coalesce(m, 0.0) AS value,
+           12.5::DOUBLE AS uncertainty, 85.0::DOUBLE AS reliability
+    FROM v_stations LEFT JOIN (SELECT station_id, avg(pm25_ground) AS m FROM v_pm25 GROUP BY 1) USING (station_id)""")
 def _geojson(t):
     path = work_folder(t.spark, "geojson")
     means = t.v_pm25.groupBy("station_id").agg(F.avg("pm25_ground").alias("pm25_pred"))

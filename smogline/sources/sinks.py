@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def daily_parquet(df: DataFrame, path: str, ts: str = "timestamp_utc", files_per_day: int = 8) -> None:
+def daily_parquet(df: DataFrame, path: str, ts: str = "timestamp_utc", rows_per_file: int = 20_000_000) -> None:
     """One directory per date; only the dates present are replaced.
 
-    Rows of a date spread over ``files_per_day`` tasks, so one busy day does not
-    end in a single file.
+    Rows are rebalanced by date: small dates share a task, a busy date is split
+    over many.
     """
-    dated = df.withColumn("date", F.to_date(ts))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
-    (dated.repartition(F.col("date"), spread).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+    dated = df.withColumn("date", F.to_date(ts)).hint("rebalance", "date")
+    (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", rows_per_file).partitionBy("date").parquet(path))
 
 
 def geojson_feature(value: Column, pm25: Column, uncertainty: Column, reliability: Column,
