@@ -23,8 +23,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def with_row_of(df: DataFrame, one_row: DataFrame, name: str = "_stats") -> DataFrame:
-    """Attach a one-row DataFrame as a struct column (a scalar subquery, no join)."""
+def with_row_of(df: DataFrame, one_row: DataFrame, name: str = "_stats", now: bool = False) -> DataFrame:
+    """Attach a one-row DataFrame as a struct column (a scalar subquery, no join).
+
+    ``now`` computes the row at once and attaches literals: for small statistics
+    that several branches of a plan refer to, each of which would otherwise carry
+    its own copy of the subquery.
+    """
+    if now:
+        row = one_row.first()
+        values = [F.lit(row[f.name] if row else None).cast(f.dataType).alias(f.name) for f in one_row.schema.fields]
+        return df.withColumn(name, F.struct(*values))
     packed = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("s"))
     return df.withColumn(name, packed.scalar())
 

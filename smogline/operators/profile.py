@@ -85,7 +85,7 @@ def station_median_map(df: DataFrame, value: str, lat="latitude", lon="longitude
     medians = exact_quantiles(df, [lat, lon], [value], [0.5]).select(
         lat, lon, F.col(f"{value}_p50").alias("median"))
     cap = exact_quantiles(medians, [], ["median"], [0.95])
-    return with_row_of(medians, cap).select(lat, lon, "median", F.col("_stats.median_p95").alias("color_cap"))
+    return with_row_of(medians, cap, now=True).select(lat, lon, "median", F.col("_stats.median_p95").alias("color_cap"))
 
 
 def hourly_profile(df: DataFrame, value: str, ts: str = "timestamp_utc") -> DataFrame:
@@ -126,7 +126,7 @@ def quartile_median(df: DataFrame, x: str, y: str) -> DataFrame:
     """Median of y per quartile of x (edges interpolated on the values)."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     edges = exact_quantiles(pairs, [], [x], [0.25, 0.5, 0.75])
-    binned = with_row_of(pairs, edges).withColumn("quartile", 1 + quantile_bin(
+    binned = with_row_of(pairs, edges, now=True).withColumn("quartile", 1 + quantile_bin(
         F.col(x), [F.col(f"_stats.{x}_p{p}") for p in (25, 50, 75)]))
     out = exact_quantiles(binned, ["quartile"], [y], [0.5])
     return out.select("quartile", F.col(f"{y}_p50").alias("median"))

@@ -85,32 +85,24 @@ def _by_bins(df: DataFrame, by: list[str], columns: list[str], probs: list[float
     return found.groupBy(*by).agg(*wide)
 
 
-def _by_rank(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles of groups that fit one task: rank inside the group, keep the wanted ranks."""
-    long = unpivot(df, by, columns, "_name", "_value").filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
-    group = Window.partitionBy(*by, "_name")
-    ranked = long.withColumns({"_k": F.row_number().over(group.orderBy("_value")) - 1, "_n": F.count(F.lit(1)).over(group)})
-    parts = []
-    for p in probs:
-        place = F.lit(float(p)) * (F.col("_n") - 1)
-        share = place - F.floor(place)
-        low, high = F.col("_k") == F.floor(place), F.col("_k") == F.ceil(place)
-        parts.append(F.when(low, F.col("_value") * (1.0 - share)).otherwise(0.0)
-                     + F.when(high, F.col("_value") * share).otherwise(0.0))
-    wanted = F.lit(False)
-    for p in probs:
-        place = F.lit(float(p)) * (F.col("_n") - 1)
-        wanted = wanted | F.col("_k").between(F.floor(place), F.ceil(place))
-    kept = ranked.filter(wanted).select(*by, "_name", *[part.alias(f"_q{i}") for i, part in enumerate(parts)])
-    return kept.groupBy(*by).agg(*[F.sum(F.when(F.col("_name") == c, F.col(f"_q{i}"))).alias(column_name(c, p))
-                                   for c in columns for i, p in enumerate(probs)])
+def _by_sorting(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles of groups counted as small: each group's values as one sorted array."""
+    lists = df.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.when(~F.isnan(c), F.col(c)))).alias(c) for c in columns])
+    picks = []
+    for c in columns:
+        for p in probs:
+            place = F.lit(float(p)) * (F.size(c) - 1)
+            share = place - F.floor(place)
+            low, high = F.get(c, F.floor(place).cast("int")), F.get(c, F.ceil(place).cast("int"))
+            picks.append((low * (1.0 - share) + high * share).alias(column_name(c, p)))
+    return lists.select(*by, *picks)
 
 
 def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float],
                     small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """One row per group with a column ``<column>_p<percent>`` per column and probability.
 
-    Groups are counted first.  Small ones are ranked whole; large ones (and rows with a
+    Groups are counted first.  Small ones are sorted whole; large ones (and rows with a
     null key) use the bins.  With no ``by`` there is always one row.
     """
     slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -119,5 +111,5 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: lis
     sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     sized = slim.join(sizes, by, "left")
     small = F.coalesce(F.col("_rows") <= small_group_rows, F.lit(False))
-    direct = _by_rank(sized.filter(small), by, columns, probs)
+    direct = _by_sorting(sized.filter(small), by, columns, probs)
     return direct.unionByName(_by_bins(sized.filter(~small), by, columns, probs))

@@ -221,7 +221,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     is paired, so a key with many rows on both sides costs no more than its rows.
     Of right rows with equal time the first by ``right_tie`` counts.
     """
-    latest = right.groupBy(*keys, F.col(right_ts).alias("_t")).agg(
+    keyed = right.na.drop(subset=[*keys, right_ts])       # a missing key matches nothing
+    latest = keyed.groupBy(*keys, F.col(right_ts).alias("_t")).agg(
         F.min_by(F.struct(*[F.col(v) for v in values], F.col(right_ts).alias("_seen")),
                  F.struct(*right_tie)).alias("_row"))
     stacked = left.withColumns({"_t": F.col(left_ts), "_kind": F.lit(1)}).unionByName(

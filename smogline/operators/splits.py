@@ -28,7 +28,7 @@ def temporal_split(df: DataFrame, ts: str = "timestamp_utc", tie=(), test_share:
     cut = with_row_of(placed, sizes.agg(F.floor(F.sum("_c") * F.lit(1.0 - test_share)).alias("n")), "_t").filter(
         (F.col("_before") <= F.col("_t.n")) & (F.col("_t.n") < F.col("_before") + F.col("_c"))).agg(
         F.first("_slice").alias("slice"), F.first(F.col("_t.n") - F.col("_before")).alias("left"))
-    marked = with_row_of(sliced, cut, "_cut")
+    marked = with_row_of(sliced, cut, "_cut", now=True)
     on_cut = F.col("_slice") == F.col("_cut.slice")
     spread = marked.filter(~F.coalesce(on_cut, F.lit(False))).withColumn(
         "split", F.when(F.coalesce(F.col("_slice") < F.col("_cut.slice"), F.lit(True)), "train").otherwise("test"))
