@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from smogline import constants as K
 from smogline.operators.common import with_row_of
 from smogline.operators.features import FeatureSet
+from smogline.operators.imputing import fit_medians
 from smogline.operators.profile import persistence_baseline, regression_metrics
 from smogline.operators.splits import group_kfold
 from smogline.session import materialise
@@ -28,13 +29,24 @@ def estimators(rf_trees: int = 100, rf_depth: int = 12, gbt_rounds: int = 300, g
     }
 
 
-def fit(df: DataFrame, features: list[str], target: str, estimator) -> PipelineModel:
-    """Median imputation, vector assembly and the regressor as one pipeline."""
+def fit(df: DataFrame, features: list[str], target: str, estimator, impute: bool = True) -> PipelineModel:
+    """Median imputation (unless the matrix is filled already), vector assembly and the regressor."""
     typed = df.filter(F.col(target).isNotNull()).select(
         *[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("label"))
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__f" for c in features], relativeError=0.001),
-              VectorAssembler(inputCols=[f"{c}__f" for c in features], outputCol="features"), estimator]
-    return Pipeline(stages=stages).fit(typed)
+    filled = [f"{c}__f" for c in features] if impute else features
+    stages = [Imputer(strategy="median", inputCols=features, outputCols=filled, relativeError=0.001)] if impute else []
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=filled, outputCol="features"), estimator]).fit(typed)
+
+
+def filled_matrices(fs: FeatureSet, train: DataFrame, test: DataFrame, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Engineered train and test rows, gaps filled with the training medians, written out once."""
+    names = [*fs.names, *extra]
+    raw = materialise(fs.transform(train), "train")
+    medians = fit_medians(raw, names)
+    def fill(df):
+        return with_row_of(df, medians, "_m", now=True).withColumns(
+            {c: F.coalesce(F.col(c).cast("double"), F.col("_m")[c], F.lit(0.0)) for c in names}).drop("_m")
+    return materialise(fill(raw), "train-filled"), materialise(fill(fs.transform(test)), "test-filled")
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], low: float | None = 0.0,
@@ -54,16 +66,16 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str], low: float
 
 def evaluate(train: DataFrame, test: DataFrame, features: list[str], target: str, estimator, name: str,
              folds: int = 5) -> DataFrame:
-    """Station-grouped cross-validation on the training rows plus holdout scores: one row."""
-    dealt = materialise(group_kfold(train, "station_id", folds), "folds")
+    """Station-grouped cross-validation on the training rows (with their folds) plus holdout
+    scores: one row.  The matrices are filled."""
     scores = []
     for k in range(folds):
-        model = fit(dealt.filter(F.col("fold") != k), features, target, estimator)
-        scores.append(regression_metrics(predict(model, dealt.filter(F.col("fold") == k), features, None, None),
+        model = fit(train.filter(F.col("fold") != k), features, target, estimator, impute=False)
+        scores.append(regression_metrics(predict(model, train.filter(F.col("fold") == k), features, None, None),
                                          target, "prediction"))
     cv = reduce(DataFrame.unionByName, scores).filter(F.col("n") > 0).agg(
         F.avg("mae").alias("cv_mae"), F.avg("rmse").alias("cv_rmse"), F.avg("r2").alias("cv_r2"))
-    model = fit(train, features, target, estimator)
+    model = fit(train, features, target, estimator, impute=False)
     holdout = regression_metrics(predict(model, test, features, None, None), target, "prediction")
     return with_row_of(holdout, cv, "_cv").select(F.lit(name).alias("model"), F.lit(len(features)).alias("features"),
                                                   F.col("n").alias("test_rows"), "mae", "rmse", "r2", "_cv.*")
@@ -73,8 +85,9 @@ def train_baselines(train: DataFrame, test: DataFrame, group: str = "full", targ
                     **sizes) -> DataFrame:
     """Scores of the three baselines; the one with the smallest holdout MAE is marked."""
     fs = FeatureSet(group, keep=["station_id", target]).fit(train)
-    x_train, x_test = materialise(fs.transform(train), "train"), materialise(fs.transform(test), "test")
-    rows = [evaluate(x_train, x_test, fs.names, target, e, n, folds) for n, e in estimators(**sizes).items()]
+    x_train, x_test = filled_matrices(fs, train, test)
+    dealt = materialise(group_kfold(x_train, "station_id", folds), "folds")
+    rows = [evaluate(dealt, x_test, fs.names, target, e, n, folds) for n, e in estimators(**sizes).items()]
     table = reduce(DataFrame.unionByName, rows)
     best = table.agg(F.min_by("model", "mae").alias("model"))
     return with_row_of(table, best).withColumn("is_best", F.col("model") == F.col("_stats.model")).drop("_stats")
@@ -86,12 +99,12 @@ def train_horizons(train: DataFrame, test: DataFrame, lag_columns: list[str], gr
     """One boosted model per horizon on features and lags, against persistence."""
     leads = [f"target_lead_{h}h" for h in horizons]
     fs = FeatureSet(group, keep=[target, *leads, *lag_columns]).fit(train)
-    x_train, x_test = materialise(fs.transform(train), "train"), materialise(fs.transform(test), "test")
+    x_train, x_test = filled_matrices(fs, train, test, lag_columns)
     features = [*fs.names, *lag_columns]
     rows = []
     for h, lead in zip(horizons, leads):
         gbt = GBTRegressor(labelCol="label", maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=0.8, seed=42)
-        model = fit(x_train, features, lead, gbt)
+        model = fit(x_train, features, lead, gbt, impute=False)
         scores = regression_metrics(predict(model, x_test, features, 0.0, None), lead, "prediction")
         base = persistence_baseline(x_test, target, [h]).select(F.col("mae").alias("persistence_mae"))
         gain = F.when(F.col("persistence_mae") > 0,
@@ -109,8 +122,8 @@ def ablation(train: DataFrame, test: DataFrame, target: str = K.TARGET, groups=(
     for position, group in enumerate(groups):
         fs = FeatureSet(group, keep=[target]).fit(train)
         gbt = GBTRegressor(labelCol="label", maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=0.8, seed=42)
-        x_train, x_test = materialise(fs.transform(train), group), materialise(fs.transform(test), group)
-        model = fit(x_train, fs.names, target, gbt)
+        x_train, x_test = filled_matrices(fs, train, test)
+        model = fit(x_train, fs.names, target, gbt, impute=False)
         scores = regression_metrics(predict(model, x_test, fs.names, None, None), target, "prediction")
         rows.append(scores.select(F.lit(position).alias("position"), F.lit(group).alias("feature_group"),
                                   F.lit(len(fs.names)).alias("features"), "n", "mae", "rmse", "r2"))
