@@ -14,7 +14,7 @@ from smogline.operators.common import with_row_of
 from smogline.operators.features import FeatureSet
 from smogline.operators.imputing import fit_medians
 from smogline.operators.profile import persistence_baseline, regression_metrics
-from smogline.operators.splits import group_kfold
+from smogline.operators.splits import spatial_kfold
 from smogline.session import materialise
 
 
@@ -86,7 +86,7 @@ def train_baselines(train: DataFrame, test: DataFrame, group: str = "full", targ
     """Scores of the three baselines; the one with the smallest holdout MAE is marked."""
     fs = FeatureSet(group, keep=["station_id", target]).fit(train)
     x_train, x_test = filled_matrices(fs, train, test)
-    dealt = materialise(group_kfold(x_train, "station_id", folds), "folds")
+    dealt = materialise(spatial_kfold(x_train, "station_id", folds), "folds")
     rows = [evaluate(dealt, x_test, fs.names, target, e, n, folds) for n, e in estimators(**sizes).items()]
     table = reduce(DataFrame.unionByName, rows)
     best = table.agg(F.min_by("model", "mae").alias("model"))

@@ -75,6 +75,16 @@ def row_kfold(df: DataFrame, folds: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(*df.columns), F.lit(folds)).cast("int"))
 
 
+def spatial_kfold(df: DataFrame, group: str = "station_id", folds: int = 5) -> DataFrame:
+    """Folds by station; with fewer than two stations by latitude, with fewer than five
+    latitudes by row."""
+    kinds = [F.count_distinct(c) if c in df.columns else F.lit(0) for c in (group, "latitude")]
+    stations, latitudes = df.agg(kinds[0].alias("g"), kinds[1].alias("l")).first()
+    if stations >= 2:
+        return group_kfold(df, group, folds)
+    return latitude_kfold(df, min(folds, 5)) if latitudes >= 5 else row_kfold(df, folds)
+
+
 def leave_city_out(df: DataFrame, train_cities: list, city: str = "city") -> DataFrame:
     """Rows of the listed cities are "train", all others "test"."""
     inside: Column = F.coalesce(F.col(city).isin(*train_cities), F.lit(False))

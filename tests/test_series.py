@@ -120,3 +120,11 @@ def test_folds_do_not_share_stations(readings):
     dealt = splits.group_kfold(readings, folds=3)
     per = dealt.groupBy("station_id").agg(F.count_distinct("fold").alias("n")).collect()
     assert all(r["n"] == 1 for r in per) and dealt.count() == readings.count()
+
+
+def test_folds_fall_back_to_latitude_and_rows(spark):
+    one = spark.createDataFrame([(i, "s", 15.0 + i * 0.1, 1.0 * i) for i in range(40)], "id int, station_id string, latitude double, x double")
+    by_latitude = splits.spatial_kfold(one, folds=4)
+    assert [r["count"] for r in by_latitude.groupBy("fold").count().collect()] == [10, 10, 10, 10]
+    by_row = splits.spatial_kfold(one.drop("latitude"), folds=4)
+    assert {r["fold"] for r in by_row.select("fold").collect()} <= {0, 1, 2, 3} and by_row.count() == 40
