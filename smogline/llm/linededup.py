@@ -53,7 +53,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     return _cut(met, text)
 
 
-@F.pandas_udf("text string, removed array<struct<start:bigint,length:bigint,line:int>>")
+SPANS = "array<struct<start:bigint,length:bigint,line:int>>"
+
+
 def _without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
     """Texts without the numbered lines, and where those stood; both null where the text is null."""
     kept, removed = [], []
@@ -77,6 +79,6 @@ def _without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
 def _cut(rows: DataFrame, text: str) -> DataFrame:
     """Cut the lines numbered in ``_cut``; only texts that lose a line go through Python."""
     names = [c for c in rows.columns if c != "_cut"]
-    rows = rows.withColumn("_out", _without(F.when(F.col("_cut").isNotNull(), F.col(text)), "_cut"))
-    none = F.array().cast("array<struct<start:bigint,length:bigint,line:int>>")
+    rows = rows.withColumn("_out", F.pandas_udf(_without, f"text string, removed {SPANS}")(F.when(F.col("_cut").isNotNull(), F.col(text)), "_cut"))
+    none = F.array().cast(SPANS)
     return rows.select(*[F.coalesce("_out.text", F.col(text)).alias(c) if c == text else F.col(c) for c in names], F.coalesce("_out.removed", none).alias("removed"))
