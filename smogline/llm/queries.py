@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smogline.llm import linededup, quality, sharding, simhash
+from smogline.llm import bpe, linededup, mainhtml, quality, sharding, simhash, tokenbin
 from smogline.session import tune
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{folder}/{table}.parquet")
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")      # whole texts: keep batches small
+    return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count and digests of ids and decoded bytes of every document."""
+    return bpe.encode_documents(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
 
 
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +25,13 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place and checksum of every document's ids in the binary files."""
+    docs, files = _read(spark, folder, "documents"), tokenbin.token_folder(spark)
+    parts = tokenbin.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, files)
+    return tokenbin.read_tokens(parts, files)
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in one of eight contiguous shards of near equal bytes; equal texts stay together."""
     return sharding.shard_documents(_read(spark, folder, "documents"), 8).select(
@@ -29,12 +43,18 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, folder, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return mainhtml.extract_pages(_read(spark, folder, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its repeated lines cut out and the cut spans."""
     out = linededup.dedup_lines(_read(spark, folder, "documents"))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_sharding, op8_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op2_byte_bpe, op5_quality_rules, op6_token_files, op7_sharding, op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
