@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smogline.llm import bpe, linededup, mainhtml, quality, sharding, simhash, tokenbin
+from smogline.llm import bpe, decontam, langid, linededup, mainhtml, quality, sharding, simhash, tokenbin
 from smogline.session import tune
 
 
@@ -14,11 +14,21 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontam.leaked_items(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
     return bpe.encode_documents(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(_read(spark, folder, "documents"), langid.load_pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics, fixed rule and learned decision list for every document."""
     return quality.judge_quality(_read(spark, folder, "documents"), _read(spark, folder, "labels")).select(
@@ -55,6 +65,6 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_byte_bpe, op5_quality_rules, op6_token_files, op7_sharding, op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup)}
+    op1_decontamination, op2_byte_bpe, op4_language_id, op5_quality_rules, op6_token_files, op7_sharding, op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
