@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smogline.llm import bpe, decontam, langid, linededup, mainhtml, quality, sharding, simhash, tokenbin
+from smogline.llm import bpe, decontam, langid, license, linededup, mainhtml, quality, sharding, simhash, tokenbin
 from smogline.session import tune
 
 
@@ -24,6 +24,11 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases of every document."""
+    return license.scan_licenses(_read(spark, folder, "documents")).drop("spans")
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.identify(_read(spark, folder, "documents"), langid.load_pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
@@ -65,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_byte_bpe, op4_language_id, op5_quality_rules, op6_token_files, op7_sharding, op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup)}
+    op1_decontamination, op2_byte_bpe, op3_license_scan, op4_language_id, op5_quality_rules, op6_token_files, op7_sharding,
+    op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_license_scan": license.check_sql()}
