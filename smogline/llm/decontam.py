@@ -211,6 +211,8 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **c
     return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", F.col("h.item").alias("item_id"), "h.score", "h.question", "h.answer", "h.start", "h.words")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **columns) -> DataFrame:
     """The documents without a leaked item, with their own columns."""
-    return find_leaks(docs, benchmark, **columns).filter(F.size("hits") == 0).select(*docs.columns)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = find_leaks(numbered, benchmark, f"c{docs.columns.index(text)}", **columns)
+    return found.filter(F.size("hits") == 0).drop("hits").toDF(*docs.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from smogline.llm.common import digest, staged
 
 MIN_WORDS = 20
+SPANS = "array<struct<start:bigint,length:bigint,line:int>>"
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -48,12 +49,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("k"), F.col("_copy").alias("c"), F.col("line").alias("l"))
     keepers = units.groupBy("unit").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first != last").select("unit", "first")
     cuts = units.join(keepers, "unit").filter(rank != F.col("first")).groupBy("_key", "_copy").agg(F.collect_set("line").alias("_cut"))
-    rows = docs.drop("removed").withColumns({"_key": F.col(key), "_copy": F.xxhash64(text)})
-    met = rows.join(cuts, rows["_key"].eqNullSafe(cuts["_key"]) & (rows["_copy"] == cuts["_copy"]), "left").drop("_key", "_copy")
-    return _cut(met, text)
-
-
-SPANS = "array<struct<start:bigint,length:bigint,line:int>>"
+    # the row travels as one struct, so no column of the input can clash with a helper
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("c"))
+    met = rows.join(cuts, rows["k"].eqNullSafe(cuts["_key"]) & (rows["c"] == cuts["_copy"]), "left").select("row", "_cut")
+    out = met.withColumn("_out", F.pandas_udf(_without, f"text string, removed {SPANS}")(F.when(F.col("_cut").isNotNull(), F.col("row")[text]), "_cut"))
+    return out.select(*[F.coalesce("_out.text", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != "removed"],
+                      F.coalesce("_out.removed", F.array().cast(SPANS)).alias("removed"))
 
 
 def _without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
@@ -74,11 +75,3 @@ def _without(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
         kept.append("\n".join(lines))
         removed.append(spans)
     return pd.DataFrame({"text": kept, "removed": removed})
-
-
-def _cut(rows: DataFrame, text: str) -> DataFrame:
-    """Cut the lines numbered in ``_cut``; only texts that lose a line go through Python."""
-    names = [c for c in rows.columns if c != "_cut"]
-    rows = rows.withColumn("_out", F.pandas_udf(_without, f"text string, removed {SPANS}")(F.when(F.col("_cut").isNotNull(), F.col(text)), "_cut"))
-    none = F.array().cast(SPANS)
-    return rows.select(*[F.coalesce("_out.text", F.col(text)).alias(c) if c == text else F.col(c) for c in names], F.coalesce("_out.removed", none).alias("removed"))

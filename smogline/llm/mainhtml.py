@@ -106,7 +106,7 @@ def _dropped(node: Node) -> bool:
         return True
     if node.tag == "header":        # a page's header; an article's own header holds its title
         up = node.parent
-        while up is not None and up.tag not in ("article", "main", "section"):
+        while up is not None and up.tag not in ("article", "main", "section") and not LIKELY.search(" ".join(re.findall(r"[\w-]+", up.attributes))):
             up = up.parent
         return up is None
     if not node.attributes or node.tag in ("html", "body", "root", "main"):

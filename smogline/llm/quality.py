@@ -34,8 +34,8 @@ FEATURES = {
 }
 
 
-def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: key, the columns of ``keep`` and the counts below, all long.
+def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """One row per document: key, the row itself as the struct ``_row`` if ``whole``, and the counts below, all long.
 
     n_words, word_chars (code points in words), n_symbols (``#*$%&|<>``), n_marks (``!?=_~^``), n_upper, n_digits,
     n_lines (lines with a word), n_dup_lines (such lines equal to an earlier one), n_repeat_words
@@ -46,7 +46,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """
     t = F.coalesce(F.col(text), F.lit(""))
     empty = F.array().cast("array<string>")
-    rows = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], t.alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), *[F.struct("*").alias("_row")] * whole, t.alias("_text"))
     trimmed = F.btrim(F.col("_text"), F.lit(SPACES))
     rows = rows.select(
         "*",
@@ -55,7 +55,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     )
     without = lambda chars: F.length("_text") - F.length(F.regexp_replace("_text", chars, ""))
     rows = rows.select(
-        "_key", *[f"_keep_{i}" for i in range(len(keep))],
+        "_key", *["_row"] * whole,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         without("[#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -76,7 +76,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = rows.withColumn("_starts", F.sort_array(F.transform(again, lambda p: p["i"]))).drop("_pairs")
     gap = F.transform("_starts", lambda p, i: F.coalesce(F.least(F.lit(WINDOW), F.get(F.col("_starts"), i + 1) - p), F.lit(WINDOW)).cast("long"))
     rows = rows.withColumn("n_repeat_words", F.coalesce(total(gap), F.lit(0).cast("long"))).drop("_starts")
-    return rows.withColumnsRenamed({"_key": key, **{f"_keep_{i}": c for i, c in enumerate(keep)}})
+    return rows.withColumnRenamed("_key", key)
 
 
 def base_failed() -> Column:
@@ -233,6 +233,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 def filter_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **learner) -> DataFrame:
     """The documents that pass, with their own columns.  One text scan: the columns ride along with the statistics."""
-    stats = staged(document_statistics(docs, key, text, keep=tuple(c for c in docs.columns if c != key)), "quality-stats")
-    rules = learn_rules(stats.drop(*[c for c in docs.columns if c != key]), labels, key, **learner)
-    return stats.filter(~base_failed() & rules.verdict().isNull()).select(*docs.columns)
+    stats = staged(document_statistics(docs, key, text, whole=True), "quality-stats")
+    rules = learn_rules(stats.drop("_row"), labels, key, **learner)
+    return stats.filter(~base_failed() & rules.verdict().isNull()).select("_row.*")
