@@ -1,9 +1,13 @@
 """Exact interpolated quantiles without gathering a group in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer.  Here
-values are counted first (map-side), the counts are summed over narrow value bins,
-the running bin totals name the bins that hold the wanted ranks, and only those
-bins are searched for the values themselves.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer.  Here rows are
+counted per value bin (map-side, a few thousand bins however many values there are), the
+running bin totals name the bins that hold the wanted ranks, and a second scan keeps only
+the rows of those bins.  Their values are counted, cut once more into equal pieces between
+the bin's smallest and largest value, and only the wanted pieces are put in order.
+
+A narrow column falls into few bins, but the pieces follow its own range, so that a piece is small all
+the same.  There is one path for all sizes.
 """
 
 from __future__ import annotations
@@ -17,13 +21,23 @@ from smogline.operators.common import unpivot
 Position = Callable[[Column], Column]
 
 # Bins are equally wide on a logarithmic scale: 1/BINS_PER_E relative width.
-BINS_PER_E = 4000
+BINS_PER_E = 400
 _SCALE = 1000.0
+# Pieces of a bin that holds a wanted rank.
+PIECES = 4096
 
 
 def value_bin(value: Column) -> Column:
-    """Monotone coarse key of a double."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * _SCALE) * BINS_PER_E).cast("long")
+    """Monotone coarse key of a double; infinities share the outermost bins."""
+    size = F.least(F.log1p(F.abs(value) * _SCALE), F.lit(800.0))
+    return F.floor(F.signum(value) * size * BINS_PER_E).cast("long")
+
+
+def _piece(value: Column, low: Column, high: Column, pieces: int) -> Column:
+    """Monotone position of a value between the ends of its bin."""
+    span = high - low
+    share = F.when((span > 0) & (span < float("inf")), (value - low) / span).when(value > low, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.floor(share * pieces).cast("long")
 
 
 def column_name(column: str, prob: float) -> str:
@@ -35,34 +49,49 @@ def interpolated(prob: float) -> Position:
     return lambda n: F.lit(float(prob)) * (n - 1)
 
 
-def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[Position]) -> DataFrame:
+def _holding(wanted: Column) -> Column:
+    """Those of the wanted ranks that fall into a run of ``_c`` values with ``_before`` values before it."""
+    return F.filter(wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_c")))
+
+
+def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[Position], pieces: int = PIECES) -> DataFrame:
     """``by`` columns plus an array ``q`` of the values at the zero-based positions (each a
-    function of the group's size) and ``n``, the number of values."""
-    values = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    # + 0.0 folds the two zeros into one key; group and bin together make one value
-    # that is never null and partitions join and window alike
-    groups = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)], value_bin(F.col("_v")).alias("bin"))
-    counts = (values.groupBy(*by, (F.col(value) + F.lit(0.0)).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")).select(groups.alias("_at"), "_v", "_c"))
-    bins = counts.groupBy("_at").agg(F.sum("_c").alias("_in_bin"))
-    every = Window.partitionBy(*[F.col(f"_at.g{i}") for i in range(len(by))])
-    running = F.sum("_in_bin").over(every.orderBy("_at.bin"))
-    placed = bins.select("_at", "_in_bin", (running - F.col("_in_bin")).alias("_before"),
-                         F.sum("_in_bin").over(every).alias("_n"))
-    wanted = F.array(*[
+    function of the group's size) and ``n``, the number of values.
+
+    One row for every group of the input, null keys included; a group without values has null
+    quantiles and n = 0.  Without ``by`` there is always one row.
+    """
+    # a struct is never null itself, so groups with null keys join and window like others
+    group = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)], F.lit(0).alias("one"))
+    number = F.col(value).cast("double")
+    # + 0.0 folds the two zeros into one
+    rows = (long.select(group.alias("_g"), F.when(~F.isnan(number), number + F.lit(0.0)).alias("_v"))
+            .withColumn("_at", F.struct("_g", value_bin(F.col("_v")).alias("bin"))))
+    bins = rows.groupBy("_at").agg(F.count("_v").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    every = Window.partitionBy("_at._g")
+    ranks = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("long").alias("rank"))
         for i, at in enumerate(positions)
         for side, rank in (("lo", F.floor(at(F.col("_n")))), ("hi", F.ceil(at(F.col("_n")))))
     ])
-    targets = (placed.withColumn("_w", F.filter(
-        wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_in_bin"))))
-        .filter(F.size("_w") > 0).select("_at", "_before", "_n", "_w"))
-    within = Window.partitionBy("_at").orderBy("_v")
-    hits = (counts.join(targets, "_at")
-            .withColumn("_end", F.col("_before") + F.sum("_c").over(within))
-            .withColumn("_start", F.col("_end") - F.col("_c"))
-            .select(*[F.col(f"_at.g{i}").alias(b) for i, b in enumerate(by)], "_n", "_v", F.explode(F.filter(
-                "_w", lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_end")))).alias("_w")))
+    placed = (bins.withColumn("_n", F.sum("_c").over(every))
+              .withColumn("_before", F.sum("_c").over(every.orderBy("_at.bin")) - F.col("_c"))
+              .withColumn("_w", _holding(ranks)))
+    targets = placed.filter(F.size("_w") > 0).select("_at", "_low", "_high", "_before", "_n", "_w")
+    # only rows of the wanted bins go on
+    counts = (rows.filter(F.col("_v").isNotNull()).join(targets, "_at")
+              .groupBy(F.struct("_at", _piece(F.col("_v"), F.col("_low"), F.col("_high"), pieces).alias("piece")).alias("_in"), "_v")
+              .agg(F.count(F.lit(1)).alias("_k"), F.first("_before").alias("_start"), F.first("_n").alias("_n"), F.first("_w").alias("_w")))
+    runs = counts.groupBy("_in").agg(F.sum("_k").alias("_c"), F.first("_start").alias("_start"), F.first("_w").alias("_w"))
+    ahead = F.sum("_c").over(Window.partitionBy("_in._at").orderBy("_in.piece")) - F.col("_c")
+    wanted = (runs.withColumn("_before", F.col("_start") + ahead).withColumn("_hits", _holding(F.col("_w")))
+              .filter(F.size("_hits") > 0).select("_in", "_before", "_hits"))
+    order = Window.partitionBy("_in").orderBy("_v")
+    hits = (counts.select("_in", "_v", F.col("_k").alias("_c"), "_n").join(wanted.withColumnRenamed("_before", "_base"), "_in")
+            .withColumn("_before", F.col("_base") + F.sum("_c").over(order) - F.col("_c"))
+            .select(F.col("_in._at._g").alias("_g"), "_n", "_v", F.explode(_holding(F.col("_hits"))).alias("_w")))
+    # groups without a value take part with no hit
+    empty = placed.filter(F.col("_n") == 0).select(F.col("_at._g").alias("_g"), "_n", F.lit(None).cast("double").alias("_v"), F.lit(None).cast(hits.schema["_w"].dataType).alias("_w"))
     picks = []
     for i, at in enumerate(positions):
         lo = F.max(F.when((F.col("_w.i") == i) & (F.col("_w.side") == "lo"), F.col("_v")))
@@ -70,46 +99,19 @@ def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[P
         place = at(F.max("_n"))
         share = place - F.floor(place)
         picks.append(lo * (1.0 - share) + hi * share)
-    return hits.groupBy(*by).agg(F.array(*picks).alias("q"), F.max("_n").alias("n"))
-
+    found = hits.unionByName(empty)
+    amount = F.coalesce(F.max("_n"), F.lit(0)).cast("long").alias("n")
+    if not by:
+        return found.agg(F.array(*picks).alias("q"), amount)
+    return found.groupBy("_g").agg(F.array(*picks).alias("q"), amount).select(*[F.col(f"_g.g{i}").alias(b) for i, b in enumerate(by)], "q", "n")
 
-# Groups up to this size are sorted whole; larger ones go through the bins.
-SMALL_GROUP_ROWS = 50_000
 
+def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float], pieces: int = PIECES) -> DataFrame:
+    """One row per group with a column ``<column>_p<percent>`` per column and probability.
 
-def _by_bins(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    long = unpivot(df, by, columns, "_name", "_value")
-    found = long_quantiles(long, [*by, "_name"], "_value", [interpolated(p) for p in probs])
+    A group (null keys included) without a value gets nulls.  With no ``by`` there is always one row.
+    """
+    found = long_quantiles(unpivot(df, by, columns, "_name", "_value"), [*by, "_name"], "_value", [interpolated(p) for p in probs], pieces)
     wide = [F.max(F.when(F.col("_name") == c, F.col("q")[i])).alias(column_name(c, p))
             for c in columns for i, p in enumerate(probs)]
     return found.groupBy(*by).agg(*wide)
-
-
-def _by_sorting(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles of groups counted as small: each group's values as one sorted array."""
-    lists = df.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.when(~F.isnan(c), F.col(c)))).alias(c) for c in columns])
-    picks = []
-    for c in columns:
-        for p in probs:
-            place = F.lit(float(p)) * (F.size(c) - 1)
-            share = place - F.floor(place)
-            low, high = F.get(c, F.floor(place).cast("int")), F.get(c, F.ceil(place).cast("int"))
-            picks.append((low * (1.0 - share) + high * share).alias(column_name(c, p)))
-    return lists.select(*by, *picks)
-
-
-def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float],
-                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
-    """One row per group with a column ``<column>_p<percent>`` per column and probability.
-
-    Groups are counted first.  Small ones are sorted whole; large ones (and rows with a
-    null key) use the bins.  With no ``by`` there is always one row.
-    """
-    slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    if not by:
-        return _by_bins(slim, by, columns, probs)
-    sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    sized = slim.join(sizes, by, "left")
-    small = F.coalesce(F.col("_rows") <= small_group_rows, F.lit(False))
-    direct = _by_sorting(sized.filter(small), by, columns, probs)
-    return direct.unionByName(_by_bins(sized.filter(~small), by, columns, probs))

@@ -57,19 +57,23 @@ def test_nearest_any(spark, scattered, limit):
         assert got[i]["station_id"] == s and got[i]["distance_km"] == pytest.approx(d, abs=1e-5)
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_quantiles(spark, small):
+@pytest.mark.parametrize("pieces", [1, 7, 4096])
+def test_quantiles(spark, pieces):
     rng = random.Random(5)
-    rows = [("hot" if rng.random() < 0.7 else rng.choice("ab"), rng.choice([None, float("nan"), -3.0, 0.0, -0.0] + [rng.gauss(0, 100) for _ in range(9)]),
-             float(rng.randrange(4))) for _ in range(700)]
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice([None, float("nan"), -3.0, 0.0, -0.0] + [rng.gauss(0, 100) for _ in range(9)]),
+             1013 + rng.uniform(-0.05, 0.05)) for _ in range(700)]
+    rows += [("void", None, None), ("void", float("nan"), None)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
     probs = [0.0, 0.25, 0.5, 0.95, 1.0]
-    for r in quantiles.exact_quantiles(df, ["g"], ["x", "y"], probs, small_group_rows=small).collect():
+    got = quantiles.exact_quantiles(df, ["g"], ["x", "y"], probs, pieces).collect()
+    assert sorted(str(r["g"]) for r in got) == ["None", "a", "b", "hot", "void"]
+    for r in got:
         for c, k in (("x", 1), ("y", 2)):
             known = [row[k] for row in rows if row[0] == r["g"] and row[k] is not None and row[k] == row[k]]
-            assert [r[quantiles.column_name(c, p)] for p in probs] == pytest.approx(list(np.quantile(known, probs)))
-    every = quantiles.exact_quantiles(df, [], ["y"], [0.5]).first()
-    assert every["y_p50"] == np.median([r[2] for r in rows])
+            want = list(np.quantile(known, probs)) if known else [None] * len(probs)
+            assert [r[quantiles.column_name(c, p)] for p in probs] == pytest.approx(want)
+    every = quantiles.exact_quantiles(df, [], ["y"], [0.5], pieces).first()
+    assert every["y_p50"] == pytest.approx(np.median([r[2] for r in rows if r[2] is not None]))
 
 
 def test_quantiles_of_nothing(spark):
