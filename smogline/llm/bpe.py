@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from itertools import chain
 
 import numpy as np
@@ -21,7 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-CACHED_WORDS = 300_000      # words whose ids a task remembers; the rest is worked out again, with the same result
+from smogline.llm.common import Remembered, per_process
+
+CACHED_WORDS = 300_000      # chunks and words whose ids a worker remembers, twice; the rest is worked out again, with the same result
+LONG_CHUNK = 200            # longer chunks are not remembered
 BATCH_BYTES = 16_000_000    # text per round of merges
 
 # Code points that Unicode versions after 16 made letters or numbers.  The vocabulary's own library, built
@@ -46,15 +50,14 @@ class Vocabulary:
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
         if min(self.single) < 0:
             raise ValueError("the vocabulary lacks a token for some byte")
-        self._pairs: dict[tuple[int, int], int] = {}
+        self._base = max(ranks.values()) + 1
+        self._pairs: dict[int, int] = {}        # rank of a pair's merge by a * base + b, -1 when there is none
 
     def merged(self, a: int, b: int) -> int:
         """Rank of the pair's merge, -1 when the vocabulary has none."""
-        rank = self._pairs.get((a, b))
+        rank = self._pairs.get(a * self._base + b)
         if rank is None:
-            rank = self.ranks.get(self.token[a] + self.token[b], -1)
-            if len(self._pairs) < 1_000_000:
-                self._pairs[a, b] = rank
+            rank = self._pairs[a * self._base + b] = self.ranks.get(self.token[a] + self.token[b], -1)
         return rank
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -65,7 +68,9 @@ class Vocabulary:
         left to right; when a merge opens a pair of lower rank, the places still waiting go back to the index, so that
         every word sees exactly the order lowest rank first, leftmost first.
         """
-        single, merged = self.single, self.merged
+        if len(self._pairs) > 1_000_000:
+            self._pairs.clear()
+        single, merged, base, known = self.single, self.merged, self._base, self._pairs
         ids: list[int] = []
         right: list[int] = []       # next live place of the word, -1 at its end
         left: list[int] = []
@@ -81,10 +86,15 @@ class Vocabulary:
             left += range(at - 1, at + n - 1)
             right[at + n - 1], left[at] = -1, -1
             bounds.append(at + n)
-            for i in range(at, at + n - 1):
-                rank = merged(ids[i], ids[i + 1])
+            for i, (a, b) in enumerate(zip(row, row[1:]), at):
+                rank = known.get(a * base + b)
+                if rank is None:
+                    rank = merged(a, b)
                 if rank >= 0:
-                    index.setdefault(rank, []).append(i)
+                    if rank in index:
+                        index[rank].append(i)
+                    else:
+                        index[rank] = [i]
         order = list(index)
         heapq.heapify(order)
         while order:
@@ -95,7 +105,7 @@ class Vocabulary:
             places.sort()
             for done, i in enumerate(places):
                 j = right[i] if ids[i] >= 0 else -1
-                if j < 0 or merged(ids[i], ids[j]) != rank:
+                if j < 0 or known.get(ids[i] * base + ids[j]) != rank:
                     continue        # a neighbour took part of the pair
                 ids[i], ids[j] = rank, -1
                 after = right[j]
@@ -105,7 +115,9 @@ class Vocabulary:
                 lower = False
                 for a, b in ((left[i], i), (i, after)):
                     if a >= 0 and b >= 0:
-                        new = merged(ids[a], ids[b])
+                        new = known.get(ids[a] * base + ids[b])
+                        if new is None:
+                            new = merged(ids[a], ids[b])
                         if new >= 0:
                             if new in index:
                                 index[new].append(a)
@@ -135,22 +147,39 @@ def splitter(pattern: str):
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of words met before."""
+    """Encodes texts, remembering the ids of chunks and words met before.
+
+    A chunk runs from one space to the next.  The pattern lets a single space start a word, so it always splits before a space
+    that stands between other characters; the words of a text are the words of its chunks.  Texts with more
+    white space next to a space are split whole.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
         self.vocabulary, self.split = vocabulary, splitter(pattern)
-        self.known: dict[str, bytes] = {}
+        self.odd = re.compile(r"\s\s| \Z").search
+        self.chunks, self.words = Remembered(CACHED_WORDS), Remembered(CACHED_WORDS)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        rows = [self.split(t) for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set(chain.from_iterable(rows)).difference(known))
-        for word, ids in zip(new, self.vocabulary.replay([w.encode("utf-8", "surrogatepass") for w in new])):
+        rows = [[t] if self.odd(t) else _chunks(t) for t in texts]
+        fresh = {c: self.split(c) for c in self.chunks.missing(set(chain.from_iterable(rows)))}
+        words = list(self.words.missing(set(chain.from_iterable(fresh.values()))))
+        known = self.words.young
+        for word, ids in zip(words, self.vocabulary.replay([w.encode("utf-8", "surrogatepass") for w in words])):
             known[word] = np.array(ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+        made = {c: b"".join(map(known.__getitem__, parts)) for c, parts in fresh.items()}
+        known = self.chunks.young
+        known.update(made)
+        out = [b"".join(map(known.__getitem__, row)) for row in rows]
+        for c in made:
+            if len(c) > LONG_CHUNK:
+                del known[c]
+        return out
+
+
+def _chunks(text: str) -> list[str]:
+    first, *rest = text.split(" ")
+    return [first, *(" " + c for c in rest)]
 
 
 def _rounds(texts: list[str]):
@@ -167,7 +196,7 @@ def _rounds(texts: list[str]):
 
 def _encoder(ranks_file: str, keep_ids: bool):
     def run(batches):
-        encoder = Encoder(Vocabulary(load_ranks(ranks_file)))
+        encoder = per_process(("bpe", ranks_file), lambda: Encoder(Vocabulary(load_ranks(ranks_file))))
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in _rounds(texts):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -57,3 +60,30 @@ def digest(text: Column) -> Column:
 def total(numbers: Column) -> Column:
     """Sum of an array of longs; 0 when empty."""
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+class Remembered:
+    """A bounded dictionary of results that can be worked out again: two generations of at most ``limit`` entries each.
+
+    When the young one is full it becomes the old one, and what is asked for again moves back.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self._old = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys whose results are not known; the others are in ``young`` afterwards."""
+        if len(self.young) > self.limit:
+            self._old, self.young = self.young, {}
+        keys = keys.difference(self.young)
+        for key in keys.intersection(self._old):
+            self.young[key] = self._old[key]
+        return keys.difference(self.young)
+
+
+def per_process(key: tuple, make: Callable):
+    """One object per Python worker and key, kept from task to task where Spark reuses its workers."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from smogline.llm.common import scratch_path, staged
+from smogline.llm.common import Remembered, per_process, scratch_path, staged
 
 CACHED_WORDS = 300_000
 PART_BYTES = 16_000_000     # text per partition file, about
@@ -37,8 +37,8 @@ class CachingTokenizer:
     def __init__(self, path: str, width: str):
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.tokenizer.encode_special_tokens = True
-        self.odd = re.compile(r"\s |\s\s| \Z").search
-        self.known: dict[str, bytes] = {}
+        self.odd = re.compile(r"\s\s| \Z").search
+        self.known = Remembered(CACHED_WORDS)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -48,14 +48,13 @@ class CachingTokenizer:
         out: list[bytes | None] = [None] * len(texts)
         for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known, rows = self.known, []
+        rows = []
         for i, t in enumerate(texts):
             if out[i] is None:
                 first, *rest = t.split(" ")
                 rows.append((i, first, rest))
-        new = list({w for _, _, rest in rows for w in rest}.difference(known))
+        new = list(self.known.missing({w for _, _, rest in rows for w in rest}))
+        known = self.known.young
         known.update(zip(new, self._whole([" " + w for w in new])))
         for (i, _, rest), head in zip(rows, self._whole([first for _, first, _ in rows])):
             out[i] = head + b"".join(map(known.__getitem__, rest))
@@ -79,7 +78,7 @@ def _put(fs, path: str, chunks) -> None:
 def _writer(tokenizer_file: str, folder: str, width: str, end_id: int):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, end = CachingTokenizer(tokenizer_file, width), np.array([end_id], dtype=width).tobytes()
+        coder, end = per_process(("tokenizer", tokenizer_file, width), lambda: CachingTokenizer(tokenizer_file, width)), np.array([end_id], dtype=width).tobytes()
         fs, root = _filesystem(folder)
         size = np.dtype(width).itemsize
         part, out, own, ends, keys, at = None, None, None, [], [], 0
