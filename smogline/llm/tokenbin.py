@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 from smogline.llm.common import Remembered, per_process, scratch_path, staged
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 PART_BYTES = 16_000_000     # text per partition file, about
 MAX_PARTS = 10_000          # most partition files; they only get larger beyond
 
@@ -39,10 +39,27 @@ class CachingTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.odd = re.compile(r"\s\s| \Z").search
         self.known = Remembered(CACHED_WORDS)
+        self.newline = np.frombuffer(self._whole(["\n"])[0], dtype=width)[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, each after a space.  Many chunks go to the library as the lines of one text: a newline before a
+        space is a token of its own, so it marks the ends."""
+        lines = [c for c in chunks if c.split() == [c]]
+        made = {}
+        for a in range(0, len(lines), 4096):
+            part = lines[a: a + 4096]
+            raw = self._whole([" " + "\n ".join(part)])[0]
+            size = np.dtype(self.width).itemsize
+            ends = (np.flatnonzero(np.frombuffer(raw, dtype=self.width) == self.newline) * size).tolist()
+            if len(ends) == len(part) - 1:
+                made.update((c, raw[s:e]) for c, s, e in zip(part, [0, *(e + size for e in ends)], [*ends, len(raw)]))
+        rest = [c for c in chunks if c not in made]
+        made.update(zip(rest, self._whole([" " + c for c in rest])))
+        return made
+
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if self.odd(t)]
         out: list[bytes | None] = [None] * len(texts)
@@ -55,7 +72,7 @@ class CachingTokenizer:
                 rows.append((i, first, rest))
         new = list(self.known.missing({w for _, _, rest in rows for w in rest}))
         known = self.known.young
-        known.update(zip(new, self._whole([" " + w for w in new])))
+        known.update(self._words(new))
         for (i, _, rest), head in zip(rows, self._whole([first for _, first, _ in rows])):
             out[i] = head + b"".join(map(known.__getitem__, rest))
         return out
