@@ -31,10 +31,11 @@ def _sliced(df: DataFrame, keys: list[str], ts: str, slice_seconds: int) -> Data
     return df.withColumn("_part", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], slice_))
 
 
-def _over_slices(keys: list[str]):
+def _over_slices(keys: list[str], backwards: bool = False):
     """Window over the slices of a series (a table of slices, not of rows)."""
     series = [F.col(f"_part.k{i}") for i in range(len(keys))]
-    return (Window.partitionBy(*series) if series else Window).orderBy("_part._slice")
+    place = F.col("_part._slice")
+    return (Window.partitionBy(*series) if series else Window).orderBy(place.desc() if backwards else place)
 
 
 def rank(df: DataFrame, keys: list[str], ts: str, tie: list[str] | None = None,
@@ -85,27 +86,18 @@ def carry(df: DataFrame, keys: list[str], ts: str, tie: list[str], fills: dict[s
     """
     order = [F.col(ts), *[F.col(t) for t in tie]]
     sliced = _sliced(df, keys, ts, slice_seconds)
-    window = Window.partitionBy("_part").orderBy(*order)
-    over_slices = _over_slices(keys)
+    # looking ahead is looking back in the reversed order: a frame that starts at the partition's first row grows
+    # by one row at a time, one that ends at its last row is read anew for every row
+    windows = {"last": Window.partitionBy("_part").orderBy(*order), "next": Window.partitionBy("_part").orderBy(*[o.desc() for o in order])}
 
-    edges, carried = [], []
+    edges, carried, local = [], [], {}
     for i, (source, direction) in enumerate(fills.values()):
         seen = F.when(F.col(source).isNotNull(), F.struct(*order, F.col(source).alias("v")))
-        if direction == "last":
-            edges.append(F.max(seen).alias(f"_e{i}"))
-            carried.append(F.last(f"_e{i}", ignorenulls=True)
-                           .over(over_slices.rowsBetween(Window.unboundedPreceding, -1))["v"].alias(f"_c{i}"))
-        else:
-            edges.append(F.min(seen).alias(f"_e{i}"))
-            carried.append(F.first(f"_e{i}", ignorenulls=True)
-                           .over(over_slices.rowsBetween(1, Window.unboundedFollowing))["v"].alias(f"_c{i}"))
+        edges.append((F.max if direction == "last" else F.min)(seen).alias(f"_e{i}"))
+        earlier = _over_slices(keys, direction == "next").rowsBetween(Window.unboundedPreceding, -1)
+        carried.append(F.last(f"_e{i}", ignorenulls=True).over(earlier)["v"].alias(f"_c{i}"))
+        local[f"_l{i}"] = F.last(source, ignorenulls=True).over(windows[direction].rowsBetween(Window.unboundedPreceding, 0))
     summary = sliced.groupBy("_part").agg(*edges).select("_part", *carried)
-
-    local = {}
-    for i, (source, direction) in enumerate(fills.values()):
-        local[f"_l{i}"] = (F.last(source, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-                           if direction == "last" else
-                           F.first(source, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing)))
     joined = sliced.withColumns(local).join(summary, "_part")
     out = joined.withColumns({name: F.coalesce(F.col(f"_l{i}"), F.col(f"_c{i}")) for i, name in enumerate(fills)})
     helpers = [f"_{p}{i}" for i in range(len(fills)) for p in "lc"]

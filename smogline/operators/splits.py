@@ -19,9 +19,10 @@ def temporal_split(df: DataFrame, ts: str = "timestamp_utc", tie=(), test_share:
                    slice_seconds: int = series.SLICE_SECONDS) -> DataFrame:
     """The first int(n·(1-share)) rows in time order are "train", the rest "test".
 
-    Slice counts name the one slice the cut falls in; only its rows are ranked.
+    Rows without a time come last.  Slice counts name the one slice the cut falls in; only its rows are ranked.
     """
-    sliced = df.withColumn("_slice", clock.time_chunk(F.col(ts), slice_seconds))
+    late = F.lit(2**62)     # the slice of rows without a time
+    sliced = df.withColumn("_slice", F.coalesce(clock.time_chunk(F.col(ts), slice_seconds).cast("long"), late))
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_c"))
     running = Window.orderBy("_slice")            # one row per slice
     placed = sizes.select("_slice", (F.sum("_c").over(running) - F.col("_c")).alias("_before"), "_c")
@@ -29,22 +30,24 @@ def temporal_split(df: DataFrame, ts: str = "timestamp_utc", tie=(), test_share:
         (F.col("_before") <= F.col("_t.n")) & (F.col("_t.n") < F.col("_before") + F.col("_c"))).agg(
         F.first("_slice").alias("slice"), F.first(F.col("_t.n") - F.col("_before")).alias("left"))
     marked = with_row_of(sliced, cut, "_cut", now=True)
-    on_cut = F.col("_slice") == F.col("_cut.slice")
-    spread = marked.filter(~F.coalesce(on_cut, F.lit(False))).withColumn(
+    on_cut = F.col("_slice").eqNullSafe(F.col("_cut.slice"))      # no cut: everything is train
+    spread = marked.filter(~on_cut).withColumn(
         "split", F.when(F.coalesce(F.col("_slice") < F.col("_cut.slice"), F.lit(True)), "train").otherwise("test"))
     inside = marked.filter(on_cut).withColumn("_rn", F.row_number().over(Window.partitionBy("_slice").orderBy(ts, *tie)))
     inside = inside.withColumn("split", F.when(F.col("_rn") <= F.col("_cut.left"), "train").otherwise("test")).drop("_rn")
     return spread.unionByName(inside).drop("_slice", "_cut")
 
 
-def _fold_of_groups(sizes: DataFrame, group: str, folds: int) -> DataFrame:
-    """Deal groups to folds from the largest down, forwards and backwards in turn."""
+def _fold_of_groups(sizes: DataFrame, group: str, most: int) -> DataFrame:
+    """Deal groups to folds from the largest down, forwards and backwards in turn; never more folds than groups."""
+    sizes = with_row_of(sizes, sizes.agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("folds")), "_all")
+    folds = F.col("_all.folds")
     # one row per group; ranked inside groups of equal size, shifted by the larger ones
     ties = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_same"))
     larger = ties.select("_n", F.coalesce(F.sum("_same").over(
         Window.orderBy(F.col("_n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_larger"))
     rank = F.col("_larger") + F.row_number().over(Window.partitionBy("_n").orderBy(group)) - 1
-    lap, place = F.floor(F.col("_rank") / folds), F.pmod(F.col("_rank"), F.lit(folds))
+    lap, place = F.floor(F.col("_rank") / folds), F.pmod(F.col("_rank"), folds)
     return (sizes.join(larger, "_n").withColumn("_rank", rank)
             .select(group, F.when(lap % 2 == 0, place).otherwise(folds - 1 - place).cast("int").alias("fold")))
 
@@ -52,7 +55,7 @@ def _fold_of_groups(sizes: DataFrame, group: str, folds: int) -> DataFrame:
 def group_kfold(df: DataFrame, group: str = "station_id", folds: int = 5) -> DataFrame:
     """Adds ``fold``: all rows of a station share one fold, folds are balanced by size.
 
-    A missing station counts as one group of its own.
+    With fewer stations than ``folds`` there are as many folds as stations.  A missing station counts as one group of its own.
     """
     named = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("station_unassigned")))
     sizes = named.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))

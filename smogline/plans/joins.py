@@ -105,16 +105,17 @@ def _static_join(t):
     return matching.static_cell_join(t.v_pixels, t.v_static, ["location_id"])
 
 
-@query("species_outer_join", "pm25 no2 co", """
-    WITH a AS (SELECT station_id, date_trunc('hour', timestamp_utc) AS hour, avg(value) AS pm25 FROM v_obs_long WHERE parameter = 'pm25' GROUP BY ALL),
-         b AS (SELECT station_id, date_trunc('hour', timestamp_utc) AS hour, avg(value) AS no2 FROM v_obs_long WHERE parameter = 'no2' GROUP BY ALL),
-         c AS (SELECT station_id, date_trunc('hour', timestamp_utc) AS hour, avg(value) AS co FROM v_obs_long WHERE parameter = 'co' GROUP BY ALL)
-    SELECT station_id, hour, pm25, no2, co FROM a FULL JOIN b USING (station_id, hour) FULL JOIN c USING (station_id, hour)""")
+_SPECIES = ("pm25", "no2", "so2", "co", "o3")
+
+
+@query("species_outer_join", " ".join(_SPECIES), "WITH " + ", ".join(f"""
+    t_{p} AS (SELECT station_id, date_trunc('hour', timestamp_utc) AS hour, avg(value) AS {p} FROM v_obs_long WHERE parameter = '{p}' GROUP BY ALL)""" for p in _SPECIES)
+       + f" SELECT station_id, hour, {', '.join(_SPECIES)} FROM t_pm25 " + " ".join(f"FULL JOIN t_{p} USING (station_id, hour)" for p in _SPECIES[1:]))
 def _species(t):
     def one(p):
         hour = clock.trunc_hour(F.col("timestamp_utc")).alias("hour")
         return t.v_obs_long.filter(F.col("parameter") == p).groupBy("station_id", hour).agg(F.avg("value").alias(p))
-    return matching.species_outer_join([one(p) for p in ("pm25", "no2", "co")], ["station_id", "hour"])
+    return matching.species_outer_join([one(p) for p in _SPECIES], ["station_id", "hour"])
 
 
 @query("daily_weather_join", "pm25 temperature precipitation", """

@@ -46,11 +46,12 @@ def _summary(t):
     return profile.summary_stats(t.v_features, _STAT)
 
 
-_MISS = ["pm25_ground", "aod_550nm", "satellite_no2", "temperature_2m", "boundary_layer_height", "road_density", "elevation_m", "station_id"]
+_MISS = {"pm25_ground": "leave out of training", "aod_550nm": "add a gap flag", "satellite_no2": "add a gap flag", "temperature_2m": "fill short gaps in time",
+         "boundary_layer_height": "fill short gaps in time", "road_density": "constant or median", "elevation_m": "constant or median", "station_id": "look at it first"}
 
 
 @query("missingness_profile", "missing_pct", " UNION ALL ".join(f"""
-    SELECT '{c}' AS "column", n AS missing_count, {S.bround('p', 2)} AS missing_pct, '{profile.missing_strategy(c)}' AS strategy
+    SELECT '{c}' AS "column", n AS missing_count, {S.bround('p', 2)} AS missing_pct, '{_MISS[c]}' AS strategy
     FROM (SELECT count(*) - count({c}) AS n, (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS p FROM v_features)""" for c in _MISS))
 def _missing(t):
     return profile.missingness_profile(t.v_features.select(*_MISS))

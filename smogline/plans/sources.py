@@ -153,13 +153,15 @@ def _recent(t):
     return nested.recent_stations(seen, "last_seen", ["station_id"])
 
 
-@query("concat_batches", "value", """
-    SELECT event_id, station_id, 'pm25' AS species, value FROM v_obs_long WHERE parameter = 'pm25'
-    UNION ALL SELECT event_id, NULL, 'no2', value FROM v_obs_long WHERE parameter = 'no2'""")
+_BATCHES = ("pm25", "no2", "so2", "co", "o3")
+
+
+@query("concat_batches", "value", " UNION ALL ".join(f"""
+    SELECT event_id, {"station_id" if p == "pm25" else "NULL"} AS station_id, '{p}' AS species, value FROM v_obs_long WHERE parameter = '{p}'""" for p in _BATCHES))
 def _concat(t):
-    pm25 = t.v_obs_long.filter("parameter = 'pm25'").select("event_id", "station_id", F.lit("pm25").alias("species"), "value")
-    no2 = t.v_obs_long.filter("parameter = 'no2'").select("event_id", F.lit("no2").alias("species"), "value")
-    return quality.concat_batches([pm25, no2])
+    def batch(p):       # only the first batch knows its stations
+        return t.v_obs_long.filter(F.col("parameter") == p).select("event_id", *["station_id"] * (p == "pm25"), F.lit(p).alias("species"), "value")
+    return quality.concat_batches([batch(p) for p in _BATCHES])
 
 
 @query("drop_exact_duplicates", "", """

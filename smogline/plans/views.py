@@ -53,13 +53,13 @@ VIEWS = {
                72.6e0 + ((o_orderkey * 41) % 831) / 100e0 AS longitude,
                o_totalprice / 90000e0 AS aod_550nm, CAST(o_orderkey % 4 AS INT) AS aod_qa_flag
         FROM orders""",
-    # satellite and ground records on one clock
+    # satellite and ground records on one clock; every event is on one of the sides
     "v_sat_events": """
         SELECT event_id AS record_id, user_id % 10 AS station_id, ts AS timestamp_utc, value / 60e0 AS aod_550nm
-        FROM events WHERE event_type = 'view'""",
+        FROM events WHERE event_type IN ('view', 'click')""",
     "v_ground_events": """
         SELECT event_id, user_id % 10 AS station_id, ts AS timestamp_utc, value AS pm25
-        FROM events WHERE event_type = 'error'""",
+        FROM events WHERE event_type NOT IN ('view', 'click')""",
     "v_sat_pixels": """
         SELECT event_id AS record_id, ts AS timestamp_utc,
                15.6e0 + ((event_id * 29) % 651) / 100e0 AS latitude,

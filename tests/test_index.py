@@ -75,5 +75,5 @@ def test_narrative_and_top_contributions(spark):
                        risk.narrative(F.lit(75.0), F.col("base_value"), F.col("contributions")).alias("n")).orderBy("id").collect()
     assert rows[0]["c"][0]["feature"] == "aod_550nm" and rows[0]["c"][0]["contribution"] == pytest.approx(30.0)
     text = rows[0]["n"].splitlines()
-    assert text[0] == "PM2.5 prediction is 75.0 ug/m3 (MODERATE air quality)."
-    assert text[3] == "  • Optical aerosol density: elevating PM2.5 by 30.0 ug/m3 (+30.0)"
+    assert text[0] == "Estimated PM2.5: 75.0 ug/m3, class MODERATE."
+    assert text[3] == "- Haze seen from orbit: +30.0 ug/m3"
