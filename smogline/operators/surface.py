@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from smogline import constants as K
 from smogline.functions import aqi, geo, risk
 from smogline.operators import nearest
-from smogline.operators.common import SMALL_TABLE_ROWS, small_rows, with_row_of
+from smogline.operators.common import with_row_of
 
 
 @dataclass(frozen=True)
@@ -88,16 +88,16 @@ def idw(known: DataFrame, value: str, grid: Grid, by: list[str] = (), power: flo
         default: float = 65.0) -> DataFrame:
     """Inverse-distance surface of a grid per ``by`` group (a time, say).
 
-    Every known point adds its weight to every cell, which the map side already
-    sums, so no group of points has to meet in one task.  Groups without any
+    Readings of one place are merged into their sum and number first.  Every place then adds its
+    weight to every cell, which the map side already sums, so no group has to meet in one task.  Groups without any
     known value do not appear; an empty input with no ``by`` gives the default.
     """
     points = known.filter(F.col(value).isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    cells = points.select(*by, F.col(value).alias("_v"), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"),
-                          F.explode(F.sequence(F.lit(0), F.lit(grid.size - 1))).alias("cell"))
+    places = points.groupBy(*by, F.col("latitude").alias("_la"), F.col("longitude").alias("_lo")).agg(F.sum(value).alias("_v"), F.count(value).alias("_n"))
+    cells = places.select(*by, "_v", "_n", "_la", "_lo", F.explode(F.sequence(F.lit(0), F.lit(grid.size - 1))).alias("cell"))
     w = _weight(grid.lat(F.col("cell")), grid.lon(F.col("cell")), F.col("_la"), F.col("_lo"), float(grid.mean_lat), power, min_km)
     sums = cells.withColumn("_w", w).groupBy(*by, "cell").agg(
-        F.sum(F.col("_w") * F.col("_v")).alias("_wv"), F.sum("_w").alias("_ws"))
+        F.sum(F.col("_w") * F.col("_v")).alias("_wv"), F.sum(F.col("_w") * F.col("_n")).alias("_ws"))
     filled = sums.withColumn("value", F.col("_wv") / F.col("_ws"))
     if not by:
         every = known.sparkSession.range(grid.size).select(F.col("id").cast("int").alias("cell"))
@@ -105,39 +105,20 @@ def idw(known: DataFrame, value: str, grid: Grid, by: list[str] = (), power: flo
     return filled.withColumns(grid.columns(F.col("cell"))).select(*by, "cell", "latitude", "longitude", "value")
 
 
-def _to_points(df: DataFrame, points: DataFrame, columns: list[str], limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Every row of ``df`` next to every point.
-
-    Points proven few are exploded from one array; more of them are dealt into
-    blocks which every row visits by key.
-    """
-    slim = points.select(*[F.col(c).alias(f"p_{c}") for c in columns])
-    rows = small_rows(slim, limit)
-    if rows is not None:
-        packed = slim.sparkSession.createDataFrame(rows, slim.schema).agg(
-            F.collect_list(F.struct(*slim.columns)).alias("pts"))
-        return df.withColumn("_pts", packed.scalar()).select("*", F.inline("_pts")).drop("_pts")
-    blocks = 64
-    dealt = slim.withColumn("_block", F.pmod(F.xxhash64(*slim.columns), F.lit(blocks)))
-    visits = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return visits.join(dealt, "_block").drop("_block")
-
-
-def idw_leave_one_out(known: DataFrame, value: str, by: list[str], station="station_id", power: float = 2.0,
-                      min_km: float = 0.05, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
+def idw_leave_one_out(known: DataFrame, value: str, by: list[str], station="station_id", power: float = 2.0, min_km: float = 0.05) -> DataFrame:
     """Each station's value estimated from the other stations of its group.
 
     One row per (group, station) is expected.  Distances are scaled at the
-    estimated station's latitude.
+    estimated station's latitude.  Stations meet inside their group only; null group values are a group.
     """
-    places = known.select(station, "latitude", "longitude").distinct()
-    pairs = _to_points(known, places, [station, "latitude", "longitude"], limit).filter(
-        F.col(station) != F.col(f"p_{station}"))
-    w = _weight(F.col("p_latitude"), F.col("p_longitude"), F.col("latitude"), F.col("longitude"),
-                F.col("p_latitude"), power, min_km)
-    sums = pairs.withColumn("_w", w).groupBy(*by, F.col(f"p_{station}").alias(station)).agg(
-        (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("estimate"))
-    return known.join(sums, [*by, station], "inner")
+    group = F.struct(*[F.col(b) for b in by], F.lit(0).alias("one"))
+    left = known.withColumn("_group", group)
+    right = known.select(group.alias("_other_group"), *[F.col(c).alias(f"p_{c}") for c in (station, "latitude", "longitude")])
+    pairs = left.join(right, (F.col("_group") == F.col("_other_group")) & (F.col(station) != F.col(f"p_{station}")))
+    w = _weight(F.col("p_latitude"), F.col("p_longitude"), F.col("latitude"), F.col("longitude"), F.col("p_latitude"), power, min_km)
+    sums = (pairs.withColumn("_w", w).groupBy("_group", F.col(f"p_{station}").alias("_station"))
+            .agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("estimate")).withColumnRenamed("_group", "_sum_group"))
+    return left.join(sums, (F.col("_group") == F.col("_sum_group")) & (F.col(station) == F.col("_station"))).drop("_group", "_sum_group", "_station")
 
 
 # ---- regression kriging ---------------------------------------------------

@@ -116,6 +116,20 @@ def test_row_fraction_split(readings, share):
     same(got.select("id", "split"), want)
 
 
+def test_rows_without_a_time_come_last(spark):
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else start + timedelta(hours=i)) for i in range(12)], "id int, timestamp_utc timestamp_ntz")
+    timed = [1, 2, 4, 5, 7, 8, 10, 11]
+    for share, train in ((0.5, timed[:6]), (0.2, [*timed, 0])):
+        got = splits.temporal_split(df, tie=["id"], test_share=share).filter("split = 'train'")
+        assert sorted(r["id"] for r in got.collect()) == sorted(train)
+
+
+def test_no_more_folds_than_stations(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "id int, station_id string")
+    assert {r["fold"] for r in splits.group_kfold(df, folds=5).select("fold").collect()} == {0, 1}
+
+
 def test_folds_do_not_share_stations(readings):
     dealt = splits.group_kfold(readings, folds=3)
     per = dealt.groupBy("station_id").agg(F.count_distinct("fold").alias("n")).collect()

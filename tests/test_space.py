@@ -96,12 +96,15 @@ def test_idw_returns_the_station_value(spark):
     assert {r["value"] for r in empty} == {65.0}
 
 
-def test_leave_one_out_paths_agree(spark):
-    rows = [(d, s, 18.0 + s * 0.1, 73.0 + (s * 7 % 5) * 0.1, float(s * 3 + d)) for d in range(2) for s in range(6)]
+def test_leave_one_out_uses_the_other_stations_of_the_group(spark):
+    rows = [(d, s, 18.0 + s * 0.1, 73.0 + (s * 7 % 5) * 0.1, float(s * 3 + (d or 9))) for d in (0, 1, None) for s in range(6)]
     known = spark.createDataFrame(rows, "d int, station_id int, latitude double, longitude double, v double")
-    runs = [sorted((r["d"], r["station_id"], round(r["estimate"], 9)) for r in surface.idw_leave_one_out(known, "v", ["d"], limit=k).collect())
-            for k in (100, 2)]
-    assert runs[0] == runs[1] and len(runs[0]) == 12
+    got = {(r["d"], r["station_id"]): r["estimate"] for r in surface.idw_leave_one_out(known, "v", ["d"]).collect()}
+    assert len(got) == 18
+    for d, s, la, lo, _ in rows:
+        k = [(max(0.05, np.hypot((la - b) * 111.0, (lo - c) * 111.0 * np.cos(np.radians(la)))) ** -2, v) for e, o, b, c, v in rows if e == d and o != s]
+        assert got[d, s] == pytest.approx(sum(w * v for w, v in k) / sum(w for w, _ in k))
+    assert surface.idw_leave_one_out(known.filter("d = 0"), "v", []).count() == 6
 
 
 def test_kriging_equals_direct_solve(spark):
