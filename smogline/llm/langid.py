@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from smogline.llm.common import staged
+from smogline.llm.common import Remembered, per_process, staged
 
-TRAIN_ROWS = 20_000         # labelled rows that the classifier is fitted on, at most, per language
+TRAIN_ROWS = 4_000          # labelled rows that the classifier is fitted on, at most, per language
 LONGEST = 64                # letters of a piece of text that is scored at once; longer words are cut there
-CACHED_WORDS = 300_000
+CACHED_WORDS = 300_000      # words whose scores a worker remembers, twice; the rest is worked out again
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -158,24 +160,25 @@ def train(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str
 
 
 def _predictions(model: Model | None):
+    token = uuid.uuid4().hex
+
     def run(batches):
-        known: dict[str, tuple[float, ...]] = {}
+        kept = per_process(("langid",), dict)       # scores of the model in use, one model at a time
+        if kept.get("token") != token:
+            kept.update(token=token, scores=Remembered(CACHED_WORDS))
+        scored = kept["scores"]
         for batch in batches:
             best, sure = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                words = words_of(text) if text and model else []
+            rows = [words_of(text) if text and model else [] for text in batch.column(batch.num_columns - 1).to_pylist()]
+            new = {w: model.word_score(w) for w in scored.missing(set(chain.from_iterable(rows)))}
+            known = scored.young
+            known.update(new)
+            for words in rows:
                 if not words:
                     best.append("und")
                     sure.append(0.0)
                     continue
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                scores = []
-                for w in words:
-                    s = known.get(w)
-                    if s is None:
-                        s = known[w] = model.word_score(w)
-                    scores.append(s)
+                scores = map(known.__getitem__, words)
                 sums = [math.fsum(x) for x in zip(*scores)]
                 top = max(sums)
                 shares = [math.exp(max(-700.0, x - top)) for x in sums]
