@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 from smogline.llm.common import Remembered, per_process, scratch_path, staged
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 PART_BYTES = 16_000_000     # text per partition file, about
 MAX_PARTS = 10_000          # most partition files; they only get larger beyond
 
