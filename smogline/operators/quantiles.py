@@ -7,7 +7,7 @@ the rows of those bins.  Their values are counted, cut once more into equal piec
 the bin's smallest and largest value, and only the wanted pieces are put in order.
 
 A narrow column falls into few bins, but the pieces follow its own range, so that a piece is small all
-the same.  There is one path for all sizes.
+the same.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from smogline.operators.common import unpivot
+from smogline.operators.common import null_safe_join, unpivot
 
 Position = Callable[[Column], Column]
 
 # Bins are equally wide on a logarithmic scale: 1/BINS_PER_E relative width.
-BINS_PER_E = 400
+BINS_PER_E = 40
 _SCALE = 1000.0
 # Pieces of a bin that holds a wanted rank.
 PIECES = 4096
@@ -77,14 +77,14 @@ def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[P
     placed = (bins.withColumn("_n", F.sum("_c").over(every))
               .withColumn("_before", F.sum("_c").over(every.orderBy("_at.bin")) - F.col("_c"))
               .withColumn("_w", _holding(ranks)))
-    targets = placed.filter(F.size("_w") > 0).select("_at", "_low", "_high", "_before", "_n", "_w")
+    targets = placed.filter(F.size("_w") > 0).select("_at", "_low", "_high", "_before", "_n")
     # only rows of the wanted bins go on
     counts = (rows.filter(F.col("_v").isNotNull()).join(targets, "_at")
               .groupBy(F.struct("_at", _piece(F.col("_v"), F.col("_low"), F.col("_high"), pieces).alias("piece")).alias("_in"), "_v")
-              .agg(F.count(F.lit(1)).alias("_k"), F.first("_before").alias("_start"), F.first("_n").alias("_n"), F.first("_w").alias("_w")))
-    runs = counts.groupBy("_in").agg(F.sum("_k").alias("_c"), F.first("_start").alias("_start"), F.first("_w").alias("_w"))
+              .agg(F.count(F.lit(1)).alias("_k"), F.max("_before").alias("_start"), F.max("_n").alias("_n")))
+    runs = counts.groupBy("_in").agg(F.sum("_k").alias("_c"), F.max("_start").alias("_start"), F.max("_n").alias("_n"))
     ahead = F.sum("_c").over(Window.partitionBy("_in._at").orderBy("_in.piece")) - F.col("_c")
-    wanted = (runs.withColumn("_before", F.col("_start") + ahead).withColumn("_hits", _holding(F.col("_w")))
+    wanted = (runs.withColumn("_before", F.col("_start") + ahead).withColumn("_hits", _holding(ranks))
               .filter(F.size("_hits") > 0).select("_in", "_before", "_hits"))
     order = Window.partitionBy("_in").orderBy("_v")
     hits = (counts.select("_in", "_v", F.col("_k").alias("_c"), "_n").join(wanted.withColumnRenamed("_before", "_base"), "_in")
@@ -106,12 +106,41 @@ def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[P
     return found.groupBy("_g").agg(F.array(*picks).alias("q"), amount).select(*[F.col(f"_g.g{i}").alias(b) for i, b in enumerate(by)], "q", "n")
 
 
-def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float], pieces: int = PIECES) -> DataFrame:
-    """One row per group with a column ``<column>_p<percent>`` per column and probability.
+# Groups of up to this many rows are sorted whole: many small groups gain nothing from bins.
+SMALL_GROUP_ROWS = 50_000
 
-    A group (null keys included) without a value gets nulls.  With no ``by`` there is always one row.
-    """
+
+def _by_bins(df: DataFrame, by: list[str], columns: list[str], probs: list[float], pieces: int) -> DataFrame:
     found = long_quantiles(unpivot(df, by, columns, "_name", "_value"), [*by, "_name"], "_value", [interpolated(p) for p in probs], pieces)
     wide = [F.max(F.when(F.col("_name") == c, F.col("q")[i])).alias(column_name(c, p))
             for c in columns for i, p in enumerate(probs)]
     return found.groupBy(*by).agg(*wide)
+
+
+def _by_sorting(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
+    """Each group's values as one sorted array; a group without values gets nulls."""
+    lists = df.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.when(~F.isnan(c), F.col(c)))).alias(c) for c in columns])
+    picks = []
+    for c in columns:
+        for p in probs:
+            place = F.lit(float(p)) * (F.size(c) - 1)
+            share = place - F.floor(place)
+            low, high = F.get(c, F.floor(place).cast("int")), F.get(c, F.ceil(place).cast("int"))
+            picks.append((low * (1.0 - share) + high * share).alias(column_name(c, p)))
+    return lists.select(*by, *picks)
+
+
+def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float], pieces: int = PIECES,
+                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+    """One row per group with a column ``<column>_p<percent>`` per column and probability.
+
+    A group (null keys included) without a value gets nulls.  With no ``by`` there is always one row.  Groups
+    are counted first; small ones are sorted whole and large ones go through the bins, with the same rows and values either way.
+    """
+    slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    if not by:
+        return _by_bins(slim, by, columns, probs, pieces)
+    sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    sized = null_safe_join(slim, sizes, by, "inner")
+    direct = _by_sorting(sized.filter(F.col("_rows") <= small_group_rows), by, columns, probs)
+    return direct.unionByName(_by_bins(sized.filter(F.col("_rows") > small_group_rows), by, columns, probs, pieces))

@@ -57,15 +57,15 @@ def test_nearest_any(spark, scattered, limit):
         assert got[i]["station_id"] == s and got[i]["distance_km"] == pytest.approx(d, abs=1e-5)
 
 
-@pytest.mark.parametrize("pieces", [1, 7, 4096])
-def test_quantiles(spark, pieces):
+@pytest.mark.parametrize("pieces, small", [(1, 0), (7, 100), (4096, 0), (4096, 10_000)])
+def test_quantiles(spark, pieces, small):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice([None, float("nan"), -3.0, 0.0, -0.0] + [rng.gauss(0, 100) for _ in range(9)]),
              1013 + rng.uniform(-0.05, 0.05)) for _ in range(700)]
     rows += [("void", None, None), ("void", float("nan"), None)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
     probs = [0.0, 0.25, 0.5, 0.95, 1.0]
-    got = quantiles.exact_quantiles(df, ["g"], ["x", "y"], probs, pieces).collect()
+    got = quantiles.exact_quantiles(df, ["g"], ["x", "y"], probs, pieces, small).collect()
     assert sorted(str(r["g"]) for r in got) == ["None", "a", "b", "hot", "void"]
     for r in got:
         for c, k in (("x", 1), ("y", 2)):
