@@ -63,52 +63,59 @@ class Model:
         self.languages, self.probs, self.other = languages, probs, other
         self.table = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
-        self.rows = [tuple(r) for r in probs.tolist()]
-        self.single = tuple(other.tolist())
-
-    def edges(self, word: str):
-        """For every end, the (start, piece) pairs that reach it; a character that is no piece is one by itself (-1)."""
-        table, longest, n = self.table, self.longest, len(word)
-        into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = table.get(word[i:j])
-                if piece is not None:
-                    into[j].append((i, piece))
-                elif j == i + 1:
-                    into[j].append((i, -1))
-        return into
-
-    def forward(self, word: str, into=None) -> list[tuple[float, ...]]:
-        """Probability of each prefix under each language, summed over all segmentations."""
-        k = range(len(self.languages))
-        alpha = [(1.0,) * len(self.languages)]
-        for ends in (into or self.edges(word))[1:]:
-            total = [0.0] * len(self.languages)
-            for i, piece in ends:
-                a, p = alpha[i], self.rows[piece] if piece >= 0 else self.single
-                for x in k:
-                    total[x] += a[x] * p[x]
-            alpha.append(tuple(total))
-        return alpha
-
-    def word_score(self, word: str) -> tuple[float, ...]:
-        return tuple(math.log(x) if x > 0 else -745.0 for x in self.forward(word)[-1])
-
-    def expected(self, word: str, language: int, weight: float, into_counts) -> None:
-        """Add the expected number of uses of each piece in the word to ``into_counts``."""
-        into = self.edges(word)
-        alpha = [a[language] for a in self.forward(word, into)]
-        whole = alpha[-1]
-        if whole <= 0:
-            return
-        beta = [0.0] * len(alpha)
-        beta[-1] = 1.0
-        for j in range(len(word), 0, -1):
-            for i, piece in into[j]:
-                p = self.rows[piece][language] if piece >= 0 else self.single[language]
-                beta[i] += p * beta[j]
-                into_counts[piece] += weight * alpha[i] * p * beta[j] / whole
+        # one row per piece, one for a single character outside the vocabulary, one for what is no piece
+        self.rows = np.concatenate((probs, other[None, :], np.zeros((1, len(languages)))))
+
+    def _pieces(self, words: list[str]):
+        """Groups of words of one length: their places in ``words``, the (start, length) of every piece they may hold, ascending by
+        start, and the number of the piece that each word has there."""
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for at, w in enumerate(words):
+            by_length[len(w)].append(at)
+        get, none = self.table.get, len(self.table) + 1
+        for n, places in by_length.items():
+            spans = [(i, m) for i in range(n) for m in range(1, min(self.longest, n - i) + 1)]
+            single = np.array([m == 1 for _, m in spans])
+            step = max(1, 2_000_000 // max(1, len(spans)))
+            for k in range(0, len(places), step):
+                part = places[k: k + step]
+                found = np.array([get(words[at][i: i + m], none) for at in part for i, m in spans], dtype=np.int32).reshape(len(part), len(spans))
+                found[(found == none) & single] = none - 1      # a character that is no piece stands for itself
+                yield part, n, spans, found
+
+    def score(self, words: list[str]) -> list[tuple[float, ...]]:
+        """Log probability of each word under each language, summed over all segmentations by the forward algorithm."""
+        out: list = [None] * len(words)
+        for part, n, spans, found in self._pieces(words):
+            alpha = np.zeros((n + 1, len(part), len(self.languages)))
+            alpha[0] = 1.0
+            for k, (i, m) in enumerate(spans):
+                alpha[i + m] += alpha[i] * self.rows[found[:, k]]
+            with np.errstate(divide="ignore"):
+                logs = np.maximum(np.log(alpha[n]), -745.0)
+            for at, row in zip(part, logs.tolist()):
+                out[at] = tuple(row)
+        return out
+
+    def expected(self, words: list[str], language: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected number of uses of each piece (rows as in ``rows``) by language, over weighted words."""
+        counts = np.zeros(self.rows.size)
+        k_languages = len(self.languages)
+        for part, n, spans, found in self._pieces(words):
+            own, amount = language[part], weight[part]
+            probs = self.rows[found, own[:, None]]
+            alpha, beta = np.zeros((n + 1, len(part))), np.zeros((n + 1, len(part)))
+            alpha[0] = beta[n] = 1.0
+            for k, (i, m) in enumerate(spans):
+                alpha[i + m] += alpha[i] * probs[:, k]
+            for k in range(len(spans) - 1, -1, -1):
+                i, m = spans[k]
+                beta[i] += beta[i + m] * probs[:, k]
+            share = np.divide(amount, alpha[n], out=np.zeros(len(part)), where=alpha[n] > 0)
+            starts, ends = (np.array(x, dtype=np.int64) for x in zip(*((i, i + m) for i, m in spans)))
+            uses = share[:, None] * alpha[starts].T * probs * beta[ends].T
+            counts += np.bincount((found * k_languages + own[:, None]).ravel(), weights=uses.ravel(), minlength=counts.size)
+        return counts.reshape(self.rows.shape)
 
 
 def _count_words(batches):
@@ -124,13 +131,13 @@ def _count_words(batches):
 def _expectations(model: Model):
     def run(batches):
         place = {lang: i for i, lang in enumerate(model.languages)}
-        sums: dict = {lang: defaultdict(float) for lang in model.languages}
+        counts = np.zeros(model.rows.shape)
         for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                model.expected(word, place[lang], n, sums[lang])
-        for lang, counts in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "piece": list(counts), "n": list(counts.values())},
-                                             schema=pa.schema([("lang", pa.string()), ("piece", pa.int64()), ("n", pa.float64())]))
+            langs, words, n = (c.to_pylist() for c in batch.columns)
+            counts += model.expected(words, np.array([place[x] for x in langs], dtype=np.int64), np.array(n, dtype=float))
+        piece, lang = np.nonzero(counts[:-1])
+        yield pa.RecordBatch.from_pydict({"lang": [model.languages[x] for x in lang.tolist()], "piece": piece, "n": counts[piece, lang]},
+                                         schema=pa.schema([("lang", pa.string()), ("piece", pa.int64()), ("n", pa.float64())]))
     return run
 
 
@@ -170,9 +177,9 @@ def _predictions(model: Model | None):
         for batch in batches:
             best, sure = [], []
             rows = [words_of(text) if text and model else [] for text in batch.column(batch.num_columns - 1).to_pylist()]
-            new = {w: model.word_score(w) for w in scored.missing(set(chain.from_iterable(rows)))}
+            new = list(scored.missing(set(chain.from_iterable(rows))))
             known = scored.young
-            known.update(new)
+            known.update(zip(new, model.score(new) if new else ()))
             for words in rows:
                 if not words:
                     best.append("und")

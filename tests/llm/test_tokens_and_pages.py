@@ -120,7 +120,10 @@ def test_forward_sums_all_segmentations():
         p = {"a": .3, "b": .2, "ab": .4, "ba": .1}
         return sum((p.get(word[:n], .01 if n == 1 else 0)) * brute(word[n:]) for n in (1, 2) if n <= len(word))
     for word in ("a", "abab", "babax", "xx"):
-        assert abs(model.forward(word)[-1][0] - brute(word)) < 1e-12
+        assert abs(np.exp(model.score([word, "ab"])[0][0]) - brute(word)) < 1e-12
+    # "ab" is one piece with 0.4 or two with 0.06
+    counts = model.expected(["ab"], np.array([0]), np.array([2.0]))[:, 0]
+    assert np.allclose(counts, [2 * .06 / .46, 2 * .06 / .46, 2 * .4 / .46, 0, 0, 0])
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header><h1>Site name</h1></header>
