@@ -1,6 +1,6 @@
 """Substring dedup by hashing lines.
 
-A unit is a line of the text.  Units with at least ``min_words`` words are normalised (lower case; everything but
+A unit is a line of the text that holds a word, however short.  Units are normalised (lower case; everything but
 letters and digits is one space) and digested; of all units with one digest, in the whole table, the
 first by (document key, line) stays and the others are cut out.  The cut spans are kept as offsets
 into the original text.
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from smogline.llm.common import digest, staged
 
-MIN_WORDS = 20
+MIN_WORDS = 1
 SPANS = "array<struct<start:bigint,length:bigint,line:int>>"
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
@@ -27,7 +27,7 @@ def _units(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     line = F.posexplode(F.split(text, "\n")).alias("line", "_raw")
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_copy"), line)
     # cheap test first: too few characters cannot hold enough words
-    rows = rows.filter(F.length("_raw") >= 2 * min_words - 1).withColumn("_unit", _normal(F.col("_raw")))
+    rows = rows.filter(F.length("_raw") >= 2 * min_words - 1).withColumn("_unit", _normal(F.col("_raw"))).filter("_unit != ''")
     rows = rows.filter(F.length("_unit") - F.length(F.translate("_unit", " ", "")) >= min_words - 1)
     return rows.select("_key", "_copy", "line", F.substring(digest(F.col("_unit")), 1, 16).alias("unit"))
 
@@ -41,8 +41,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     row loses only what an earlier rank holds.  Null texts stay null; an empty text has no units.  All columns of
     the input remain; a column named ``removed`` is replaced.
 
-    Lines shorter than ``min_words`` words are never cut: short lines recur by chance.  The frequent line of a hot
-    group is reduced to one row per task before the shuffle; the join against the digests that
+    Every repeated line goes whatever its length, so a repeated passage goes also where it is wrapped into short lines.
+    Lines without a word (blank ones, rules) are layout and stay.  A caller that wants short lines back raises
+    ``min_words``; lines with fewer words are then never cut.  The frequent line of a hot group is reduced to one row per task before the shuffle; the join against the digests that
     occur twice leaves a hot digest to skew splitting.  Texts are shuffled once, by key, to meet their cuts.
     """
     units = staged(_units(docs, key, text, min_words), "line-units")

@@ -122,3 +122,13 @@ def test_pipeline_on_a_small_folder(spark, table, sentence, tmp_path):
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(out) == [*range(120), 200, 300, 301]
     assert out[301]["n_tokens"] < out[300]["n_tokens"]      # the shared line went from the later document
+
+
+def test_line_dedup_cuts_short_lines_and_wrapped_passages(table, sentence):
+    wrapped = [sentence(6) for _ in range(12)]
+    own = [sentence(7) for _ in range(6)]
+    rows = [row(i, "\n".join([own[i], "---", "", *wrapped, "Ok", own[i + 3]])) for i in range(3)]
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(table(rows)).collect()}
+    assert out[0]["text"] == rows[0][1] and out[0]["removed"] == []
+    for i in (1, 2):        # lines without a word are no repeats
+        assert out[i]["text"] == f"{own[i]}\n---\n\n{own[i + 3]}" and [s["line"] for s in out[i]["removed"]] == list(range(3, 16))
