@@ -55,6 +55,33 @@ def test_components_match_brute_force(spark, table, odd_rows, sentence):
     assert simhash.near_duplicates(table([])).count() == 0
 
 
+def test_stage_finds_near_copies_beyond_four_bits(table, sentence):
+    rows, rng = [], np.random.default_rng(3)
+    for g in range(30):     # up to six changed words in 160: similarity from 1 down to about 0.68
+        base = sentence(160).split()
+        for m in range(3):
+            words = list(base)
+            for at in rng.choice(160, m * (1 + g % 3), replace=False).tolist():
+                words[at] = f"edit{g}x{m}x{at}"
+            rows.append(row(1 + 3 * g + m, " ".join(words)))
+    base = sentence(60).split()     # a large group, every member another word changed
+    rows += [row(1000 + i, " ".join(base[:i % 60] + [f"other{i}"] + base[i % 60 + 1:])) for i in range(150)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    prints = [fingerprint(r[1]) for r in rows]
+    top = list(range(len(rows)))
+    for _ in rows:
+        old = list(top)
+        for i in range(len(rows)):
+            for j in range(i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 4:
+                    top[i] = top[j] = min(top[i], top[j])
+        if old == top:
+            break
+    want = sorted({rows[t][0] for t in top})
+    kept = sorted(r["doc_id"] for r in simhash.keep_one_per_group(table(rows)).collect())
+    assert kept == want and len(want) < len(set(smallest_reachable([r[0] for r in rows], prints)))
+
+
 @pytest.mark.parametrize("bands", [6, 7, 8])
 def test_dense_and_chained_fingerprints(spark, bands):
     rng = np.random.default_rng(bands)
