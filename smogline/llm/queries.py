@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smogline.llm import bpe, decontam, langid, license, linededup, mainhtml, quality, sharding, simhash, tokenbin
+from smogline.llm import bpe, decontam, langid, license, linededup, mainhtml, prefixtrie, quality, sharding, simhash, tokenbin
 from smogline.session import tune
 
 
@@ -69,8 +69,15 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    ranked = prefixtrie.numbered_turns(_read(spark, folder, "conversations"))
+    return prefixtrie.prefix_trie(*prefixtrie.rebuilt(ranked))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_byte_bpe, op3_license_scan, op4_language_id, op5_quality_rules, op6_token_files, op7_sharding,
-    op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup)}
+    op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup,
+    op11_conversation_trie)}
 
-ORACLE_SQL = {"op3_license_scan": license.check_sql()}
+ORACLE_SQL = {"op3_license_scan": license.check_sql(), "op11_conversation_trie": prefixtrie.check_sql()}
