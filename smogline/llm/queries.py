@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from smogline.llm import bpe, decontam, langid, license, linededup, mainhtml, prefixtrie, quality, sharding, simhash, spelling, tokenbin
+from smogline.llm import bpe, decontam, langid, license, linededup, mainhtml, prefixtrie, quality, sharding, simhash, spelling, tokenbin, toxicity
 from smogline.session import tune
 
 
@@ -75,6 +75,11 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixtrie.prefix_trie(*prefixtrie.rebuilt(ranked))
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score, verdict and nearest labelled examples of every document."""
+    return toxicity.judge_toxicity(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of the documents with its near words, form and root."""
     return spelling.spelling_variants(_read(spark, folder, "documents"))
@@ -83,7 +88,7 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_byte_bpe, op3_license_scan, op4_language_id, op5_quality_rules, op6_token_files, op7_sharding,
     op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup,
-    op11_conversation_trie, op13_spelling_variants)}
+    op11_conversation_trie, op12_toxicity, op13_spelling_variants)}
 
 ORACLE_SQL = {"op3_license_scan": license.check_sql(), "op11_conversation_trie": prefixtrie.check_sql(),
               "op13_spelling_variants": spelling.check_sql()}
