@@ -1,8 +1,8 @@
 """Token ids as flat binary files.
 
-A partition is a range of document keys; it writes ``ids-<part>.bin`` (little-endian unsigned 16 or 32-bit ids on end, the smallest
+A partition is a range of document keys; it writes ``ids-<part>.bin`` (little-endian unsigned 16 or 32-bit ids on end, the smaller
 width that holds the vocabulary), ``ends-<part>.bin`` (64-bit offset of each document's end, in ids, inside the file)
-and ``keys-<part>.bin`` (64-bit document keys; -1 for null, told apart by ``null`` in the table).  A table (part, docs, tokens, base) says where each
+and ``keys-<part>.bin`` (64-bit document keys; -1 for null, told apart by ``null`` in the table).  A table (part, docs, nulls, tokens, width, base) says where each
 partition starts in the whole corpus: its base is the prefix sum of the earlier partitions' tokens.
 """
 
@@ -37,17 +37,21 @@ class CachingTokenizer:
     def __init__(self, path: str, width: str):
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.tokenizer.encode_special_tokens = True
-        self.odd = re.compile(r"\s\s| \Z").search
+        self.rare_space = re.compile(r"[^\S\n ]").search
         self.known = Remembered(CACHED_WORDS)
         self.newline = np.frombuffer(self._whole(["\n"])[0], dtype=width)[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _odd(self, text: str) -> bool:
+        """White space next to a space, or any but spaces and newlines."""
+        return "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or self.rare_space(text) is not None
+
     def _words(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, each after a space.  Many chunks go to the library as the lines of one text: a newline before a
+        """Ids of chunks, each after a space and without white space but newlines.  Many chunks go to the library as the lines of one text: a newline before a
         space is a token of its own, so it marks the ends."""
-        lines = [c for c in chunks if c.split() == [c]]
+        lines = [c for c in chunks if c and "\n" not in c]
         made = {}
         for a in range(0, len(lines), 4096):
             part = lines[a: a + 4096]
@@ -61,7 +65,7 @@ class CachingTokenizer:
         return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if self.odd(t)]
+        odd = [i for i, t in enumerate(texts) if self._odd(t)]
         out: list[bytes | None] = [None] * len(texts)
         for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids
@@ -70,7 +74,7 @@ class CachingTokenizer:
             if out[i] is None:
                 first, *rest = t.split(" ")
                 rows.append((i, first, rest))
-        new = list(self.known.missing({w for _, _, rest in rows for w in rest}))
+        new = list(self.known.missing(set().union(*(rest for _, _, rest in rows))))
         known = self.known.young
         known.update(self._words(new))
         for (i, _, rest), head in zip(rows, self._whole([first for _, first, _ in rows])):
@@ -89,6 +93,13 @@ def _put(fs, path: str, chunks) -> None:
     with fs.open_output_stream(own) as out:
         for c in chunks:
             out.write(c)
+    _replace(fs, own, path)
+
+
+def _replace(fs, own: str, path: str) -> None:
+    """Give a finished file its name; a task that is run again finds an equal file there, which some file systems refuse to overwrite."""
+    if fs.get_file_info(path).type != pafs.FileType.NotFound and not isinstance(fs, pafs.LocalFileSystem):
+        fs.delete_file(path)
     fs.move(own, path)
 
 
@@ -102,7 +113,7 @@ def _writer(tokenizer_file: str, folder: str, width: str, end_id: int):
 
         def close():
             out.close()
-            fs.move(own, f"{root}/ids-{part:06d}.bin")
+            _replace(fs, own, f"{root}/ids-{part:06d}.bin")
             _put(fs, f"{root}/ends-{part:06d}.bin", [np.array(ends, dtype="<i8").tobytes()])
             _put(fs, f"{root}/keys-{part:06d}.bin", [np.ma.filled(np.ma.array([k or 0 for k in keys], mask=[k is None for k in keys], dtype="<i8"), -1).tobytes()])
             return pa.RecordBatch.from_pydict({"part": [part], "docs": [len(ends)], "nulls": [sum(k is None for k in keys)], "tokens": [at]},
@@ -126,15 +137,22 @@ def _writer(tokenizer_file: str, folder: str, width: str, end_id: int):
     return run
 
 
+def id_width(tokenizer_file: str, end_id: int) -> str:
+    """The smaller of 16 and 32 bits that holds every id of the vocabulary and the end id."""
+    size = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(with_added_tokens=True), end_id + 1)
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text",
-                 width: str = "<u2", part_bytes: int = PART_BYTES) -> DataFrame:
-    """Write the ids of all texts, in ascending order of the key, and return (part, docs, nulls, tokens, base).
+                 width: str | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Write the ids of all texts, in ascending order of the key, and return (part, docs, nulls, tokens, width, base).
 
     Null keys come first, equal keys in the order of their texts; a null text counts as empty and yields the end id alone.  Cut points
     are quantiles of the key, found on the key column only; each partition is sorted and streamed to its file, so a task
     holds one batch.  Rows with equal keys stand in one partition: keys are expected to be nearly unique.  An empty table
     writes nothing.
     """
+    width = width or id_width(tokenizer_file, end_id)
     key_column = F.col(key).cast("long")
     amount = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count("*").alias("n")).first()
     parts = int(min(MAX_PARTS, max(1, (amount["bytes"] or 0) // part_bytes)))
@@ -142,12 +160,12 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
     edges = F.array(*[F.lit(x) for x in sorted(set(marks or []))]).cast("array<long>")
     part = F.when(key_column.isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda e: e < key_column))).cast("long") + 1
     rows = docs.select(part.alias("part"), key_column.alias("key"), F.col(text).alias("text"))
-    sorted_rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    sorted_rows = rows.repartitionById(len(set(marks or [])) + 2, F.col("part").cast("int")).sortWithinPartitions("part", F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
     written = staged(sorted_rows.mapInArrow(_writer(tokenizer_file, folder, width, end_id), "part bigint, docs bigint, nulls bigint, tokens bigint"), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # at most MAX_PARTS + 1 rows
-    return written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    return written.withColumn("width", F.lit(np.dtype(width).itemsize)).withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
 def _ids_of(fs, path: str, width: str) -> np.ndarray:
@@ -158,12 +176,12 @@ def _ids_of(fs, path: str, width: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=width)
 
 
-def _reader(folder: str, width: str):
+def _reader(folder: str):
     def run(batches):
         fs, root = _filesystem(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = _ids_of(fs, f"{root}/ids-{row['part']:06d}.bin", width)
+                ids = _ids_of(fs, f"{root}/ids-{row['part']:06d}.bin", f"<u{row['width']}")
                 ends, keys = (_ids_of(fs, f"{root}/{name}-{row['part']:06d}.bin", "<i8") for name in ("ends", "keys"))
                 if len(ids) != row["tokens"] or len(ends) != row["docs"]:
                     raise ValueError(f"part {row['part']} holds {len(ids)} ids and {len(ends)} documents, not {row['tokens']} and {row['docs']}")
@@ -177,10 +195,9 @@ def _reader(folder: str, width: str):
     return run
 
 
-def read_tokens(parts: DataFrame, folder: str, width: str = "<u2") -> DataFrame:
+def read_tokens(parts: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files; a task reads one partition at a time."""
-    n = max(1, parts.count())
-    return parts.repartition(n, "part").mapInArrow(_reader(folder, width), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return parts.repartitionById(max(1, (parts.agg(F.max("part")).first()[0] or 0) + 1), F.col("part").cast("int")).mapInArrow(_reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_folder(spark: SparkSession) -> str:
