@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from smogline.llm.common import Remembered, per_process
 
-CACHED_WORDS = 300_000      # chunks and words whose ids a worker remembers, twice; the rest is worked out again, with the same result
+CACHED_WORDS = 150_000      # chunks and words whose ids a worker remembers, twice; the rest is worked out again, with the same result
 LONG_CHUNK = 200            # longer chunks are not remembered
 BATCH_BYTES = 16_000_000    # text per round of merges
 
@@ -68,7 +68,7 @@ class Vocabulary:
         left to right; when a merge opens a pair of lower rank, the places still waiting go back to the index, so that
         every word sees exactly the order lowest rank first, leftmost first.
         """
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > 300_000:
             self._pairs.clear()
         single, merged, base, known = self.single, self.merged, self._base, self._pairs
         ids: list[int] = []
@@ -194,9 +194,10 @@ def _rounds(texts: list[str]):
         yield start, len(texts)
 
 
-def _encoder(ranks_file: str, keep_ids: bool):
+def _encoder(ranks_file: str, keep_ids: bool, lasting: bool):
     def run(batches):
-        encoder = per_process(("bpe", ranks_file), lambda: Encoder(Vocabulary(load_ranks(ranks_file))))
+        made = lambda: Encoder(Vocabulary(load_ranks(ranks_file)))
+        encoder = per_process(("bpe", ranks_file), made) if lasting else made()
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in _rounds(texts):
@@ -218,15 +219,16 @@ def _encoder(ranks_file: str, keep_ids: bool):
     return run
 
 
-def encode_documents(docs: DataFrame, ranks_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, lasting: bool = True) -> DataFrame:
     """The columns of ``keep`` with n_tokens, ids_sha256, decoded_sha256 and (if wanted) ids (array of int) of every row's text.
 
     Each match of the tokenizer's pattern is encoded by itself, without special tokens; a null text counts as empty and has no
     ids (digests of the empty string).  ``decoded_sha256`` digests the bytes that the ids decode to.  Rows are neither dropped
-    nor merged.  ``ranks_file`` must be readable on the executors.
+    nor merged.  ``lasting`` keeps the ids of words met from task to task in a Python worker (under 150 MB); where other work follows in the same
+    workers, without it they end with the task.  ``ranks_file`` must be readable on the executors.
     """
     taken = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*taken, F.col(text).alias("_text"))
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1]))
-    out = rows.mapInArrow(_encoder(ranks_file, ids), f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    out = rows.mapInArrow(_encoder(ranks_file, ids, lasting), f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

@@ -82,8 +82,13 @@ class Remembered:
 
 
 def per_process(key: tuple, make: Callable):
-    """One object per Python worker and key, kept from task to task where Spark reuses its workers."""
+    """One object per Python worker and key, kept from task to task where Spark reuses its workers.
+
+    A worker that is asked for another key lets the earlier one go: its stage is over.
+    """
     kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
     if key not in kept:
+        for old in [k for k in kept if isinstance(k, tuple)]:
+            del kept[old]
         kept[key] = make()
     return kept[key]

@@ -1,7 +1,7 @@
 """SimHash near-dedup with a segment-popcount embedding.
 
 A fingerprint's 64 bits are cut into 32 segments of two bits; the vector of their bit counts (0 to 2) is the
-embedding.  The Manhattan distance of two vectors never exceeds the number of differing bits, so it
+embedding.  Dense groups are joined first by stars over aligned four-bit groups of the raw fingerprint; the grid over the embedding finds all other links.  The Manhattan distance of two vectors never exceeds the number of differing bits, so it
 bounds the search: vectors are laid on a grid, close ones are range-joined cell by cell, and
 only pairs within the bound are verified on the fingerprints.
 
@@ -147,28 +147,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shapes(batches):
+def _pieces(batches, rows: int = 256):
+    """The batches in small pieces, so that few texts and shingle sets stand in memory at once."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _shapes(batches):
+    for batch in _pieces(batches):
         found = []
         for text in batch.column(batch.num_columns - 1):
             words = _words(text.as_py())
             hashes = _shingle_hashes(words)
             shingles = five_word_set(hashes)
             found.append((xxhash.xxh64_intdigest(b" ".join(words), SEED + 1), _folded(hashes), len(shingles), *signature(shingles)))
-        copies, bits, sizes, cells, *sketches = zip(*found) if found else [()] * 6
+        copies, bits, sizes, cells, *sketches = zip(*found)
         signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (copies, bits)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *signed, pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), *[pa.array(x, pa.int64()) for x in sketches]],
                                          names=[*batch.schema.names[:-1], "copy", "bits", "size", "cells", "sketch_a", "sketch_b"])
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in _pieces(batches):
         sets = [five_word_set(_shingle_hashes(_words(t.as_py()))).view(np.int64) for t in batch.column(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["copy", "shingles"])
 
 
 def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their group; documents without an id stay.
+    """The document of the smallest id of each group (of several texts with that id, one); documents without an id stay.
+
+    A row goes by its id and text together: of two rows with one id, only the text that belongs to the group goes.  A row
+    that stands twice in the table, id and text, is one document and stays or goes as one.
 
     Two documents are near copies if their fingerprints differ in four bits at most, as in :func:`near_duplicates`, or if the Jaccard
     similarity of their five-word shingles is 0.8 or more; a group is what such links reach.  At 0.8 fingerprints of usual
@@ -188,7 +198,8 @@ def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
         met = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("raw") == F.col("r"))).select("copy", "_text")
         return met.mapInArrow(_sets, "copy bigint, shingles array<bigint>").groupBy("copy").agg(F.any_value("shingles").alias("shingles"))
 
-    named = staged(nodes.join(joined_groups(nodes, sets_of), "root", "left").select("copy", F.col("first.doc_id").alias("least"), F.coalesce("top", "root").alias("top")), "near-groups")
-    least = named.groupBy("top").agg(F.min("least").alias("component_id"))
-    found = rows.select("doc_id", "copy").join(named.join(least, "top").select("copy", "component_id"), "copy").filter("doc_id != component_id")
-    return docs.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    named = staged(nodes.join(joined_groups(nodes, sets_of), "root", "left").select("copy", "first", F.coalesce("top", "root").alias("top")), "near-groups")
+    kept = named.groupBy("top").agg(F.min("first").alias("kept"))
+    found = rows.filter("doc_id IS NOT NULL").join(named.join(kept, "top").select("copy", "kept"), "copy")
+    gone = found.filter((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("raw") != F.col("kept.raw"))).select(F.col("doc_id").alias("_gone"), "raw").distinct()
+    return docs.join(gone, (F.col(key) == F.col("_gone")) & (F.xxhash64(F.col(text)) == F.col("raw")), "left_anti")
