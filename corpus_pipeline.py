@@ -56,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 @_stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The ids of every document with its key and source, and digests of ids and decoded bytes."""
-    return bpe.encode_documents(docs, public_tokenizers.path(RANKS), keep=("doc_id", "lang", "source"))
+    return bpe.encode_documents(docs, public_tokenizers.path(RANKS), keep=("doc_id", "lang", "source"), lasting=False)
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("substring dedup", substring_dedup),
