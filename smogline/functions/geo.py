@@ -24,6 +24,26 @@ def flat_km(lat: Column, lon: Column, ref_lat: Column, ref_lon: Column, at_lat:
     return F.sqrt(dlat * dlat + dlon * dlon)
 
 
+def flat_box_km(lat: Column, lon: Column, box: Column) -> Column:
+    """Least :func:`flat_km` from a point to a box with fields south, north, west and east."""
+    dlat = F.greatest(F.lit(0.0), box["south"] - lat, lat - box["north"]) * KM_PER_DEGREE
+    dlon = F.greatest(F.lit(0.0), box["west"] - lon, lon - box["east"]) * KM_PER_DEGREE * F.cos(F.radians(lat))
+    return F.sqrt(dlat * dlat + dlon * dlon)
+
+
+def haversine_box_km(lat: Column, lon: Column, box: Column) -> Column:
+    """No more than the least :func:`haversine_km` from a point to a box: the way to its latitudes, or to its nearer meridian around the globe."""
+    dlat = F.radians(F.greatest(F.lit(0.0), box["south"] - lat, lat - box["north"]))
+    inside = F.pmod(lon - box["west"], F.lit(360.0)) <= box["east"] - box["west"]
+    dlon = F.when(inside, 0.0).otherwise(F.least(F.pmod(box["west"] - lon, F.lit(360.0)), F.pmod(lon - box["east"], F.lit(360.0))))
+    meridian = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(dlon, F.lit(90.0)))))
+    return EARTH_RADIUS_KM * F.greatest(dlat, meridian) * (1 - 1e-12)
+
+
+#: The box distance that belongs to a distance.
+BOX_DISTANCES = {flat_km: flat_box_km, haversine_km: haversine_box_km}
+
+
 def cell(value: Column, decimals: int = 2) -> Column:
     """Grid bucket: the coordinate rounded half-even."""
     return F.bround(value, decimals)

@@ -7,10 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Largest table the library turns into a literal or hints for broadcast.
-SMALL_TABLE_ROWS = 2_000
-
-
 def present(df: DataFrame, names: Iterable[str]) -> list[str]:
     have = set(df.columns)
     return [n for n in names if n in have]
@@ -38,12 +34,6 @@ def with_row_of(df: DataFrame, one_row: DataFrame, name: str = "_stats", now: bo
     return df.withColumn(name, packed.scalar())
 
 
-def small_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list | None:
-    """The rows of a table proven to hold at most ``limit`` rows, else None."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str = "column", value: str = "value") -> DataFrame:
     """Wide to long; all value columns become doubles."""
     pairs = F.array(*[F.struct(F.lit(v).alias(name), F.col(v).cast("double").alias(value)) for v in values])

@@ -155,11 +155,9 @@ def all_locations(districts: DataFrame, towns: DataFrame) -> DataFrame:
 
 
 def nearest_reference_point(points: DataFrame, refs: DataFrame, payload: list[str], order: list[str],
-                            lat="latitude", lon="longitude", ref_lat="lat", ref_lon="lon", small_limit=None) -> DataFrame:
+                            lat="latitude", lon="longitude", ref_lat="lat", ref_lon="lon") -> DataFrame:
     """Nearest reference (station, district, town) by flat-earth distance, rounded to 2 decimals."""
-    kwargs = {} if small_limit is None else {"small_limit": small_limit}
-    found = nearest.nearest_any(points, refs, payload, order, lat, lon, ref_lat, ref_lon,
-                                distance=geo.flat_km, **kwargs)
+    found = nearest.nearest_any(points, refs, payload, order, lat, lon, ref_lat, ref_lon, distance=geo.flat_km)
     return found.withColumn("distance_km", F.bround("distance_km", 2))
 
 

@@ -6,11 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from smogline.functions.geo import ProximityCells, flat_km, haversine_km
-from smogline.operators.common import null_safe_join, small_rows
-
-# Up to this many references a linear search per point beats the cell joins.
-LITERAL_REFERENCES = 64
+from smogline.functions.geo import BOX_DISTANCES, ProximityCells, flat_km, haversine_km
+from smogline.operators.common import null_safe_join
+from smogline.session import materialise
 
 Distance = Callable[[Column, Column, Column, Column], Column]
 
@@ -53,68 +51,86 @@ def nearest_within(points: DataFrame, refs: DataFrame, radius_km: float, payload
             .drop("_lat", "_lon", "_near"))
 
 
-def nearest_any(points: DataFrame, refs: DataFrame, payload: list[str], order: list[str],
-                lat="latitude", lon="longitude", ref_lat="latitude", ref_lon="longitude",
-                distance_name: str = "distance_km", distance: Distance = flat_km,
-                small_limit: int = LITERAL_REFERENCES) -> DataFrame:
-    """Nearest reference at any distance.
+# References of one leaf, nodes that a search starts from at most, and the levels of the hierarchy: cells of
+# 180 degrees down to about 300 metres, each a sixteenth of the one above.
+LEAF = 32
+START_NODES = 64
+LEVELS = tuple(range(0, 17, 2))
+SLACK_KM = 2e-6         # distances are compared to the millimetre
 
-    A reference table proven small becomes an array literal and the search is a
-    projection.  A larger one goes through proximity cells of growing size.
-    """
-    columns = list(dict.fromkeys(payload + order))
-    slim = _references(refs, ref_lat, ref_lon, columns)
-    rows = small_rows(slim, small_limit)
-    if rows is not None:
-        return _nearest_literal(points, slim, rows, payload, order, lat, lon, distance_name, distance)
-    return _nearest_growing(points, slim, payload, order, lat, lon, distance_name, distance)
-
-
-def _nearest_literal(points, slim, rows, payload, order, lat, lon, distance_name, distance):
-    # one row, one array: the table's size was checked by the caller
-    packed = slim.sparkSession.createDataFrame(rows, slim.schema).agg(
-        F.collect_list(F.struct(*slim.columns)).alias("refs"))
-    scored = F.array_min(F.transform("_refs", lambda r: F.struct(
-        F.round(distance(F.col(lat), F.col(lon), r["r_lat"], r["r_lon"]), 6).alias("km"),
-        *[r[f"r_{o}"].alias(f"o{i}") for i, o in enumerate(order)],
-        *[r[f"r_{p}"].alias(p) for p in payload])))
-    located = F.col(lat).isNotNull() & F.col(lon).isNotNull()
-    return (points.withColumn("_refs", packed.scalar()).withColumn("_near", F.when(located, scored))
-            .withColumns({p: F.col("_near")[p] for p in payload} | {distance_name: F.col("_near.km")})
-            .drop("_refs", "_near"))
 
+def _node_id(level: int, lat: Column, lon: Column) -> Column:
+    size = 180.0 / 2**level
+    row, col = F.floor((lat + 90.0) / size).cast("long"), F.floor((lon + 180.0) / size).cast("long")
+    return F.lit(level) * F.lit(2**48).cast("long") + row * 2**24 + (col + 2**23)
 
-# Search radii double from level to level.
-LEVELS = 13
-SMALLEST_KM = 5.0
 
+def _hierarchy(places: DataFrame, leaf: int) -> DataFrame:
+    """(level, id, parent, leaf, node): the occupied cells of all levels with the box around their references and one of them."""
+    lat, lon = F.col("r_lat"), F.col("r_lon")
+    chain = F.array(*[F.struct(F.lit(level).alias("level"), _node_id(level, lat, lon).alias("id"),
+                               (_node_id(LEVELS[i - 1], lat, lon) if i else F.lit(None).cast("long")).alias("parent")) for i, level in enumerate(LEVELS)])
+    spread = places.select("r_lat", "r_lon", F.inline(chain))
+    sums = spread.groupBy("level", "id", "parent").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("r_lat", "r_lon")).alias("spot"), F.min("r_lat").alias("south"), F.max("r_lat").alias("north"),
+        F.min("r_lon").alias("west"), F.max("r_lon").alias("east"))
+    is_leaf = (F.col("n") <= leaf) | (F.col("level") == LEVELS[-1])
+    return sums.select("level", "id", "parent", is_leaf.alias("leaf"),
+                       F.struct("id", is_leaf.alias("leaf"), "south", "north", "west", "east", F.col("spot.r_lat").alias("r_lat"), F.col("spot.r_lon").alias("r_lon")).alias("node"))
 
-def _search_level(start: Column, lat: Column) -> Column:
-    """Level whose ring certainly holds the nearest reference.
 
-    A reference in the marked neighbourhood of a cell is at most two bands and two
-    columns away.  Up to 45 degrees and 640 km that is less than four radii, up to
-    75 degrees and 320 km less than eight; elsewhere the whole globe is searched.
-    """
-    climb = (F.when((F.abs(lat) <= 45) & (start <= 7), 2).when((F.abs(lat) <= 75) & (start <= 6), 3).otherwise(LEVELS))
-    return F.least(start + climb, F.lit(LEVELS - 1))
+def _seen(nodes: Column, distance: Distance, box: Callable) -> Column:
+    """What a position sees of nodes: a distance that no reference of the node comes under, and the distance of one of them."""
+    lat, lon = F.col("_lat"), F.col("_lon")
+    return F.transform(nodes, lambda n: F.struct(n["id"].alias("id"), n["leaf"].alias("leaf"), box(lat, lon, n).alias("least"),
+                                                 distance(lat, lon, n["r_lat"], n["r_lon"]).alias("sure")))
 
 
-def _levels(df: DataFrame) -> DataFrame:
-    return df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+def _pruned(df: DataFrame, candidates: Column, bound: Column) -> DataFrame:
+    """Positions with the candidates that may still hold the nearest reference."""
+    kept = F.filter(candidates, lambda c: c["least"] <= bound + SLACK_KM)
+    return df.select("_lat", "_lon", bound.alias("_bound"), kept.alias("_kept"))
 
 
-def _nearest_growing(points, slim, payload, order, lat, lon, distance_name, distance):
-    cells = ProximityCells(F.lit(SMALLEST_KM) * F.pow(F.lit(2.0), F.col("_level")))
-    leveled = _levels(slim).withColumn("_cell", cells.home(F.col("r_lat"), F.col("r_lon")))
-    # one spot per occupied cell stands for its cell when neighbourhoods are marked
-    spots = leveled.groupBy("_level", "_cell").agg(F.min_by(F.struct("r_lat", "r_lon"), F.struct("r_lat", "r_lon")).alias("_spot"))
-    occupied = cells.spread(spots.select("_level", "_spot.r_lat", "_spot.r_lon"), "r_lat", "r_lon").distinct()
-    homes = _levels(_positions(points, lat, lon)).withColumn("_cell", cells.home(F.col("_lat"), F.col("_lon")))
-    start = (homes.join(occupied.select("_level", "_cell"), ["_level", "_cell"], "left_semi")
-             .groupBy("_lat", "_lon").agg(F.min("_level").alias("_start")))
-    search = cells.spread(start.withColumn("_level", _search_level(F.col("_start"), F.col("_lat"))), "_lat", "_lon")
-    found = _best(search.join(leveled, ["_level", "_cell"]), distance, order, payload)
+def nearest_any(points: DataFrame, refs: DataFrame, payload: list[str], order: list[str],
+                lat="latitude", lon="longitude", ref_lat="latitude", ref_lon="longitude",
+                distance_name: str = "distance_km", distance: Distance = flat_km, box: Callable | None = None,
+                leaf: int = LEAF, start_nodes: int = START_NODES) -> DataFrame:
+    """Nearest reference at any distance, by branch and bound over a hierarchy of cells.
+
+    Every occupied cell knows the box around its references and one of them.  A search starts from the finest level
+    with few enough cells.  It drops cells whose box lies farther away than a reference already seen, opens the
+    others level by level until they hold ``leaf`` places at most, and compares distances in those.  ``box`` gives the least
+    possible distance to a box in the measure of ``distance``, so the stop rule holds across the date line where the measure does,
+    and for points far from every reference.  References of one place meet once; the lowest ``order`` values stand for them.
+    """
+    box = box or BOX_DISTANCES[distance]
+    slim = _references(refs, ref_lat, ref_lon, list(dict.fromkeys(payload + order)))
+    rest = [c for c in slim.columns if c not in ("r_lat", "r_lon")]
+    places = slim.groupBy("r_lat", "r_lon").agg(F.min_by(F.struct(*rest), F.struct(*[f"r_{o}" for o in order])).alias("_o")).select("r_lat", "r_lon", "_o.*")
+    tree = materialise(_hierarchy(places, leaf), "cells")
+    # one row a level
+    sizes = {r["level"]: r for r in tree.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("leaf")).alias("inner")).collect()}
+    start = max((level for level, r in sizes.items() if r["n"] <= start_nodes), default=LEVELS[0])
+    inner = [level for level in LEVELS if level >= start and level in sizes and sizes[level]["inner"]]
+    first = tree.filter(F.col("level") == start).agg(F.collect_list("node").alias("nodes"))
+    search = _positions(points, lat, lon).withColumn("_nodes", first.scalar()).withColumn("_c", _seen(F.col("_nodes"), distance, box))
+    search = _pruned(search, F.col("_c"), F.array_min(F.transform("_c", lambda c: c["sure"])))
+    for level in inner:
+        opened = tree.filter(F.col("level") == LEVELS[LEVELS.index(level) + 1]).groupBy("parent").agg(F.collect_list("node").alias("_nodes"))
+        inside = search.select("_lat", "_lon", "_bound", F.filter("_kept", lambda c: c["leaf"]).alias("_done"), F.explode_outer(F.filter("_kept", lambda c: ~c["leaf"])).alias("_c"))
+        met = inside.join(opened, F.col("_c.id") == F.col("parent"), "left").groupBy("_lat", "_lon").agg(
+            F.min("_bound").alias("_old"), F.first("_done").alias("_done"), F.flatten(F.collect_list("_nodes")).alias("_nodes"))
+        seen = met.withColumn("_c", _seen(F.col("_nodes"), distance, box))
+        bound = F.least("_old", F.array_min(F.transform("_c", lambda c: c["sure"])))
+        search = _pruned(seen, F.concat("_done", "_c"), bound)
+    # every place lies in one of the leaves below the start
+    above = tree.filter(~F.col("leaf") & (F.col("level") >= start)).select(F.col("id").alias("parent"))
+    ends = tree.filter(F.col("leaf") & (F.col("level") > start)).join(above, "parent", "left_semi").select("id").unionByName(
+        tree.filter(F.col("leaf") & (F.col("level") == start)).select("id"))
+    ids = F.array(*[_node_id(level, F.col("r_lat"), F.col("r_lon")) for level in LEVELS if level >= start])
+    members = places.withColumn("id", F.explode(ids)).join(ends, "id")
+    found = _best(search.select("_lat", "_lon", F.explode("_kept.id").alias("id")).join(members, "id"), distance, order, payload)
     keyed = points.withColumns({"_lat": F.col(lat), "_lon": F.col(lon)})
     return (null_safe_join(keyed, found, ["_lat", "_lon"], "left")
             .withColumns({p: F.col("_near")[p] for p in payload} | {distance_name: F.round("_near.km", 6)})

@@ -6,13 +6,13 @@ from dataclasses import dataclass
 from math import ceil, cos, radians
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from smogline import constants as K
 from smogline.functions import aqi, geo, risk
 from smogline.operators import nearest
-from smogline.operators.common import with_row_of
+from smogline.operators.common import null_safe_join
 
 
 @dataclass(frozen=True)
@@ -105,142 +105,181 @@ def idw(known: DataFrame, value: str, grid: Grid, by: list[str] = (), power: flo
     return filled.withColumns(grid.columns(F.col("cell"))).select(*by, "cell", "latitude", "longitude", "value")
 
 
-def idw_leave_one_out(known: DataFrame, value: str, by: list[str], station="station_id", power: float = 2.0, min_km: float = 0.05) -> DataFrame:
+PLACES_PER_BLOCK = 1_024
+
+
+def idw_leave_one_out(known: DataFrame, value: str, by: list[str], station="station_id", power: float = 2.0, min_km: float = 0.05,
+                      block: int = PLACES_PER_BLOCK) -> DataFrame:
     """Each station's value estimated from the other stations of its group.
 
-    One row per (group, station) is expected.  Distances are scaled at the
-    estimated station's latitude.  Stations meet inside their group only; null group values are a group.
+    One row per (group, station) is expected; rows without a value or place, and stations alone in their group, give no estimate.
+    Distances are scaled at the estimated station's latitude.  Readings of one place are merged first.  The places of a group
+    are dealt to blocks, and every pair of blocks is a task of its own whose partial sums are added, so a group of any
+    size spreads over all tasks.  Null group values are a group.
     """
     group = F.struct(*[F.col(b) for b in by], F.lit(0).alias("one"))
-    left = known.withColumn("_group", group)
-    right = known.select(group.alias("_other_group"), *[F.col(c).alias(f"p_{c}") for c in (station, "latitude", "longitude")])
-    pairs = left.join(right, (F.col("_group") == F.col("_other_group")) & (F.col(station) != F.col(f"p_{station}")))
-    w = _weight(F.col("p_latitude"), F.col("p_longitude"), F.col("latitude"), F.col("longitude"), F.col("p_latitude"), power, min_km)
-    sums = (pairs.withColumn("_w", w).groupBy("_group", F.col(f"p_{station}").alias("_station"))
-            .agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("estimate")).withColumnRenamed("_group", "_sum_group"))
-    return left.join(sums, (F.col("_group") == F.col("_sum_group")) & (F.col(station) == F.col("_station"))).drop("_group", "_sum_group", "_station")
+    rows = known.filter(F.col(value).isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    rows = rows.select(F.struct("*").alias("_row"), group.alias("_g"), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), F.col(value).alias("_y"))
+    places = rows.groupBy("_g", "_la", "_lo").agg(F.sum("_y").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    sizes = places.groupBy(F.col("_g").alias("_h")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    sized = places.join(sizes, F.col("_g") == F.col("_h")).withColumn("_own", F.pmod(F.xxhash64("_la", "_lo"), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    target = sized.select("_g", F.col("_own").alias("_i"), every.alias("_j"), "_la", "_lo")
+    source = sized.select(F.col("_g").alias("_h"), every.alias("_k"), F.col("_own").alias("_l"), F.col("_la").alias("_qa"), F.col("_lo").alias("_qo"), "_v", "_n")
+    met = target.join(source, (F.col("_g") == F.col("_h")) & (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l")) & ((F.col("_la") != F.col("_qa")) | (F.col("_lo") != F.col("_qo"))))
+    w = _weight(F.col("_la"), F.col("_lo"), F.col("_qa"), F.col("_qo"), F.col("_la"), power, min_km)
+    others = met.withColumn("_w", w).groupBy("_g", "_la", "_lo").agg(F.sum(F.col("_w") * F.col("_v")).alias("_wv"), F.sum(F.col("_w") * F.col("_n")).alias("_ws"))
+    at = ["_g", "_la", "_lo"]
+    joined = rows.join(places, at).join(others, at, "left")
+    near = 1.0 / min_km**power      # the weight of other stations at the same place
+    over = F.coalesce("_ws", F.lit(0.0)) + near * (F.col("_n") - 1)
+    estimate = (F.coalesce("_wv", F.lit(0.0)) + F.when(F.col("_n") > 1, near * (F.col("_v") - F.col("_y"))).otherwise(0.0)) / over
+    return joined.filter(over > 0).select("_row.*", estimate.alias("estimate"))
 
 
 # ---- regression kriging ---------------------------------------------------
 
-def _solve_hour(pdf: pd.DataFrame, by: list[str], length_km: float, nugget: float, mean_lat: float) -> pd.DataFrame:
-    """Covariance solve for one group's stations: dual weights and the inverse."""
-    scale = np.array([K.KM_PER_DEGREE, K.KM_PER_DEGREE * np.cos(np.radians(mean_lat))])
-    xy = pdf[["latitude", "longitude"]].to_numpy(float) * scale
-    residual = (pdf["observed"] - pdf["trend"]).to_numpy(float)
-    gap = np.linalg.norm(xy[:, None, :] - xy[None, :, :], axis=2)
-    cov = (1.0 - nugget) * np.exp(-gap / length_km) + np.eye(len(xy)) * nugget
-    try:
-        inverse = np.linalg.inv(cov)
-        singular = not np.isfinite(inverse).all()
-    except np.linalg.LinAlgError:
-        inverse, singular = np.zeros_like(cov), True
-    row = {b: pdf[b].iloc[0] for b in by}
-    row |= {"lats": pdf["latitude"].tolist(), "lons": pdf["longitude"].tolist(), "residuals": residual.tolist(),
-            "dual": (inverse @ residual).tolist(), "inverse": inverse.ravel().tolist(),
-            "spread": float(residual.std()), "singular": bool(singular)}
-    return pd.DataFrame([row])
-
-
-def _predict_batches(grid: Grid, length_km: float, nugget: float, power: float, min_km: float):
-    """Evaluate groups of grid cells that carry their group's solved system."""
-    k = K.KM_PER_DEGREE
-    shrink = k * np.cos(np.radians(grid.mean_lat))
+#: Stations farther than this from a tile are left out of its system; ten correlation lengths leave a covariance under 0.0001.
+NEIGHBOURHOOD_KM = 400.0
+TILE_CELLS = 64         # longest side of a tile, in cells
+
+
+def _covariance(km: np.ndarray, length_km: float, nugget: float) -> np.ndarray:
+    return (1.0 - nugget) * np.exp(-km / length_km)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+
+
+def _krige_tiles(grid: Grid, side: int, length_km: float, nugget: float, power: float, min_km: float):
+    """Evaluate rows of one tile each, whose last columns are tile, spread, n and the known places around it."""
+    scale = np.array([K.KM_PER_DEGREE, K.KM_PER_DEGREE * np.cos(np.radians(grid.mean_lat))])
+    across = -(-grid.cols // side)
+
+    def solve(tile, spread, n, known):
+        rows = np.arange(tile // across * side, min((tile // across + 1) * side, grid.rows))
+        cols = np.arange(tile % across * side, min((tile % across + 1) * side, grid.cols))
+        cells = (rows[:, None] * grid.cols + cols[None, :]).ravel()
+        if not n:
+            return cells, np.zeros(len(cells)), np.full(len(cells), 15.0)
+        if not known:
+            return cells, np.zeros(len(cells)), np.full(len(cells), spread or 10.0)
+        xy = np.column_stack((np.round(grid.lat_min + (cells // grid.cols) * grid.step, 4), np.round(grid.lon_min + (cells % grid.cols) * grid.step, 4))) * scale
+        at, residual, count = np.array([(k["la"], k["lo"]) for k in known]) * scale, np.array([k["r"] for k in known]), np.array([k["n"] for k in known])
+        km = _apart(xy, at)
+        try:
+            # readings of one place share its signal: their mean carries the nugget divided by their number
+            half = np.linalg.cholesky(_covariance(_apart(at, at), length_km, nugget) + np.diag(nugget / count))
+            seen = np.linalg.solve(half, _covariance(km, length_km, nugget).T)
+            left = np.sqrt(np.maximum(0.0, 1.0 - (seen * seen).sum(axis=0)))
+            return cells, seen.T @ np.linalg.solve(half, residual), left * spread if spread else np.full(len(cells), 10.0)
+        except np.linalg.LinAlgError:
+            w = count / np.maximum(km, min_km) ** power
+            return cells, (w @ residual) / w.sum(axis=1), 8.0 + 0.15 * np.minimum(km.min(axis=1), 100.0)
 
     def run(batches):
-        for pdf in batches:
-            corrected, errors = [], []
-            for r in pdf.itertuples(index=False):
-                cells = np.arange(r.first_cell, r.last_cell + 1)
-                lat = np.round(grid.lat_min + (cells // grid.cols) * grid.step, 4)
-                lon = np.round(grid.lon_min + (cells % grid.cols) * grid.step, 4)
-                dy = (lat[:, None] - np.asarray(r.lats)[None, :]) * k
-                dx = (lon[:, None] - np.asarray(r.lons)[None, :]) * shrink
-                km = np.sqrt(dy * dy + dx * dx)
-                if r.singular:
-                    w = 1.0 / np.maximum(km, min_km) ** power
-                    add = (w @ np.asarray(r.residuals)) / w.sum(axis=1)
-                    se = 8.0 + 0.15 * np.minimum(km.min(axis=1), 100.0)
-                else:
-                    c = (1.0 - nugget) * np.exp(-km / length_km)
-                    add = c @ np.asarray(r.dual)
-                    n = len(r.lats)
-                    used = np.einsum("ij,jk,ik->i", c, np.asarray(r.inverse).reshape(n, n), c)
-                    se = np.sqrt(np.maximum(0.0, 1.0 - used)) * r.spread if r.spread > 0 else np.full(len(cells), 10.0)
-                corrected.append(add.tolist())
-                errors.append(se.tolist())
-            yield pdf.drop(columns=["lats", "lons", "residuals", "dual", "inverse", "spread", "singular"]).assign(
-                corrections=corrected, errors=errors)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                cells, add, se = solve(*(c.to_pylist()[0] for c in row.columns[-4:]))
+                repeated = [c.take(pa.array(np.zeros(len(cells), dtype=np.int64))) for c in row.columns[:-4]]
+                yield pa.RecordBatch.from_arrays([*repeated, pa.array(cells, pa.int32()), pa.array(add), pa.array(se)], names=[*row.schema.names[:-4], "cell", "correction", "kriging_se"])
     return run
 
 
-CELLS_PER_TASK_ROW = 4_096
+def _reach(at: Column, low: float, tile: float, reach: float, count: int) -> tuple[Column, Column]:
+    """First and last of ``count`` tiles of width ``tile`` that come within ``reach`` of a coordinate."""
+    return F.greatest(F.floor((at - reach - low) / tile), F.lit(0)), F.least(F.floor((at + reach - low) / tile + 1e-9), F.lit(count - 1))
 
 
-def regression_kriging(stations: DataFrame, grid: Grid, by: list[str], grid_trend: Column | None = None,
-                       length_km: float = 40.0, nugget: float = 0.1) -> DataFrame:
+def regression_kriging(stations: DataFrame, grid: Grid, by: list[str] = (), grid_trend: Column | None = None,
+                       length_km: float = 40.0, nugget: float = 0.1, radius_km: float = NEIGHBOURHOOD_KM, tile_cells: int | None = None) -> DataFrame:
     """Trend plus kriged station residuals on a grid, with the estimation error, per group.
 
     ``stations`` holds one row per (group, station): latitude, longitude, observed, trend.
     ``grid_trend`` is an expression over the group's columns, cell, latitude and longitude.
-    The covariance of a group's stations is solved on an executor; the grid is cut
-    into ranges of cells that are evaluated independently.
+
+    Moving neighbourhood: the grid is cut into square tiles, every tile gets the stations within ``radius_km`` of it and solves one small system
+    by Cholesky for its own cells, so neither a group nor the grid stands in one task; a task holds the covariances of one neighbourhood.
+    Where the radius covers all stations the surface equals the global solve.  A tile without stations around it has no
+    correction and the group's whole spread as error.  Without ``by`` and without any station the surface is the trend with an error of 15;
+    with ``by``, groups without stations do not appear.
     """
-    kinds = dict(stations.dtypes)
-    keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
-    schema = (f"{keys}, lats array<double>, lons array<double>, residuals array<double>, dual array<double>, "
-              "inverse array<double>, spread double, singular boolean")
-    used = stations.filter(F.col("observed").isNotNull() & F.col("trend").isNotNull()).select(
-        *by, "latitude", "longitude", "observed", "trend")
-    mean_lat = float(grid.mean_lat)
-    solved = used.groupBy(*by).applyInPandas(
-        lambda pdf: _solve_hour(pdf, list(by), length_km, nugget, mean_lat), schema)
-    starts = F.sequence(F.lit(0), F.lit(grid.size - 1), F.lit(CELLS_PER_TASK_ROW))
-    ranges = (solved.withColumn("first_cell", F.explode(starts))
-              .withColumn("last_cell", F.least(F.col("first_cell") + CELLS_PER_TASK_ROW - 1, F.lit(grid.size - 1)))
-              .repartition(*by, "first_cell"))
-    out = ranges.mapInPandas(
-        _predict_batches(grid, length_km, nugget, 2.0, 0.05),
-        f"{keys}, first_cell int, last_cell int, corrections array<double>, errors array<double>")
-    cells = out.select(*by, "first_cell", F.posexplode(F.arrays_zip("corrections", "errors")).alias("at", "z"))
-    placed = cells.select(*by, (F.col("first_cell") + F.col("at")).alias("cell"),
-                          F.col("z.corrections").alias("correction"), F.col("z.errors").alias("kriging_se"))
+    by = list(by)
+    side = tile_cells or max(1, min(TILE_CELLS, round(radius_km / (2 * grid.step * K.KM_PER_DEGREE))))
+    down, across = -(-grid.rows // side), -(-grid.cols // side)
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    used = stations.filter(located & F.col("observed").isNotNull() & F.col("trend").isNotNull()).select(
+        *by, F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), (F.col("observed") - F.col("trend")).cast("double").alias("_r"))
+    groups = used.groupBy(*by).agg(F.stddev_pop("_r").alias("_spread"), F.count(F.lit(1)).alias("_n"))
+    places = used.groupBy(*by, "_la", "_lo").agg(F.avg("_r").alias("r"), F.count(F.lit(1)).alias("n"))
+    lat_km, lon_km = K.KM_PER_DEGREE, K.KM_PER_DEGREE * cos(radians(grid.mean_lat))
+    span = side * grid.step
+    rows, cols = _reach(F.col("_la"), grid.lat_min, span, radius_km / lat_km, down), _reach(F.col("_lo"), grid.lon_min, span, radius_km / lon_km, across)
+    met = places.filter((rows[0] <= rows[1]) & (cols[0] <= cols[1])).withColumn("_tr", F.explode(F.sequence(*rows))).withColumn("_tc", F.explode(F.sequence(*cols)))
+
+    def gap(at: str, tile: str, low: float, cells: int) -> Column:
+        first = low + F.col(tile) * span
+        last = low + (F.least((F.col(tile) + 1) * side, F.lit(cells)) - 1) * grid.step
+        return F.greatest(F.lit(0.0), first - F.col(at), F.col(at) - last)
+
+    dy, dx = gap("_la", "_tr", grid.lat_min, grid.rows) * lat_km, gap("_lo", "_tc", grid.lon_min, grid.cols) * lon_km
+    met = met.filter(dy * dy + dx * dx <= radius_km * radius_km)
+    around = met.groupBy(*by, (F.col("_tr") * across + F.col("_tc")).alias("_tile")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_la").alias("la"), F.col("_lo").alias("lo"), "r", "n"))).alias("_known"))
+    tiles = groups.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down * across - 1).cast("long"))))
+    work = null_safe_join(tiles, around, [*by, "_tile"], "left").select(*by, F.col("_n").alias("_stations"), "_tile", "_spread", "_n", "_known")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in work.schema.fields[:len(by) + 1])
+    placed = work.mapInArrow(_krige_tiles(grid, side, length_km, nugget, 2.0, 0.05), f"{kinds}cell int, correction double, kriging_se double")
     placed = placed.withColumns(grid.columns(F.col("cell")))
     trend = grid_trend if grid_trend is not None else F.lit(0.0)
-    return placed.withColumn("value", F.greatest(F.lit(0.0), trend + F.col("correction"))).drop("correction")
-
-
-def _loo_solve(pdf: pd.DataFrame, by: list[str], station: str, length_km: float, nugget: float) -> pd.DataFrame:
-    """Kriged value of every station of one group from the others, from one inverse."""
-    lat = pdf["latitude"].to_numpy(float)
-    scale = np.array([K.KM_PER_DEGREE, K.KM_PER_DEGREE * np.cos(np.radians(lat.mean()))])
-    xy = pdf[["latitude", "longitude"]].to_numpy(float) * scale
-    y = pdf["observed"].to_numpy(float)
-    n = len(y)
-    trend = (y.sum() - y) / max(n - 1, 1)          # mean of the others
-    gap = np.linalg.norm(xy[:, None, :] - xy[None, :, :], axis=2)
-    cov = (1.0 - nugget) * np.exp(-gap / length_km) + np.eye(n) * nugget
-    inverse = np.linalg.pinv(cov)
-    # leaving row i out: its weights on the others are -inverse[i, j] / inverse[i, i]
-    weights = -inverse / np.diag(inverse)[:, None]
-    np.fill_diagonal(weights, 0.0)
-    estimate = weights @ y + (1.0 - weights.sum(axis=1)) * trend
-    return pd.DataFrame({**{b: pdf[b] for b in by}, station: pdf[station], "observed": y, "estimate": estimate})[
-        [*by, station, "observed", "estimate"]].iloc[: n if n > 1 else 0]
+    value = F.when(F.col("_stations") == 0, trend).otherwise(F.greatest(F.lit(0.0), trend + F.col("correction")))
+    return placed.select(*by, "cell", "kriging_se", "latitude", "longitude", value.alias("value"))
+
+
+def _loo_tiles(length_km: float, nugget: float):
+    """Kriged value of a tile's own stations from the others around it, from one inverse; rows end with the group's mean latitude, sum and number, and the known stations."""
+    def solve(mean_lat, total, n, known):
+        scale = np.array([K.KM_PER_DEGREE, K.KM_PER_DEGREE * np.cos(np.radians(mean_lat))])
+        at, y = np.array([(k["la"], k["lo"]) for k in known]) * scale, np.array([k["y"] for k in known])
+        own = np.array([k["own"] for k in known])
+        inverse = np.linalg.pinv(_covariance(_apart(at, at), length_km, nugget) + np.eye(len(y)) * nugget)
+        # leaving row i out: its weights on the others are -inverse[i, j] / inverse[i, i]
+        weights = -inverse / np.diag(inverse)[:, None]
+        np.fill_diagonal(weights, 0.0)
+        trend = (total - y) / max(n - 1, 1)          # mean of the others
+        estimate = weights @ y + (1.0 - weights.sum(axis=1)) * trend
+        return [k["row"] for k, o in zip(known, own) if o], y[own], estimate[own]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                rows, y, estimate = solve(*(c.to_pylist()[0] for c in row.columns))
+                kind = row.schema.field(3).type.value_type.field("row").type
+                yield pa.RecordBatch.from_arrays([pa.array(rows, kind), pa.array(y), pa.array(estimate)], names=["row", "observed", "estimate"])
+    return run
 
 
 def kriging_leave_one_out(known: DataFrame, value: str, by: list[str], station="station_id", length_km: float = 40.0,
-                          nugget: float = 0.1) -> DataFrame:
-    """Each station's value kriged from the other stations of its group around their mean."""
-    kinds = dict(known.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, station]) + ", observed double, estimate double"
-    slim = known.select(*by, station, "latitude", "longitude", F.col(value).alias("observed"))
-    return slim.groupBy(*by).applyInPandas(lambda pdf: _loo_solve(pdf, list(by), station, length_km, nugget), schema)
+                          nugget: float = 0.1, radius_km: float = NEIGHBOURHOOD_KM) -> DataFrame:
+    """Each station's value kriged from the other stations of its group around their mean.
 
-
-def surface_without_stations(grid_table: DataFrame, trend: Column) -> DataFrame:
-    """The surface when no station reports: the trend itself with a fixed error of 15."""
-    return grid_table.withColumns({"value": trend, "kriging_se": F.lit(15.0)})
+    Stations are tiled with a halo of ``radius_km``: a tile solves one system for its own stations, so no group stands in one task.  Stations
+    alone in their group, and rows without value or place, give no estimate.
+    """
+    rows = known.filter(F.col(value).isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+        F.struct(*by, F.lit(0).alias("_one")).alias("_g"), F.struct(*by, station).alias("row"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"), F.col(value).cast("double").alias("y"))
+    groups = rows.groupBy(F.col("_g").alias("_h")).agg(F.avg("la").alias("_mean"), F.sum("y").alias("_total"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    sized = rows.join(groups, F.col("_g") == F.col("_h"))
+    y, x = F.col("la") * K.KM_PER_DEGREE / radius_km, F.col("lo") * K.KM_PER_DEGREE * F.cos(F.radians("_mean")) / radius_km
+    around = [F.explode(F.sequence(F.floor(at - 1), F.floor(at + 1))) for at in (y, x)]
+    spread = sized.withColumn("_tr", around[0]).withColumn("_tc", around[1]).withColumn("own", (F.col("_tr") == F.floor(y)) & (F.col("_tc") == F.floor(x)))
+    tiles = spread.groupBy("_g", "_tr", "_tc").agg(F.first("_mean").alias("_mean"), F.first("_total").alias("_total"), F.first("_n").alias("_n"),
+                                                   F.array_sort(F.collect_list(F.struct("la", "lo", "y", "own", "row"))).alias("_known"), F.max("own").alias("_any")).filter("_any")
+    kind = rows.schema["row"].dataType.simpleString()
+    return tiles.select("_mean", "_total", "_n", "_known").mapInArrow(_loo_tiles(length_km, nugget), f"row {kind}, observed double, estimate double").select("row.*", "observed", "estimate")
 
 
 # ---- surface columns ------------------------------------------------------

@@ -63,6 +63,39 @@ def _kriging(t):
     return surface.regression_kriging(stations, COARSE, ["date", "level"], F.col("level")).drop("level")
 
 
+# one reading a day for the northern and the southern half: systems of one or two stations, which SQL can solve
+_ZONES = f"""SELECT date, latitude >= 18.85::DOUBLE AS north, avg(latitude) AS latitude, avg(longitude) AS longitude, avg(observed) AS observed FROM ({_DAILY}) GROUP BY ALL"""
+
+
+def _zones(t):
+    return _daily(t).groupBy("date", (F.col("latitude") >= 18.85).alias("north")).agg(*[F.avg(c).alias(c) for c in ("latitude", "longitude", "observed")])
+
+
+def _km(a: str, b: str) -> str:
+    return f"sqrt(pow(({a}.latitude - {b}.latitude) * 111.0, 2) + pow(({a}.longitude - {b}.longitude) * 111.0 * cos(radians({_MEAN_LAT})), 2))"
+
+
+def _zone_sql() -> str:
+    seen = lambda km: f"0.9::DOUBLE * exp(-{km} / 40.0::DOUBLE)"
+    return f"""
+    WITH z AS ({_ZONES}), l AS (SELECT date, avg(observed) AS level FROM z GROUP BY date), r AS (SELECT z.*, level, observed - level AS e FROM z JOIN l USING (date)),
+         p AS (SELECT a.date, a.level, a.latitude AS ya, a.longitude AS xa, a.e AS ea, b.latitude AS yb, b.longitude AS xb, b.e AS eb,
+                      CASE WHEN b.date IS NULL THEN 0 ELSE {seen(_km('a', 'b'))} END AS k, CASE WHEN b.date IS NULL THEN 0 ELSE abs(a.e - b.e) / 2 END AS spread
+               FROM r a LEFT JOIN r b ON a.date = b.date AND a.north <> b.north WHERE b.date IS NULL OR a.north),
+         c AS (SELECT p.*, g.cell, g.latitude, g.longitude, {seen(_km('g', 'q').replace('q.latitude', 'p.ya').replace('q.longitude', 'p.xa'))} AS ca,
+                      CASE WHEN yb IS NULL THEN 0 ELSE {seen(_km('g', 'q').replace('q.latitude', 'p.yb').replace('q.longitude', 'p.xb'))} END AS cb
+               FROM p, ({_grid_sql(0.5, COARSE.rows, COARSE.cols)}) g)
+    SELECT date, cell, latitude, longitude, greatest(0, level + ((ca - k * cb) * ea + (cb - k * ca) * coalesce(eb, 0)) / (1 - k * k)) AS value,
+           CASE WHEN spread > 0 THEN sqrt(greatest(0, 1 - (ca * ca - 2 * k * ca * cb + cb * cb) / (1 - k * k))) * spread ELSE 10 END AS kriging_se FROM c"""
+
+
+@query("regression_kriging_zones", "latitude longitude kriging_se value", _zone_sql())
+def _kriging_zones(t):
+    zones = _zones(t)
+    stations = zones.join(zones.groupBy("date").agg(F.avg("observed").alias("level")), "date").withColumn("trend", F.col("level"))
+    return surface.regression_kriging(stations, COARSE, ["date", "level"], F.col("level"), radius_km=2_000.0, tile_cells=4).drop("level")
+
+
 @query("surface_compare_loo", "mae rmse r2", f"""
     WITH d AS ({_DAILY}), e AS (SELECT a.date, a.station_id, any_value(a.observed) AS y, sum({_weight('a.latitude', 'a', 'b')} * b.observed) / sum({_weight('a.latitude', 'a', 'b')}) AS p
                FROM d a JOIN d b ON a.date = b.date AND a.station_id <> b.station_id GROUP BY ALL)
@@ -78,6 +111,15 @@ def _loo_kriging(t):
     return regression_metrics(surface.kriging_leave_one_out(_daily(t), "observed", ["date"]), "observed", "estimate")
 
 
+@query("surface_compare_kriging_zones", "mae rmse r2", f"""
+    WITH z AS ({_ZONES}), e AS (SELECT a.observed AS y, b.observed AS p FROM z a JOIN z b ON a.date = b.date AND a.north <> b.north)
+    SELECT count(*) AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM e""")
+def _loo_kriging_zones(t):
+    # of two stations, each one's estimate is the other around itself
+    from smogline.operators.profile import regression_metrics
+    return regression_metrics(surface.kriging_leave_one_out(_zones(t), "observed", ["date"], station="north"), "observed", "estimate")
+
+
 _RGBA = {n: i for i, n in enumerate(("red", "green", "blue", "alpha"))}
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from smogline.functions.geo import haversine_km
+from smogline.functions.geo import flat_km, haversine_km
 from smogline.operators import nearest, quantiles, surface
 from smogline.operators.surface import Grid
 
@@ -48,13 +48,31 @@ def test_nearest_within(spark, scattered, radius):
     assert got[999]["station_id"] == 900        # across the date line
 
 
-@pytest.mark.parametrize("limit", [10_000, 5])
-def test_nearest_any(spark, scattered, limit):
-    p, r = frames(spark, scattered)
-    got = {x["id"]: x for x in nearest.nearest_any(p, r, ["station_id"], ["station_id"], distance=haversine_km, small_limit=limit).collect()}
-    for i, la, lo in scattered[0]:
-        d, s = min((km((la, lo), (b, c)), k) for k, b, c in scattered[1])
-        assert got[i]["station_id"] == s and got[i]["distance_km"] == pytest.approx(d, abs=1e-5)
+def flat(a, b):
+    return 111.0 * math.hypot(a[0] - b[0], (a[1] - b[1]) * math.cos(math.radians(a[0])))
+
+
+@pytest.mark.parametrize("count", [0, 1, 5, 64, 65, 500])
+@pytest.mark.parametrize("measure, brute", [(haversine_km, km), (flat_km, flat)])
+def test_nearest_any(spark, count, measure, brute):
+    """Few and many references, the date line, the poles, far points, repeated places, missing coordinates."""
+    rng = random.Random(count)
+    refs = [(i, rng.uniform(15, 22), rng.uniform(72, 81)) if i % 3 else (i, rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(count)]
+    refs += [(1000 + i, b, c) for i, b, c in refs[:40]] + [(2000, 10.0, -179.95)] * (count > 1) + [(3000, None, 5.0), (3001, 5.0, None)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(120)] + [(200 + i, rng.uniform(15, 22), rng.uniform(72, 81)) for i in range(80)]
+    points += [(900, 10.0, 179.95), (901, 90.0, 0.0), (902, -90.0, 100.0), (903, 18.0, 76.0), (903, 18.0, 76.0)]
+    located = [r for r in refs if None not in r]
+    p = spark.createDataFrame([*points, (999, None, 3.0), (998, 3.0, None)], "id int, latitude double, longitude double")
+    r = spark.createDataFrame(refs, "station_id int, latitude double, longitude double")
+    got = nearest.nearest_any(p, r, ["station_id"], ["station_id"], distance=measure, leaf=4, start_nodes=9).collect()
+    assert len(got) == len(points) + 2
+    where = {i: (a, b) for i, a, b in points}
+    for x in got:
+        if x["id"] in (998, 999) or not located:
+            assert x["station_id"] is None and x["distance_km"] is None
+        else:
+            d, s = min((round(brute(where[x["id"]], (b, c)), 6), k) for k, b, c in located)
+            assert x["station_id"] == s and x["distance_km"] == pytest.approx(d, abs=2e-6)
 
 
 @pytest.mark.parametrize("pieces, small", [(1, 0), (7, 100), (4096, 0), (4096, 10_000)])
@@ -123,6 +141,79 @@ def test_kriging_equals_direct_solve(spark):
     assert [got[i]["kriging_se"] for i in range(25)] == pytest.approx(list(np.sqrt(np.maximum(0, 1 - (w * cg).sum(1))) * res.std()))
 
 
+def _direct(grid, stations, radius, tile):
+    """Every cell from a solve of the stations within the radius of its tile."""
+    scale = np.array([111.0, 111.0 * np.cos(np.radians(grid.mean_lat))])
+    xy, res = np.array([(a, b) for a, b, _ in stations]), np.array([r for *_, r in stations])
+    out = []
+    for i in range(grid.size):
+        r, c = divmod(i, grid.cols)
+        low = np.array([grid.lat_min + r // tile * tile * grid.step, grid.lon_min + c // tile * tile * grid.step])
+        high = np.array([grid.lat_min + (min((r // tile + 1) * tile, grid.rows) - 1) * grid.step, grid.lon_min + (min((c // tile + 1) * tile, grid.cols) - 1) * grid.step])
+        used = np.hypot(*(np.maximum(0, np.maximum(low - xy, xy - high)) * scale).T) <= radius
+        if not used.any():
+            out.append((50.0, res.std()))
+            continue
+        s, g = xy[used] * scale, np.array([grid.lat_min + r * grid.step, grid.lon_min + c * grid.step]) * scale
+        k = 0.9 * np.exp(-np.linalg.norm(s[:, None] - s[None], axis=2) / 40.0) + np.eye(len(s)) * 0.1
+        cg = 0.9 * np.exp(-np.linalg.norm(s - g, axis=1) / 40.0)
+        w = np.linalg.solve(k, cg)
+        out.append((max(0, 50 + w @ res[used]), np.sqrt(max(0, 1 - w @ cg)) * res.std()))
+    return out
+
+
+@pytest.mark.parametrize("radius, tile", [(5_000.0, 2), (60.0, 2), (25.0, 3), (5_000.0, None)])
+def test_kriging_by_tiles(spark, radius, tile):
+    """Moving neighbourhoods equal a direct solve of what they reach, and the global one where they reach all; without ``by`` too."""
+    rng, grid = random.Random(2), Grid(18.0, 18.9, 73.0, 73.7, 0.1)
+    stations = [(rng.uniform(17.9, 18.4), rng.uniform(72.9, 73.9), rng.uniform(-20, 20)) for _ in range(25)]
+    stations += [(18.05, 73.05, 4.0), (18.05, 73.05, -3.0)]      # two readings of one place
+    df = spark.createDataFrame([(a, b, 50.0 + r, 50.0) for a, b, r in stations] + [(None, 73.0, 1.0, 1.0), (18.0, 73.0, None, 1.0)], "latitude double, longitude double, observed double, trend double")
+    got = {r["cell"]: r for r in surface.regression_kriging(df, grid, [], F.lit(50.0), radius_km=radius, tile_cells=tile).collect()}
+    assert len(got) == grid.size
+    for i, (value, se) in enumerate(_direct(grid, stations, radius, tile or 99)):
+        assert got[i]["value"] == pytest.approx(value) and got[i]["kriging_se"] == pytest.approx(se)
+
+
+def test_kriging_without_stations(spark):
+    grid, none = Grid(18.0, 18.2, 73.0, 73.2, 0.1), spark.createDataFrame([], "latitude double, longitude double, observed double, trend double")
+    got = surface.regression_kriging(none, grid, [], F.lit(-5.0)).collect()
+    assert len(got) == 9 and {(r["value"], r["kriging_se"]) for r in got} == {(-5.0, 15.0)}
+    lone = surface.regression_kriging(spark.createDataFrame([(18.1, 73.1, 60.0, 50.0)], none.schema), grid, (), F.lit(50.0)).collect()
+    assert {r["kriging_se"] for r in lone} == {10.0} and max(r["value"] for r in lone) == pytest.approx(59.0)
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_leave_one_out_by_blocks(spark, block):
+    rng = random.Random(6)
+    rows = [("a", i, 18.0 + (i % 9) * 0.1, 73.0 + (i % 4) * 0.1, rng.uniform(0, 90)) for i in range(40)] + [("b", 1, 18.0, 73.0, 5.0), ("c", 1, 18.0, 73.0, 5.0), ("c", 2, 18.0, 73.0, 7.0), ("a", 99, None, 73.0, 1.0)]
+    known = spark.createDataFrame(rows, "d string, station_id int, latitude double, longitude double, v double")
+    got = {(r["d"], r["station_id"]): r["estimate"] for r in surface.idw_leave_one_out(known, "v", ["d"], block=block).collect()}
+    assert len(got) == 42 and got["c", 1] == pytest.approx(7.0) and got["c", 2] == pytest.approx(5.0)
+    located = [r for r in rows if r[2]]
+    for d, s, la, lo, _ in located:
+        k = [(max(0.05, np.hypot((la - b) * 111.0, (lo - c) * 111.0 * np.cos(np.radians(la)))) ** -2, v) for e, o, b, c, v in located if e == d and o != s]
+        if k:
+            assert got[d, s] == pytest.approx(sum(w * v for w, v in k) / sum(w for w, _ in k))
+
+
+def test_kriging_leave_one_out_by_tiles(spark):
+    """With a short halo every station is estimated from the stations of the tiles around its own."""
+    rng = random.Random(9)
+    rows = [(0, i, 18.0 + rng.uniform(0, 3), 73.0 + rng.uniform(0, 3), rng.uniform(20, 90)) for i in range(40)]
+    df = spark.createDataFrame(rows, "h int, station_id int, latitude double, longitude double, v double")
+    got = {r["station_id"]: r["estimate"] for r in surface.kriging_leave_one_out(df, "v", ["h"], radius_km=120.0).collect()}
+    mean = np.mean([r[2] for r in rows])
+    xy = np.array([(r[2] * 111.0, r[3] * 111.0 * np.cos(np.radians(mean))) for r in rows])
+    tile, y = np.floor(xy / 120.0), np.array([r[4] for r in rows])
+    for i in range(40):
+        near = [j for j in range(40) if j != i and (np.abs(tile[j] - tile[i]) <= 1).all()]
+        k = 0.9 * np.exp(-np.linalg.norm(xy[near][:, None] - xy[near][None], axis=2) / 40.0) + np.eye(len(near)) * 0.1
+        w = np.linalg.solve(k, 0.9 * np.exp(-np.linalg.norm(xy[near] - xy[i], axis=1) / 40.0))
+        trend = (y.sum() - y[i]) / 39
+        assert got[i] == pytest.approx(w @ y[near] + (1 - w.sum()) * trend)
+
+
 def test_kriging_leave_one_out_equals_direct_solve(spark):
     rows = [(0, i, 18.0 + 0.1 * i, 73.0 + 0.07 * (i * i % 5), 40.0 + 5 * (i % 3)) for i in range(6)]
     df = spark.createDataFrame(rows, "h int, station_id int, latitude double, longitude double, v double")
