@@ -75,6 +75,10 @@ class Remembered:
         """Those of the keys whose results are not known; the others are in ``young`` afterwards."""
         if len(self.young) > self.limit:
             self._old, self.young = self.young, {}
+        return self.unknown(keys)
+
+    def unknown(self, keys: set) -> set:
+        """Like :meth:`missing`, but nothing grows old: what an earlier call found stays."""
         keys = keys.difference(self.young)
         for key in keys.intersection(self._old):
             self.young[key] = self._old[key]

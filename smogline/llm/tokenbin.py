@@ -22,6 +22,7 @@ from tokenizers import Tokenizer
 from smogline.llm.common import Remembered, per_process, scratch_path, staged
 
 CACHED_WORDS = 400_000
+MARKS = ".,;:!?"
 PART_BYTES = 16_000_000     # text per partition file, about
 MAX_PARTS = 10_000          # most partition files; they only get larger beyond
 
@@ -39,6 +40,7 @@ class CachingTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.rare_space = re.compile(r"[^\S\n ]").search
         self.known = Remembered(CACHED_WORDS)
+        self.marks = dict(zip(MARKS, self._whole(list(MARKS))))
         self.newline = np.frombuffer(self._whole(["\n"])[0], dtype=width)[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -74,9 +76,13 @@ class CachingTokenizer:
             if out[i] is None:
                 first, *rest = t.split(" ")
                 rows.append((i, first, rest))
-        new = list(self.known.missing(set().union(*(rest for _, _, rest in rows))))
+        new = self.known.missing(set().union(*(rest for _, _, rest in rows)))
         known = self.known.young
-        known.update(self._words(new))
+        # letters and digits before one mark are matches of their own, so the library need not see them with every mark
+        marked = {c: c[:-1] for c in new if c[-1:] in self.marks and c[:-1].isalnum()}
+        known.update(self._words(list(self.known.unknown(new.difference(marked).union(marked.values())))))
+        for c, word in marked.items():
+            known[c] = known[word] + self.marks[c[-1]]
         for (i, _, rest), head in zip(rows, self._whole([first for _, first, _ in rows])):
             out[i] = head + b"".join(map(known.__getitem__, rest))
         return out
