@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from smogline.functions import clock
-from smogline.operators import series
+from smogline.operators import selection
 from smogline.operators.common import null_safe_join, with_row_of
 from smogline.operators.quantiles import exact_quantiles
 
@@ -15,27 +16,14 @@ def split_by_date(df: DataFrame, date: str, ts: str = "timestamp_utc") -> DataFr
     return df.withColumn("split", F.when(F.col(ts) < F.lit(date).cast("timestamp_ntz"), "train").otherwise("test"))
 
 
-def temporal_split(df: DataFrame, ts: str = "timestamp_utc", tie=(), test_share: float = 0.2,
-                   slice_seconds: int = series.SLICE_SECONDS) -> DataFrame:
+def temporal_split(df: DataFrame, ts: str = "timestamp_utc", tie=(), test_share: float = 0.2) -> DataFrame:
     """The first int(n·(1-share)) rows in time order are "train", the rest "test".
 
-    Rows without a time come last.  Slice counts name the one slice the cut falls in; only its rows are ranked.
+    Rows without a time come last; equal times go by the tie columns (nulls first), then by all columns.  The cut is found by counting rows per
+    range, first of time, then of the rows at the cut's time (:mod:`smogline.operators.selection`), so one time stamp may hold all rows.
     """
-    late = F.lit(2**62)     # the slice of rows without a time
-    sliced = df.withColumn("_slice", F.coalesce(clock.time_chunk(F.col(ts), slice_seconds).cast("long"), late))
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_c"))
-    running = Window.orderBy("_slice")            # one row per slice
-    placed = sizes.select("_slice", (F.sum("_c").over(running) - F.col("_c")).alias("_before"), "_c")
-    cut = with_row_of(placed, sizes.agg(F.floor(F.sum("_c") * F.lit(1.0 - test_share)).alias("n")), "_t").filter(
-        (F.col("_before") <= F.col("_t.n")) & (F.col("_t.n") < F.col("_before") + F.col("_c"))).agg(
-        F.first("_slice").alias("slice"), F.first(F.col("_t.n") - F.col("_before")).alias("left"))
-    marked = with_row_of(sliced, cut, "_cut", now=True)
-    on_cut = F.col("_slice").eqNullSafe(F.col("_cut.slice"))      # no cut: everything is train
-    spread = marked.filter(~on_cut).withColumn(
-        "split", F.when(F.coalesce(F.col("_slice") < F.col("_cut.slice"), F.lit(True)), "train").otherwise("test"))
-    inside = marked.filter(on_cut).withColumn("_rn", F.row_number().over(Window.partitionBy("_slice").orderBy(ts, *tie)))
-    inside = inside.withColumn("split", F.when(F.col("_rn") <= F.col("_cut.left"), "train").otherwise("test")).drop("_rn")
-    return spread.unionByName(inside).drop("_slice", "_cut")
+    cut = math.floor(df.count() * (1.0 - test_share))
+    return selection.mark_first(df, ts, list(tie), cut, "_first").withColumn("split", F.when(F.col("_first"), "train").otherwise("test")).drop("_first")
 
 
 def _fold_of_groups(sizes: DataFrame, group: str, most: int) -> DataFrame:
@@ -78,14 +66,23 @@ def row_kfold(df: DataFrame, folds: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(*df.columns), F.lit(folds)).cast("int"))
 
 
-def spatial_kfold(df: DataFrame, group: str = "station_id", folds: int = 5) -> DataFrame:
-    """Folds by station; with fewer than two stations by latitude, with fewer than five
-    latitudes by row."""
-    kinds = [F.count_distinct(c) if c in df.columns else F.lit(0) for c in (group, "latitude")]
-    stations, latitudes = df.agg(kinds[0].alias("g"), kinds[1].alias("l")).first()
-    if stations >= 2:
-        return group_kfold(df, group, folds)
-    return latitude_kfold(df, min(folds, 5)) if latitudes >= 5 else row_kfold(df, folds)
+FOLD_MODES = ("station", "latitude", "row")
+
+
+def spatial_kfold(df: DataFrame, mode: str, group: str = "station_id", folds: int = 5) -> DataFrame:
+    """Folds by ``mode``: "station" (two stations at least), "latitude" (five latitudes at least) or "row".
+
+    The caller names the mode; a table it does not fit raises ValueError instead of being split another way.
+    """
+    if mode not in FOLD_MODES:
+        raise ValueError(f"mode must be one of {FOLD_MODES}")
+    least = {"station": (group, 2), "latitude": ("latitude", 5)}.get(mode)
+    if least:
+        column, wanted = least
+        found = df.select(column).dropna().distinct().limit(wanted).count() if column in df.columns else 0
+        if found < wanted:
+            raise ValueError(f"mode {mode} needs {wanted} values of {column}, found {found}")
+    return {"station": lambda: group_kfold(df, group, folds), "latitude": lambda: latitude_kfold(df, min(folds, 5)), "row": lambda: row_kfold(df, folds)}[mode]()
 
 
 def leave_city_out(df: DataFrame, train_cities: list, city: str = "city") -> DataFrame:

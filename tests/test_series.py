@@ -136,9 +136,32 @@ def test_folds_do_not_share_stations(readings):
     assert all(r["n"] == 1 for r in per) and dealt.count() == readings.count()
 
 
-def test_folds_fall_back_to_latitude_and_rows(spark):
+def test_fold_modes_fit_or_raise(spark):
     one = spark.createDataFrame([(i, "s", 15.0 + i * 0.1, 1.0 * i) for i in range(40)], "id int, station_id string, latitude double, x double")
-    by_latitude = splits.spatial_kfold(one, folds=4)
+    by_latitude = splits.spatial_kfold(one, "latitude", folds=4)
     assert [r["count"] for r in by_latitude.groupBy("fold").count().collect()] == [10, 10, 10, 10]
-    by_row = splits.spatial_kfold(one.drop("latitude"), folds=4)
+    by_row = splits.spatial_kfold(one.drop("latitude"), "row", folds=4)
     assert {r["fold"] for r in by_row.select("fold").collect()} <= {0, 1, 2, 3} and by_row.count() == 40
+    for mode, df in (("station", one), ("latitude", one.filter("id < 3")), ("latitude", one.drop("latitude")), ("anything", one)):
+        with pytest.raises(ValueError):
+            splits.spatial_kfold(df, mode)
+
+
+@pytest.mark.parametrize("share", [0.9, 0.45, 0.2, 0.0])
+def test_cut_inside_one_time_stamp(spark, share, monkeypatch):
+    """Daily stamps, half of the rows without a time, ties in the tie column, equal rows: counted, never ranked."""
+    rng = random.Random(7)
+    rows = [(rng.randint(0, 300) if i % 5 else None, None if i % 2 else datetime(2024, 1, 1 + (i % 20 == 0)), "same" if i % 3 else str(i)) for i in range(1200)]
+    rows += [(7, datetime(2024, 1, 1), "same")] * 40
+    df = spark.createDataFrame(rows, "id int, timestamp_utc timestamp_ntz, note string").repartition(6)
+    monkeypatch.setattr(splits.selection.kth_key, "__defaults__", (20,))
+    got = splits.temporal_split(df, tie=["id"], test_share=share).collect()
+    key = lambda r: (r[1] is None, r[1] or datetime.min, r[0] is not None, r[0] or 0, r[2])
+    want = sorted(rows, key=key)[:int(len(rows) * (1 - share))]
+    assert len(got) == len(rows) and sorted(((r["id"], r["timestamp_utc"], r["note"]) for r in got if r["split"] == "train"), key=key) == want
+
+
+def test_kth_number_over_all_longs(spark):
+    values = [-2**63, -5, 0, 0, 3, 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert [splits.selection.kth_number(df, F.col("v"), k + 1)[0] for k in range(7)] == values
