@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from smogline import constants as K
 from smogline.functions import aqi, clock
 from smogline.operators.common import count_if, null_safe_join, unpivot, with_row_of
-from smogline.operators.quantiles import exact_quantiles, interpolated, long_quantiles
+from smogline.operators.quantiles import around, exact_quantiles, interpolated, long_quantiles
 
 
 def daily_mean_complete(df: DataFrame, value: str = "pm25", ts: str = "timestamp_utc", by=(),
@@ -27,7 +27,7 @@ def summary_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = long_quantiles(long, ["column"], "value", [interpolated(p) for p in (0.25, 0.5, 0.75)])
+    quartiles = long_quantiles(long, ["column"], "value", [interpolated(p) for p in (0.25, 0.5, 0.75)], around([0.25, 0.5, 0.75]))
     return moments.join(quartiles, "column").select(
         "column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
         F.col("q")[2].alias("p75"), "max")

@@ -1,13 +1,9 @@
-"""Exact interpolated quantiles without gathering a group in one task.
+"""Exact interpolated quantiles in two scans, without gathering a group in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer.  Here rows are
-counted per value bin (map-side, a few thousand bins however many values there are), the
-running bin totals name the bins that hold the wanted ranks, and a second scan keeps only
-the rows of those bins.  Their values are counted, cut once more into equal pieces between
-the bin's smallest and largest value, and only the wanted pieces are put in order.
-
-A narrow column falls into few bins, but the pieces follow its own range, so that a piece is small all
-the same.
+The first scan makes a Greenwald-Khanna sketch of every group, which merges on the map side.  Its error is proven, so it names for each
+wanted rank a bracket of values that certainly holds it, about a hundredth of the group wide.  The second scan counts what lies below the bracket,
+keeps the values inside, adds up equal ones and puts only those in order.  A group of a few values has a bracket that holds
+them all; nothing depends on how large a group is.
 """
 
 from __future__ import annotations
@@ -16,28 +12,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from smogline.operators.common import null_safe_join, unpivot
+from smogline.operators.common import unpivot
 
 Position = Callable[[Column], Column]
 
-# Bins are equally wide on a logarithmic scale: 1/BINS_PER_E relative width.
-BINS_PER_E = 40
-_SCALE = 1000.0
-# Pieces of a bin that holds a wanted rank.
-PIECES = 4096
-
-
-def value_bin(value: Column) -> Column:
-    """Monotone coarse key of a double; infinities share the outermost bins."""
-    size = F.least(F.log1p(F.abs(value) * _SCALE), F.lit(800.0))
-    return F.floor(F.signum(value) * size * BINS_PER_E).cast("long")
+# The sketch's accuracy: a rank is wrong by at most 1/ACCURACY of the group's size.
+ACCURACY = 1000
+# Sketched shares of a group where the wanted positions are not known beforehand.
+SHARES = tuple(i / 128 for i in range(129))
 
 
-def _piece(value: Column, low: Column, high: Column, pieces: int) -> Column:
-    """Monotone position of a value between the ends of its bin."""
-    span = high - low
-    share = F.when((span > 0) & (span < float("inf")), (value - low) / span).when(value > low, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.floor(share * pieces).cast("long")
+def around(probs: list[float], accuracy: int = ACCURACY) -> tuple[float, ...]:
+    """Shares to sketch for known probabilities: four errors to either side of each, wide enough for any group of ``accuracy`` values or more."""
+    return tuple(sorted({g for p in probs for g in (p - 4 / accuracy, p + 4 / accuracy) if 0 <= g <= 1})) or (0.5,)
 
 
 def column_name(column: str, prob: float) -> str:
@@ -49,12 +36,23 @@ def interpolated(prob: float) -> Position:
     return lambda n: F.lit(float(prob)) * (n - 1)
 
 
-def _holding(wanted: Column) -> Column:
-    """Those of the wanted ranks that fall into a run of ``_c`` values with ``_before`` values before it."""
-    return F.filter(wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_c")))
+def _brackets(sketches: DataFrame, positions: list[Position], shares: tuple[float, ...], accuracy: int) -> DataFrame:
+    """(_g, _n, _b): for each position the two wanted ranks, the share of the upper one and the ends of a bracket that holds both.
 
-
-def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[Position], pieces: int = PIECES) -> DataFrame:
+    Twice the sketch's error is left on either side; where no sketched share is far enough out, as in a small group, the bracket is open.
+    """
+    n, margin, grid = F.nullif(F.col("_n"), F.lit(0)), 2.0 / accuracy, F.array(*map(F.lit, shares))
+    def bracket(i: int, at: Column) -> Column:
+        low, high = F.floor(at), F.ceil(at)
+        below = F.size(F.filter(grid, lambda g: g <= low / n - margin)) - 1
+        above = F.size(F.filter(grid, lambda g: g < (high + 1) / n + margin))
+        ends = (F.when(below >= 0, F.get("_s", below)).otherwise(float("-inf")), F.coalesce(F.get("_s", above), F.lit(float("inf"))))
+        return F.struct(F.lit(i).alias("i"), low.cast("long").alias("low"), high.cast("long").alias("high"), (at - low).cast("double").alias("share"),
+                        ends[0].alias("from"), ends[1].alias("to"))
+    return sketches.select("_g", "_n", F.array(*[bracket(i, p(F.col("_n"))) for i, p in enumerate(positions)]).alias("_b"))
+
+
+def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[Position], shares: tuple[float, ...] = SHARES, accuracy: int = ACCURACY) -> DataFrame:
     """``by`` columns plus an array ``q`` of the values at the zero-based positions (each a
     function of the group's size) and ``n``, the number of values.
 
@@ -65,82 +63,43 @@ def long_quantiles(long: DataFrame, by: list[str], value: str, positions: list[P
     group = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)], F.lit(0).alias("one"))
     number = F.col(value).cast("double")
     # + 0.0 folds the two zeros into one
-    rows = (long.select(group.alias("_g"), F.when(~F.isnan(number), number + F.lit(0.0)).alias("_v"))
-            .withColumn("_at", F.struct("_g", value_bin(F.col("_v")).alias("bin"))))
-    bins = rows.groupBy("_at").agg(F.count("_v").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    every = Window.partitionBy("_at._g")
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("long").alias("rank"))
-        for i, at in enumerate(positions)
-        for side, rank in (("lo", F.floor(at(F.col("_n")))), ("hi", F.ceil(at(F.col("_n")))))
-    ])
-    placed = (bins.withColumn("_n", F.sum("_c").over(every))
-              .withColumn("_before", F.sum("_c").over(every.orderBy("_at.bin")) - F.col("_c"))
-              .withColumn("_w", _holding(ranks)))
-    targets = placed.filter(F.size("_w") > 0).select("_at", "_low", "_high", "_before", "_n")
-    # only rows of the wanted bins go on
-    counts = (rows.filter(F.col("_v").isNotNull()).join(targets, "_at")
-              .groupBy(F.struct("_at", _piece(F.col("_v"), F.col("_low"), F.col("_high"), pieces).alias("piece")).alias("_in"), "_v")
-              .agg(F.count(F.lit(1)).alias("_k"), F.max("_before").alias("_start"), F.max("_n").alias("_n")))
-    runs = counts.groupBy("_in").agg(F.sum("_k").alias("_c"), F.max("_start").alias("_start"), F.max("_n").alias("_n"))
-    ahead = F.sum("_c").over(Window.partitionBy("_in._at").orderBy("_in.piece")) - F.col("_c")
-    wanted = (runs.withColumn("_before", F.col("_start") + ahead).withColumn("_hits", _holding(ranks))
-              .filter(F.size("_hits") > 0).select("_in", "_before", "_hits"))
-    order = Window.partitionBy("_in").orderBy("_v")
-    hits = (counts.select("_in", "_v", F.col("_k").alias("_c"), "_n").join(wanted.withColumnRenamed("_before", "_base"), "_in")
-            .withColumn("_before", F.col("_base") + F.sum("_c").over(order) - F.col("_c"))
-            .select(F.col("_in._at._g").alias("_g"), "_n", "_v", F.explode(_holding(F.col("_hits"))).alias("_w")))
-    # groups without a value take part with no hit
-    empty = placed.filter(F.col("_n") == 0).select(F.col("_at._g").alias("_g"), "_n", F.lit(None).cast("double").alias("_v"), F.lit(None).cast(hits.schema["_w"].dataType).alias("_w"))
-    picks = []
-    for i, at in enumerate(positions):
-        lo = F.max(F.when((F.col("_w.i") == i) & (F.col("_w.side") == "lo"), F.col("_v")))
-        hi = F.max(F.when((F.col("_w.i") == i) & (F.col("_w.side") == "hi"), F.col("_v")))
-        place = at(F.max("_n"))
-        share = place - F.floor(place)
-        picks.append(lo * (1.0 - share) + hi * share)
-    found = hits.unionByName(empty)
-    amount = F.coalesce(F.max("_n"), F.lit(0)).cast("long").alias("n")
-    if not by:
-        return found.agg(F.array(*picks).alias("q"), amount)
-    return found.groupBy("_g").agg(F.array(*picks).alias("q"), amount).select(*[F.col(f"_g.g{i}").alias(b) for i, b in enumerate(by)], "q", "n")
-
-
-# Groups of up to this many rows are sorted whole: many small groups gain nothing from bins.
-SMALL_GROUP_ROWS = 50_000
-
-
-def _by_bins(df: DataFrame, by: list[str], columns: list[str], probs: list[float], pieces: int) -> DataFrame:
-    found = long_quantiles(unpivot(df, by, columns, "_name", "_value"), [*by, "_name"], "_value", [interpolated(p) for p in probs], pieces)
-    wide = [F.max(F.when(F.col("_name") == c, F.col("q")[i])).alias(column_name(c, p))
-            for c in columns for i, p in enumerate(probs)]
-    return found.groupBy(*by).agg(*wide)
-
-
-def _by_sorting(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    """Each group's values as one sorted array; a group without values gets nulls."""
-    lists = df.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.when(~F.isnan(c), F.col(c)))).alias(c) for c in columns])
-    picks = []
-    for c in columns:
-        for p in probs:
-            place = F.lit(float(p)) * (F.size(c) - 1)
-            share = place - F.floor(place)
-            low, high = F.get(c, F.floor(place).cast("int")), F.get(c, F.ceil(place).cast("int"))
-            picks.append((low * (1.0 - share) + high * share).alias(column_name(c, p)))
-    return lists.select(*by, *picks)
-
-
-def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float], pieces: int = PIECES,
-                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+    rows = long.select(group.alias("_g"), F.when(~F.isnan(number), number + F.lit(0.0)).alias("_v"))
+    grid = F.array(*map(F.lit, shares))
+    summary = [F.count("_v").alias("_n"), F.percentile_approx("_v", grid, accuracy).alias("_s")]
+    sketches = rows.groupBy("_g").agg(*summary) if by else rows.agg(*summary).select(F.struct(F.lit(0).alias("one")).alias("_g"), "_n", "_s")
+    brackets = _brackets(sketches, positions, shares, accuracy)
+    known = rows.filter(F.col("_v").isNotNull())
+    met = known.join(brackets, "_g") if by else known.join(F.broadcast(brackets.drop("_g")))      # one row without groups
+    seen = F.transform("_b", lambda b: F.struct(b["i"].alias("i"), b["low"].alias("low"), b["high"].alias("high"), b["share"].alias("share"), b["to"].alias("to"),
+                                                F.when(F.col("_v") >= b["from"], F.col("_v")).alias("v")))
+    # null stands for all values below the bracket; those above it are left
+    kept = met.select("_g", "_n", F.explode(F.filter(seen, lambda b: b["v"].isNull() | (b["v"] <= b["to"]))).alias("_w"))
+    counts = kept.groupBy("_g", "_w.i", "_w.v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), *[F.first(f"_w.{x}").alias(x) for x in ("low", "high", "share")])
+    order = Window.partitionBy("_g", "i").orderBy(F.col("v").asc_nulls_first())
+    before = F.sum("_c").over(order) - F.col("_c")
+    placed = counts.withColumn("_before", before)
+    holds = lambda rank: F.col("v").isNotNull() & (F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_before") + F.col("_c"))
+    picked = placed.filter(holds("low") | holds("high")).groupBy("_g", "i").agg(
+        F.max(F.when(holds("low"), F.col("v"))).alias("a"), F.max(F.when(holds("high"), F.col("v"))).alias("z"), F.first("share").alias("share"), F.first("_n").alias("_n"))
+    found = picked.select("_g", "i", "_n", (F.col("a") * (1.0 - F.col("share")) + F.col("z") * F.col("share")).alias("v"))
+    # every group takes part, also one without a value
+    every = found.unionByName(brackets.select("_g", F.lit(None).cast("int").alias("i"), "_n", F.lit(None).cast("double").alias("v")))
+    size = F.max("_n")
+    def answer(i: int, at: Column) -> Column:
+        value = F.max(F.when(F.col("i") == i, F.col("v")))
+        # the sketch's error is proven; should it ever be larger, fail rather than answer wrongly
+        lost = value.isNull() & (size > 0) & (F.floor(at) >= 0) & (F.ceil(at) < size)
+        return F.when(lost, F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double")).otherwise(value)
+    out = [F.array(*[answer(i, p(size)) for i, p in enumerate(positions)]).alias("q"), size.cast("long").alias("n")]
+    return every.groupBy("_g").agg(*out).select(*[F.col(f"_g.g{i}").alias(b) for i, b in enumerate(by)], "q", "n")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float], accuracy: int = ACCURACY, shares: tuple[float, ...] | None = None) -> DataFrame:
     """One row per group with a column ``<column>_p<percent>`` per column and probability.
 
-    A group (null keys included) without a value gets nulls.  With no ``by`` there is always one row.  Groups
-    are counted first; small ones are sorted whole and large ones go through the bins, with the same rows and values either way.
+    A group (null keys included) without a value gets nulls.  With no ``by`` there is always one row.
     """
-    slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    if not by:
-        return _by_bins(slim, by, columns, probs, pieces)
-    sizes = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    sized = null_safe_join(slim, sizes, by, "inner")
-    direct = _by_sorting(sized.filter(F.col("_rows") <= small_group_rows), by, columns, probs)
-    return direct.unionByName(_by_bins(sized.filter(F.col("_rows") > small_group_rows), by, columns, probs, pieces))
+    long = unpivot(df.select(*by, *columns), by, columns, "_name", "_value")
+    found = long_quantiles(long, [*by, "_name"], "_value", [interpolated(p) for p in probs], shares or around(probs, accuracy), accuracy)
+    wide = [F.max(F.when(F.col("_name") == c, F.col("q")[i])).alias(column_name(c, p)) for c in columns for i, p in enumerate(probs)]
+    return found.groupBy(*by).agg(*wide)

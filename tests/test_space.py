@@ -75,22 +75,22 @@ def test_nearest_any(spark, count, measure, brute):
             assert x["station_id"] == s and x["distance_km"] == pytest.approx(d, abs=2e-6)
 
 
-@pytest.mark.parametrize("pieces, small", [(1, 0), (7, 100), (4096, 0), (4096, 10_000)])
-def test_quantiles(spark, pieces, small):
+@pytest.mark.parametrize("shares, accuracy", [(None, 1000), ((0.0, 0.5, 1.0), 50), (quantiles.SHARES, 1000), (None, 20)])
+def test_quantiles(spark, shares, accuracy):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice([None, float("nan"), -3.0, 0.0, -0.0] + [rng.gauss(0, 100) for _ in range(9)]),
              1013 + rng.uniform(-0.05, 0.05)) for _ in range(700)]
     rows += [("void", None, None), ("void", float("nan"), None)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
     probs = [0.0, 0.25, 0.5, 0.95, 1.0]
-    got = quantiles.exact_quantiles(df, ["g"], ["x", "y"], probs, pieces, small).collect()
+    got = quantiles.exact_quantiles(df, ["g"], ["x", "y"], probs, accuracy, shares).collect()
     assert sorted(str(r["g"]) for r in got) == ["None", "a", "b", "hot", "void"]
     for r in got:
         for c, k in (("x", 1), ("y", 2)):
             known = [row[k] for row in rows if row[0] == r["g"] and row[k] is not None and row[k] == row[k]]
             want = list(np.quantile(known, probs)) if known else [None] * len(probs)
             assert [r[quantiles.column_name(c, p)] for p in probs] == pytest.approx(want)
-    every = quantiles.exact_quantiles(df, [], ["y"], [0.5], pieces).first()
+    every = quantiles.exact_quantiles(df, [], ["y"], [0.5], accuracy, shares).first()
     assert every["y_p50"] == pytest.approx(np.median([r[2] for r in rows if r[2] is not None]))
 
 
