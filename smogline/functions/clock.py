@@ -60,7 +60,7 @@ def season(month: Column) -> Column:
 
 def overpass(ts: Column) -> Column:
     """Name of the overpass window a time falls in (ends included), else null."""
-    minute = seconds(to_local(ts)) / 60.0 % 1440.0
+    minute = F.pmod(seconds(to_local(ts)) / 60.0, F.lit(1440.0))
     ladder = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, (start, end) in K.OVERPASS_MINUTES.items():
         ladder = ladder.when(minute.between(start, end), F.lit(name))

@@ -19,33 +19,48 @@ from smogline.operators.quantiles import exact_quantiles
 
 SLICE_SECONDS = 3600
 ROWS_PER_BLOCK = 200_000
+ROWS_PER_SLICE = 1_000_000      # a slice with more rows is cut into pieces
+SAMPLED = 8                     # sampled keys for each cut
 
 
-def _sliced(df: DataFrame, keys: list[str], ts: str, slice_seconds: int) -> DataFrame:
-    """Adds ``_part``: series keys and time slice as one value.
+def _sliced(df: DataFrame, keys: list[str], ts: str, slice_seconds: int, tie: list[str] | tuple = (), most: int = ROWS_PER_SLICE) -> DataFrame:
+    """Adds ``_part``: series keys, time slice and piece of the slice as one value.
 
     As one struct it is never null itself, so rows without a key join like any
     other, and window, aggregate and join all reuse the same partitioning.
+
+    A slice of more than ``most`` rows, which may be one time stamp or all rows without a time, is cut into pieces along the order of (time, tie): the cuts are
+    keys of a sample of its rows, one for about ``most`` rows.  The tables of such slices and of their cuts hold at most one
+    row for every ``most`` rows of the input, so they are broadcast.
     """
-    slice_ = clock.time_chunk(F.col(ts), slice_seconds).alias("_slice")
-    return df.withColumn("_part", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], slice_))
+    part = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] + [clock.time_chunk(F.col(ts), slice_seconds).alias("_slice")]
+    coarse = df.withColumn("_part", F.struct(*part))
+    large = coarse.groupBy(F.col("_part").alias("_large")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("_large")
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(dict.fromkeys([ts, *tie]))])
+    every, hashed = max(1, most // SAMPLED), [c for c, kind in df.dtypes if "map<" not in kind]
+    sample = (coarse.join(F.broadcast(large), F.col("_part") == F.col("_large"))
+              .filter(F.pmod(F.xxhash64(*hashed), F.lit(every)) == 0).select("_large", key.alias("_key")))
+    cuts = sample.groupBy("_large").agg(F.filter(F.sort_array(F.collect_set("_key")), lambda c, i: i % SAMPLED == SAMPLED - 1).alias("_cuts"))
+    met = coarse.withColumn("_key", key).join(F.broadcast(cuts), F.col("_part") == F.col("_large"), "left")
+    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_key"))), F.lit(0))
+    return met.withColumn("_part", F.struct("_part.*", piece.alias("_piece"))).drop("_large", "_key", "_cuts")
 
 
 def _over_slices(keys: list[str], backwards: bool = False):
     """Window over the slices of a series (a table of slices, not of rows)."""
     series = [F.col(f"_part.k{i}") for i in range(len(keys))]
-    place = F.col("_part._slice")
-    return (Window.partitionBy(*series) if series else Window).orderBy(place.desc() if backwards else place)
+    places = [F.col("_part._slice"), F.col("_part._piece")]
+    return (Window.partitionBy(*series) if series else Window).orderBy(*[p.desc() for p in places] if backwards else places)
 
 
 def rank(df: DataFrame, keys: list[str], ts: str, tie: list[str] | None = None,
-         slice_seconds: int = SLICE_SECONDS, name: str = "series_row") -> DataFrame:
+         slice_seconds: int = SLICE_SECONDS, name: str = "series_row", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Number the rows of each series 1, 2, 3 … in time order.
 
     Slices are numbered on their own and shifted by the size of the slices
     before them, so no task holds more than one slice.
     """
-    sliced = _sliced(df, keys, ts, slice_seconds)
+    sliced = _sliced(df, keys, ts, slice_seconds, tie or [], rows_per_slice)
     earlier = _over_slices(keys).rowsBetween(Window.unboundedPreceding, -1)
     sizes = (sliced.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
              .select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")))
@@ -56,7 +71,7 @@ def rank(df: DataFrame, keys: list[str], ts: str, tie: list[str] | None = None,
 
 def windowed(df: DataFrame, keys: list[str], ts: str, tie: list[str], before: int, after: int,
              columns: Callable[[Window], dict[str, Column]], rows_per_block: int = ROWS_PER_BLOCK,
-             slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+             slice_seconds: int = SLICE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     Rows are ranked, grouped into blocks of ``rows_per_block`` and the few rows at
@@ -72,20 +87,20 @@ def windowed(df: DataFrame, keys: list[str], ts: str, tie: list[str], before: in
         F.when(place >= rows_per_block - before, block + 1) if before else F.lit(None).cast("long"),
         F.when((place < after) & (block > 0), block - 1) if after else F.lit(None).cast("long"),
     ))
-    copies = rank(df, keys, ts, tie, slice_seconds).withColumn("_own", block).withColumn("_block", F.explode(homes))
+    copies = rank(df, keys, ts, tie, slice_seconds, rows_per_slice=rows_per_slice).withColumn("_own", block).withColumn("_block", F.explode(homes))
     window = Window.partitionBy(*keys, "_block").orderBy("series_row")
     return copies.withColumns(columns(window)).filter(F.col("_block") == F.col("_own")).drop("_own", "_block", "series_row")
 
 
 def carry(df: DataFrame, keys: list[str], ts: str, tie: list[str], fills: dict[str, tuple[str, str]],
-          slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+          slice_seconds: int = SLICE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Bring the nearest non-null value of a column to each row.
 
     ``fills`` maps an output name to ``(source column, direction)``; direction
     "last" looks at this row and earlier ones, "next" at this row and later ones.
     """
     order = [F.col(ts), *[F.col(t) for t in tie]]
-    sliced = _sliced(df, keys, ts, slice_seconds)
+    sliced = _sliced(df, keys, ts, slice_seconds, tie, rows_per_slice)
     # looking ahead is looking back in the reversed order: a frame that starts at the partition's first row grows
     # by one row at a time, one that ends at its last row is read anew for every row
     windows = {"last": Window.partitionBy("_part").orderBy(*order), "next": Window.partitionBy("_part").orderBy(*[o.desc() for o in order])}
@@ -165,16 +180,15 @@ def lag_lead_features(df: DataFrame, target: str = K.TARGET, keys=("station_id",
 
 def lag_lead_exact(df: DataFrame, target: str = K.TARGET, keys=("station_id",), ts="timestamp_utc",
                    lags=K.LAG_HOURS, horizons=K.HORIZON_HOURS) -> DataFrame:
-    """Lags and leads by clock time: joins on the timestamp shifted by whole hours.
+    """Lags and leads by clock time: every reading is sent to the times that want it, once for all shifts.
 
     Needs one row per (keys, timestamp).
     """
-    out = df
     shifts = {f"{target}_lag_{k}h": k for k in lags} | {f"target_lead_{h}h": -h for h in horizons}
-    for name, hours in shifts.items():
-        other = df.select(*keys, (F.col(ts) + F.expr(f"INTERVAL {hours} HOURS")).alias(ts), F.col(target).alias(name))
-        out = out.join(other, [*keys, ts], "left")
-    return out
+    sent = F.array(*[F.struct((F.col(ts) + F.expr(f"INTERVAL {hours} HOURS")).alias("at"), F.lit(i).alias("i")) for i, hours in enumerate(shifts.values())])
+    moved = df.select(*keys, F.col(target).alias("_v"), F.inline(sent)).groupBy(*keys, F.col("at").alias(ts)).agg(
+        *[F.max(F.when(F.col("i") == i, F.col("_v"))).alias(name) for i, name in enumerate(shifts)])
+    return df.join(moved, [*keys, ts], "left")
 
 
 def lag_impute(df: DataFrame, target: str = K.TARGET, keys=("station_id",), ts="timestamp_utc", tie=(),

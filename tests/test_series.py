@@ -55,6 +55,30 @@ def test_carry_both_ways(readings):
     same(got, want)
 
 
+@pytest.fixture(scope="module")
+def one_moment(spark):
+    """A station whose rows share one time stamp, one whose rows have none, and a usual one."""
+    rng = random.Random(12)
+    rows = [(i, "moment", datetime(2024, 1, 1), rng.choice([None, 1.0, 2.0])) for i in range(3000)] + [(5000 + i, "timeless", None, rng.choice([None, 3.0])) for i in range(2000)]
+    rows += [(9000 + i, None if i % 2 else "x", datetime(2024, 1, 1, i % 24), float(i)) for i in range(50)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "id int, station_id string, timestamp_utc timestamp_ntz, v double").repartition(5)
+
+
+def test_large_slices_are_cut(one_moment):
+    parts = series._sliced(one_moment, ["station_id"], "timestamp_utc", 3600, ["id"], 100)
+    sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+    assert sum(sizes) == 5050 and max(sizes) < 600
+    got = series.rank(one_moment, ["station_id"], "timestamp_utc", ["id"], name="rn", rows_per_slice=100)
+    same(got, one_moment.withColumn("rn", F.row_number().over(plain()).cast("long")))
+    got = series.carry(one_moment, ["station_id"], "timestamp_utc", ["id"], {"p": ("v", "last"), "n": ("v", "next")}, rows_per_slice=100)
+    same(got, one_moment.withColumns({
+        "p": F.last("v", ignorenulls=True).over(plain().rowsBetween(Window.unboundedPreceding, 0)),
+        "n": F.first("v", ignorenulls=True).over(plain().rowsBetween(0, Window.unboundedFollowing))}))
+    got = series.windowed(one_moment, ["station_id"], "timestamp_utc", ["id"], 2, 1, lambda w: {"a": F.lag("v", 2).over(w), "b": F.lead("v").over(w)}, 64, rows_per_slice=100)
+    same(got, one_moment.withColumns({"a": F.lag("v", 2).over(plain()), "b": F.lead("v").over(plain())}))
+
+
 def test_flatline_keeps_three_and_a_gap_breaks_the_run(spark):
     data = [5.0, 5.0, 5.0, 5.0, 5.0, None, 5.0, 5.0, 5.0, 5.0, 6.0]
     df = spark.createDataFrame([(i, "s", datetime(2024, 1, 1) + timedelta(hours=i), v) for i, v in enumerate(data)],
