@@ -141,19 +141,26 @@ def _expectations(model: Model):
     return run
 
 
+def least_hash(wanted: int, n: int) -> int:
+    """The bound under which ``wanted`` of n evenly spread 63-bit hashes fall; all of them if n is no larger."""
+    return 2**63 - 1 if n <= wanted else max(1, 2**63 * wanted // n)
+
+
 def train(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", rounds: int = 3, train_rows: int = TRAIN_ROWS) -> Model | None:
     """Fit the piece probabilities on rows with a text and a language; None when there are none.
 
-    At most ``train_rows`` rows of each language, the ones with the smallest hash of their text, are used.  Counting is spread over
+    About ``train_rows`` rows of each language are used (all of a smaller one), those whose 63-bit hash of the whole row falls under the
+    language's share: copies of one text with different ids are drawn one by one, and a share never rounds to none.  Counting is spread over
     the rows, so a language with most of the rows is not one task.
     """
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    drawn = F.shiftrightunsigned(F.xxhash64(*[c for c, kind in labelled.dtypes if "map<" not in kind]), 1)
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), drawn.alias("drawn"))
     # the bound as a threshold on the hash: no sort, no shuffle of texts
     known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not known:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for l, n in known.items() for x in (l, int(min(1.0, train_rows / n) * 1_000_000))]), F.col("lang"))
-    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    share = F.element_at(F.create_map(*[F.lit(x) for l, n in known.items() for x in (l, least_hash(train_rows, n))]), F.col("lang"))
+    rows = rows.filter(F.col("drawn") < share).select("lang", "text")
     words = staged(rows.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     languages = sorted(known)
     model = Model(languages, pieces, np.full((len(pieces), len(languages)), 1e-4), np.full(len(languages), 1e-6))
