@@ -2,7 +2,11 @@
 
 Every paragraph passes points for its length and its commas to its ancestors, halved from one to the next; a
 container's points are discounted by the share of its text that stands in links.  The container with the most
-points is kept, with siblings that score well themselves or are plain paragraphs of running text.
+points is kept, with siblings that score well themselves, paragraphs that end as sentences do, and lists, tables, headings and the like that
+are no link lists.  An article element around it is kept whole, with other articles of running text beside it.
+
+Class and id names never drop a heading or paragraph.  Inside an article only names of foreign matter (adverts, comments, sidebars) drop a part; other
+doubtful names do so where the part is mostly links or holds no running sentence.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ BLOCKS = frozenset(
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that never hold main text.
 DROPPED = frozenset("nav footer aside form button select input option object canvas audio video dialog menu head label fieldset".split()) | RAW
-#: Class and id words of parts that are no article text.
+#: Class and id words of parts that are never the article's own text, wherever they stand.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|comments?|replies|disqus|sidebars?|newsletters?|subscribe|subscription)(?=$|[\s_-])", re.I)
+#: Class and id words of parts that are no article text outside an article; inside one they count only for parts that look like boilerplate.
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotion|sidebars?|side|comments?|replies|respond|discussion|disqus|"
     r"cookies?|consent|gdpr|notices?|newsletters?|subscribe|subscription|signup|sign-up|popups?|modals?|overlay|nav|navs|navbar|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|"
@@ -37,16 +43,24 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 #: Text that scores as a paragraph.
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 LEAST_CHARS = 25
+#: Headings and paragraphs, which no name can drop.
+KEPT = frozenset("h1 h2 h3 h4 h5 h6 p article".split())
+#: Text of so many characters with the end of a sentence is running text.
+RUNNING_CHARS = 50
+SENTENCE = re.compile(r"[.!?。！？…](?:\s|$|[\"'”’)])")
+#: Siblings of the best container that belong to it unless they are mostly links.
+PARTS = frozenset("ul ol dl table blockquote pre figure h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attributes", "points", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "children", "attributes", "points", "chars", "linked", "commas", "suspect", "running")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list = []
         self.points = 0.0
         self.chars = self.linked = self.commas = 0
+        self.suspect = self.running = False
 
 
 def parse(html: str) -> Node:
@@ -101,7 +115,8 @@ def parse(html: str) -> Node:
     return root
 
 
-def _dropped(node: Node) -> bool:
+def _dropped(node: Node, inside: bool) -> bool:
+    """Whether a part goes for its kind or name alone; ``inside`` an article a doubtful name only makes it suspect."""
     if node.tag in DROPPED:
         return True
     if node.tag == "header":        # a page's header; an article's own header holds its title
@@ -118,33 +133,47 @@ def _dropped(node: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
+    if node.tag in KEPT:
+        return False
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(UNLIKELY.search(names)) and not (node.tag == "article" or LIKELY.search(names) and not re.search(r"comment|sidebar|advert|footer|nav", names, re.I))
+    if FOREIGN.search(names) and not LIKELY.search(names):
+        return True
+    node.suspect = inside and UNLIKELY.search(names) is not None
+    return not inside and bool(UNLIKELY.search(names)) and not (node.tag == "article" or LIKELY.search(names) and not re.search(r"comment|sidebar|advert|footer|nav", names, re.I))
 
 
 def _measure(root: Node) -> list[Node]:
     """Take unlikely parts out, count text, link text and commas bottom-up; the elements in page order."""
-    order, stack = [], [root]
+    order, stack = [], [(root, False)]
     while stack:
-        node = stack.pop()
+        node, inside = stack.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c)]
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+        inside = inside or node.tag in ("article", "main")
+        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c, inside)]
+        stack.extend((c, inside) for c in reversed(node.children) if not isinstance(c, str))
     for node in reversed(order):
+        node.children = [c for c in node.children if isinstance(c, str) or not (c.suspect and _boilerplate(c))]
         for c in node.children:
             if isinstance(c, str):
                 text = " ".join(c.split())
                 node.chars += len(text)
                 node.commas += text.count(",") + text.count("、") + text.count("，")
+                node.running = node.running or len(text) >= RUNNING_CHARS and SENTENCE.search(text) is not None
             else:
                 node.chars += c.chars
                 node.linked += c.linked
                 node.commas += c.commas
+                node.running = node.running or c.running
         if node.tag == "a":
-            node.linked = node.chars
+            node.linked, node.running = node.chars, False
     return order
 
 
+def _boilerplate(node: Node) -> bool:
+    """A suspect part that is mostly links or holds no running sentence."""
+    return 3 * node.linked > node.chars or not node.running
+
+
 def _score(order: list[Node]) -> Node | None:
     """Paragraphs pass points upwards; the best container, None when there is no paragraph of some length."""
     for node in order:
@@ -173,23 +202,28 @@ def _kept(best: Node) -> list[Node]:
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     if up is not None and up.tag == "article":
-        return [up]
+        # a page may hold its text in several articles next to each other
+        beside = [c for c in up.parent.children if not isinstance(c, str)] if up.parent is not None else [up]
+        return [c for c in beside if c is up or c.tag == "article" and c.running and 3 * c.linked <= c.chars]
     if up is not None and not any(not isinstance(c, str) and c.tag == "article" for c in up.children):
         return [up]
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
-    least = max(2.0, 0.2 * best.points)
-    out = []
+    least, out = max(2.0, 0.2 * best.points), []
     for c in best.parent.children:
         if isinstance(c, str):
             continue
-        density = c.linked / max(1, c.chars)
-        running = c.tag == "p" and c.chars > 80 and density < 0.25 or c.tag in ("h1", "h2", "h3") and density < 0.25
-        if c is best or c.points >= least or running:
+        linky = 4 * c.linked >= max(1, c.chars)
+        sentence = c.tag == "p" and SENTENCE.search(_plain(c)[-2:] + " ") is not None
+        if c is best or c.points >= least or not linky and (c.tag in PARTS and c.chars or sentence):
             out.append(c)
     return out
 
 
+def _plain(node: Node) -> str:
+    return "\n".join(_blocks([node]))
+
+
 def _blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks in page order, white space squeezed."""
     out: list[str] = []

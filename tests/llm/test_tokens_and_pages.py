@@ -111,6 +111,10 @@ def test_language_is_learned_and_held_out(spark, table, odd_rows):
     assert langid.identify(table([]), ["a"]).count() == 0
 
 
+def test_share_of_training_rows_never_rounds_to_none():
+    assert langid.least_hash(4000, 100) == 2**63 - 1 and langid.least_hash(4000, 8000) == 2**62 and langid.least_hash(4000, 5 * 10**9) > 2**42
+
+
 def test_forward_sums_all_segmentations():
     model = langid.Model(["l"], ["a", "b", "ab", "ba"], np.array([[0.3], [0.2], [0.4], [0.1]]), np.array([0.01]))
 
@@ -147,6 +151,24 @@ def test_article_text_only(spark):
     assert mainhtml.extract_pages(pages.limit(0)).count() == 0
 
 
+RUN = "This paragraph runs on for a while, with commas, and it ends as sentences do."
+
+
+def test_names_do_not_drop_article_text():
+    body = (f"<article><h1>Title</h1><p>{RUN}</p><section id='discussion'><h2 class='section-header'>Discussion</h2><p class='side-note'>{RUN}</p></section>"
+            f"<section id='related-work'><p>{RUN}</p></section><div class='legal'>{RUN}</div><div class='share'><a href=a>Post</a> <a href=b>Mail</a></div>"
+            f"<div class='alert'>Log in</div><div class='comments'><p>{RUN}</p></div><p>Short end.</p></article>")
+    assert mainhtml.main_text(f"<body><nav><a href=/>Home</a></nav>{body}<footer>x</footer></body>") == "\n".join(["Title", RUN, "Discussion", RUN, RUN, RUN, "Short end."])
+
+
+def test_pages_without_article():
+    page = (f"<body><div class=menu><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div><h1>Head</h1><div><p>{RUN}</p><p>{RUN}</p></div><ul><li>first thing<li>second thing</ul>"
+            f"<p>Short end.</p><ul><li><a href=3>Three more links</a></ul><p>&copy; Somebody</p></div><div id=sidebar><p>{RUN}</p></div></body>")
+    assert mainhtml.main_text(page) == "\n".join(["Head", RUN, RUN, "first thing", "second thing", "Short end."])
+    two = f"<body><div><article><p>{RUN}</p></article><article><h2>Second</h2><p>{RUN}</p></article></div></body>"
+    assert mainhtml.main_text(two) == "\n".join([RUN, "Second", RUN])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<li>", "<ul>", "</ul>", "<td>", "<table>", "<a href='x'>", "</a>", "text, more", "<br/>", "<!--", "-->", "<", "&amp;", "</html>"]), max_size=40))
 def test_broken_markup_never_fails(pieces):
