@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from itertools import chain, repeat
 
@@ -21,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from smogline.llm.common import per_process
+
 WORD = re.compile(r"\w+")
 STRIDE = 32             # a passage is two strides long
 ENTRY_WORDS = 32
@@ -49,26 +52,52 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words_of(text), []
 
 
+def entries_of(words: list[str]) -> list[list[str]]:
+    """The entries of an item's words; a rest shorter than half an entry joins the one before it."""
+    parts = [words[a: a + ENTRY_WORDS] for a in range(0, len(words), ENTRY_WORDS)]
+    if len(parts) > 1 and len(parts[-1]) < ENTRY_WORDS // 2:
+        last = parts.pop()
+        parts[-1] = parts[-1] + last
+    return parts
+
+
+class Statistics:
+    """What BM25 needs to know of all entries of all items: their number, mean length and how many hold each term."""
+
+    def __init__(self):
+        self.n, self.words, self.frequency = 0, 0, Counter()
+
+    def add(self, items: list[tuple]) -> "Statistics":
+        for _, text in items:
+            question, answer = question_and_answer(text or "")
+            for entry in entries_of(question + answer):
+                self.n += 1
+                self.words += len(entry)
+                self.frequency.update(set(entry))
+        return self
+
+    def weights(self, counts: Counter) -> dict[str, float]:
+        """BM25 weights of an entry's terms."""
+        mean, length = self.words / max(1, self.n), sum(counts.values())
+        return {t: math.log(1 + (self.n - self.frequency[t] + 0.5) / (self.frequency[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for t, f in counts.items()}
+
+
 class Index:
-    """Entries of some items with normalised BM25 weights, by term and by block."""
+    """Entries of some items with normalised BM25 weights, by term and by block.  The statistics are those of all items, so an entry's weights do not depend
+    on what else its index holds."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], statistics: Statistics):
         self.items = [(key, *question_and_answer(text or "")) for key, text in items]
-        entries = [(i, words[a: a + ENTRY_WORDS]) for i, (_, q, a_) in enumerate(self.items) for words in [q + a_] for a in range(0, len(words), ENTRY_WORDS)]
-        # a short rest is part of its neighbour
-        entries = [(i, w) for i, w in entries if len(w) >= ENTRY_WORDS // 2 or len(self.items[i][1]) + len(self.items[i][2]) < ENTRY_WORDS]
+        entries = [(i, words) for i, (_, q, a) in enumerate(self.items) for words in entries_of(q + a)]
         self.owner = [i for i, _ in entries]
         counts = [Counter(w) for _, w in entries]
-        frequency = Counter(chain.from_iterable(counts))
-        n, mean = len(entries), sum(len(w) for _, w in entries) / max(1, len(entries))
-        self.terms = {t: k for k, t in enumerate(frequency)}
-        idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
+        n = len(entries)
+        self.terms = {t: k for k, t in enumerate(sorted(set(chain.from_iterable(counts))))}
         blocks = max(1, -(-n // BLOCK))
         self.block_max = np.zeros((len(self.terms), blocks), dtype=np.float32)
         self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in self.terms]
         for e, c in enumerate(counts):
-            length = sum(c.values())
-            weights = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for t, f in c.items()}
+            weights = statistics.weights(c)
             own = sum(weights.values())
             for t, w in weights.items():
                 k = self.terms[t]
@@ -128,8 +157,7 @@ class Index:
         region = words[max(0, start - reach): start + 2 * STRIDE + reach]
         found = _shingles(region)
         q, a = _share(question, found, region), _share(answer, found, region)
-        whole = _share(question + answer, found, region)
-        return (q, a) if q >= SIMILAR and a >= SIMILAR or whole >= SIMILAR else None
+        return (q, a) if q >= SIMILAR and a >= SIMILAR else None
 
 
 def _shingles(words: list[str]) -> set:
@@ -147,9 +175,14 @@ def _share(words: list[str], found: set, region: list[str]) -> float:
     return len(own & found) / len(own)
 
 
-def _scanner(items: list[tuple]):
+def _scanner(items: list[tuple], statistics: Statistics):
+    token = uuid.uuid4().hex
+
     def run(batches):
-        indexes = [Index(items[a: a + SHARD_ITEMS]) for a in range(0, len(items), SHARD_ITEMS)]
+        kept = per_process(("decontam",), dict)      # the indexes of the pass in work, built once a worker
+        if kept.get("token") != token:
+            kept.update(token=token, indexes=[Index(items[a: a + SHARD_ITEMS], statistics) for a in range(0, len(items), SHARD_ITEMS)])
+        indexes = kept["indexes"]
         for batch in batches:
             texts = [words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             best: list[dict] = [{} for _ in texts]
@@ -188,18 +221,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     """The documents with ``hits``: array of (item, score, question, answer, start, words), one per leaked item, empty when clean.
 
     ``score`` is the best passage's share of the entry's own BM25 score, ``question`` and ``answer`` the shares of their five-word shingles
-    that stand around it, ``start`` the passage's first word.  A leak needs both shares at 0.8 or more, or 0.8 of the item as a
-    whole.  Null and empty texts and an empty benchmark give no hits; two items with one text are both reported; rows are
+    that stand around it, ``start`` the passage's first word.  A leak needs both shares at 0.8 or more; an item of one
+    sentence has no answer to look for.  Null and empty texts and an empty benchmark give no hits; two items with one text are both reported; rows are
     neither dropped nor merged and keep all their columns (a column named ``hits`` is replaced).
     """
     kind = "string" if dict(benchmark.dtypes)[item] == "string" else "bigint"
     hits = HITS.format(kind=kind)
     out = docs.drop("hits").withColumn("hits", F.array().cast(hits))
+    statistics = Statistics()
+    for found in _passes(benchmark, item, item_text):
+        statistics.add(found)
     for found in _passes(benchmark, item, item_text):
+        terms = {w for _, text in found for w in words_of(text)}
+        shipped = Statistics()
+        shipped.n, shipped.words, shipped.frequency = statistics.n, statistics.words, Counter({t: n for t, n in statistics.frequency.items() if t in terms})
         names = [c for c in out.columns if c != "hits"]
         rows = out.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.col("hits").alias("before"), F.col(text).alias("_text"))
         kinds = ", ".join(f"k{i} {out.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
-        rows = rows.mapInArrow(_scanner(found), f"{kinds}, before {hits}, hits {hits}")
+        rows = rows.mapInArrow(_scanner(found, shipped), f"{kinds}, before {hits}, hits {hits}")
         out = rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], F.concat("before", "hits").alias("hits"))
     return out
 

@@ -1,5 +1,7 @@
 """Quality rules, line dedup, decontamination and the pipeline against brute force on small tables."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -122,6 +124,44 @@ def test_many_passes_find_the_same(spark, table, sentence, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaked_items(docs, bench).collect()) == once and len(once) >= 40
 
 
+def test_retrieval_matches_plain_bm25(sentence, monkeypatch):
+    """WAND and block bounds lose nothing against scoring every passage with every entry, and an entry's score does not depend on its shard."""
+    rng = random.Random(1)
+    items = [(i, f"{sentence(rng.randint(3, 90))}. {sentence(rng.randint(1, 9))}") for i in range(60)]
+    texts = [decontam.words_of(t) for t in [f"{sentence(40)} {items[i][1]} {sentence(70)}" for i in range(0, 60, 3)] + [sentence(200), "", sentence(5), items[4][1][:60]]]
+    statistics = decontam.Statistics().add(items)
+    entries = [(i, e) for i, (_, t) in enumerate(items) for e in decontam.entries_of(sum(decontam.question_and_answer(t), []))]
+    assert sum(len(e) for _, e in entries) == sum(len(decontam.words_of(t)) for _, t in items)      # no tail is lost
+    n, mean = len(entries), sum(len(e) for _, e in entries) / len(entries)
+    frequency = Counter(w for _, e in entries for w in set(e))
+    want = {}
+    for x, words in enumerate(texts):
+        for a in range(0, max(1, len(words)), decontam.STRIDE):
+            if a and a + decontam.STRIDE >= len(words) + decontam.STRIDE:
+                continue
+            here = set(words[a: a + 2 * decontam.STRIDE])
+            for i, e in entries:
+                w = {t: math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(e) / mean)) for t, f in Counter(e).items()}
+                score = sum(v for t, v in w.items() if t in here) / sum(w.values())
+                if score >= decontam.RETRIEVE:
+                    want[x, i, a] = max(score, want.get((x, i, a), 0))
+    for shard in (7, 60):
+        got = {}
+        for a in range(0, 60, shard):
+            index = decontam.Index(items[a: a + shard], statistics)
+            for x, i, score, at in index.retrieve(texts):
+                got[x, a + i, at] = max(score, got.get((x, a + i, at), 0))
+        last = {k: v for k, v in want.items() if k in got or k[2] == 0 or k[2] + decontam.STRIDE < len(texts[k[0]])}
+        assert got.keys() == last.keys() and all(abs(got[k] - v) < 1e-6 for k, v in last.items()) and len(got) > 30
+
+
+def test_question_alone_is_no_leak(spark, table, sentence):
+    question, answer = sentence(20), sentence(8)
+    bench = spark.createDataFrame([(1, f"{question}? {answer}")], "item_id long, text string")
+    found = decontam.leaked_items(table([row(1, f"{sentence(30)} {question}? {sentence(30)}"), row(2, f"{question}? {answer} {sentence(9)}")]), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(2, 1)]
+
+
 def test_pipeline_on_a_small_folder(spark, table, sentence, tmp_path):
     items = [(i, sentence(30)) for i in range(5)]
     near = sentence(400).split()
