@@ -11,7 +11,7 @@ from smogline.operators import matching
 PERSONAS = ["general", "sensitive", "farmer", "traffic_worker", "outdoor_worker", "schools"]
 TEMPLATE_COLUMNS = ["language", "category", "headline", "summary", "mask", "ventilation", *PERSONAS]
 
-# Built-in English texts, worded for this library.  Deployments pass their own
+# Built-in texts, worded for this library.  Deployments pass their own
 # template table (any languages) with the columns above.
 _ENGLISH = {
     "Good": ("Clean air", "Air is clean; enjoy the outdoors.", "No mask needed", "Open the windows",
@@ -34,11 +34,40 @@ _ENGLISH = {
                "Stay indoors", "Seek help on symptoms", "Stop field work", "Work from closed cabins",
                "Stop outdoor work", "Close schools"),
 }
+_MARATHI = {
+    "Good": ("स्वच्छ हवा", "हवा स्वच्छ आहे; बाहेर मोकळेपणाने फिरा.", "मास्कची गरज नाही", "खिडक्या उघड्या ठेवा",
+             "कोणतीही मर्यादा नाही", "कोणतीही मर्यादा नाही", "शेतीची कामे सुरू ठेवा", "नेहमीप्रमाणे सेवा", "नेहमीप्रमाणे काम", "मैदानी खेळ चालतील"),
+    "Satisfactory": ("हवा ठीक आहे", "हवा स्वीकारार्ह आहे; अतिसंवेदनशील व्यक्तींनी त्रासाकडे लक्ष द्यावे.", "संवेदनशील व्यक्तींसाठी ऐच्छिक", "दिवसा खिडक्या उघडता येतील",
+                     "नेहमीची कामे करा", "कठीण व्यायामात विश्रांती घ्या", "पिकांचे अवशेष जाळू नका", "धुराजवळ नाक झाका", "विश्रांती घ्या व पाणी प्या", "नेहमीचे खेळ"),
+    "Moderate": ("मध्यम प्रदूषण", "फुफ्फुस व हृदयाच्या रुग्णांना त्रास होऊ शकतो.", "गर्दीच्या रस्त्यांवर मास्क", "गर्दीच्या वेळी रस्त्याकडील खिडक्या बंद ठेवा",
+                 "रहदारीजवळ लांब धावणे टाळा", "इनहेलर जवळ ठेवा", "नांगरणीपूर्वी माती ओली करा", "कामावर मास्क वापरा", "धुळीच्या जागेवर पाणी फवारा", "दमछाक करणारे खेळ घरात घ्या"),
+    "Poor": ("खराब हवा", "जास्त वेळ बाहेर राहिल्यास बहुतेकांना त्रास होतो.", "बाहेर N95 मास्क", "खिडक्या बंद ठेवा",
+             "बाहेरील व्यायाम टाळा", "घरातच राहा", "काहीही जाळू नका", "N95 आणि लहान पाळ्या", "धूळ दाबा; N95 वापरा", "बाहेरील कार्यक्रम रद्द करा"),
+    "Very Poor": ("अतिशय खराब हवा", "जास्त वेळ बाहेर राहिल्यास आजार संभवतो.", "नेहमी N95 किंवा त्याहून चांगला", "हवा खेळती ठेवू नका",
+                  "प्रवास टाळा", "शुद्ध हवेच्या खोलीत राहा", "फक्त अत्यावश्यक शेतीकाम", "N95 सह ४५ मिनिटांच्या पाळ्या", "धुळीची कामे थांबवा", "विद्यार्थ्यांना वर्गात ठेवा"),
+    "Severe": ("हवेची आणीबाणी", "थोडा वेळही निरोगी व्यक्तींना घातक आहे.", "बाहेर पडल्यास N99", "खोल्या बंद करून घ्या",
+               "घरातच राहा", "त्रास झाल्यास उपचार घ्या", "शेतीकाम थांबवा", "बंद केबिनमधून काम करा", "बाहेरील काम थांबवा", "शाळा बंद ठेवा"),
+}
+_HINDI = {
+    "Good": ("स्वच्छ हवा", "हवा साफ़ है; बाहर का आनंद लें.", "मास्क ज़रूरी नहीं", "खिड़कियाँ खुली रखें",
+             "कोई रोक नहीं", "कोई रोक नहीं", "खेत का काम जारी रखें", "सामान्य ड्यूटी", "सामान्य काम", "मैदानी खेल ठीक हैं"),
+    "Satisfactory": ("हवा ठीक है", "हवा स्वीकार्य है; अति संवेदनशील लोग लक्षणों पर ध्यान दें.", "संवेदनशील लोगों के लिए ऐच्छिक", "दिन में खिड़कियाँ खोल सकते हैं",
+                     "सामान्य गतिविधि", "कठिन व्यायाम में रुककर आराम करें", "पराली न जलाएँ", "धुएँ के पास चेहरा ढकें", "आराम करें और पानी पिएँ", "सामान्य खेल"),
+    "Moderate": ("मध्यम प्रदूषण", "फेफड़े और हृदय के रोगियों को परेशानी हो सकती है.", "व्यस्त सड़कों पर मास्क", "भीड़ के समय सड़क की ओर की खिड़कियाँ बंद रखें",
+                 "यातायात के पास लंबी दौड़ से बचें", "इनहेलर साथ रखें", "जुताई से पहले मिट्टी गीली करें", "ड्यूटी पर मास्क पहनें", "धूल वाली जगह पर पानी छिड़कें", "थकाने वाले खेल अंदर कराएँ"),
+    "Poor": ("ख़राब हवा", "देर तक बाहर रहने से अधिकतर लोगों को तकलीफ़ होती है.", "बाहर N95 मास्क", "खिड़कियाँ बंद रखें",
+             "बाहर व्यायाम न करें", "घर में रहें", "कुछ भी न जलाएँ", "N95 और छोटी पालियाँ", "धूल दबाएँ; N95 पहनें", "बाहरी कार्यक्रम रद्द करें"),
+    "Very Poor": ("बहुत ख़राब हवा", "देर तक बाहर रहने से बीमारी हो सकती है.", "हमेशा N95 या बेहतर", "कमरे में बाहर की हवा न आने दें",
+                  "यात्रा से बचें", "साफ़ हवा वाले कमरे में रहें", "केवल ज़रूरी खेत का काम", "N95 के साथ 45 मिनट की पालियाँ", "धूल वाला काम रोकें", "बच्चों को कक्षा में रखें"),
+    "Severe": ("हवा का आपातकाल", "थोड़ी देर भी स्वस्थ लोगों के लिए हानिकारक है.", "बाहर जाना हो तो N99", "कमरे बंद रखें",
+               "घर में रहें", "लक्षण दिखें तो इलाज लें", "खेत का काम रोकें", "बंद केबिन से काम करें", "बाहर का काम रोकें", "स्कूल बंद रखें"),
+}
+TEXTS = {"en": _ENGLISH, "mr": _MARATHI, "hi": _HINDI}
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    """Six rows of built-in English advice."""
-    return spark.createDataFrame([("en", c, *t) for c, t in _ENGLISH.items()], TEMPLATE_COLUMNS)
+    """Built-in advice in English, Marathi and Hindi: one row per language and category."""
+    return spark.createDataFrame([(language, c, *t) for language, texts in TEXTS.items() for c, t in texts.items()], TEMPLATE_COLUMNS)
 
 
 def advisory_lookup(points: DataFrame, templates: DataFrame, districts: DataFrame, regional_notes: DataFrame,
@@ -46,7 +75,7 @@ def advisory_lookup(points: DataFrame, templates: DataFrame, districts: DataFram
     """Category, template texts, nearest district and its region's note for every point.
 
     ``districts`` has id, name, region, lat, lon; ``regional_notes`` has region, language, note.
-    An unknown language reads English; a region without a note gives an empty one.
+    An unknown language, and a category without a template in the language asked for, read English; a region without a note gives an empty one.
     """
     lang = F.when(F.col(language).isin(*K.CATEGORY_NAMES_LOCAL), F.col(language)).otherwise("en")
     name = aqi.category(F.col(index))
@@ -58,7 +87,12 @@ def advisory_lookup(points: DataFrame, templates: DataFrame, districts: DataFram
         "language": lang, "category": F.when(name == K.UNKNOWN_CATEGORY[0], "Moderate").otherwise(name)})
     placed = matching.nearest_reference_point(named, districts.withColumnRenamed("name", "district"),
                                               ["district", "region"], ["id"], "latitude", "longitude")
-    advised = placed.join(templates, ["language", "category"], "left")
+    texts = [c for c in TEMPLATE_COLUMNS if c not in ("language", "category")]
+    english = templates.filter(F.col("language") == "en").select("category", *[F.col(c).alias(f"_en_{c}") for c in texts])
+    # a template is there or not as a whole: an empty text of its own is no gap
+    own = templates.withColumn("_own", F.lit(True))
+    advised = placed.join(own, ["language", "category"], "left").join(english, "category", "left")
+    advised = advised.withColumns({c: F.when(F.col("_own"), F.col(c)).otherwise(F.col(f"_en_{c}")) for c in texts}).drop("_own", *[f"_en_{c}" for c in texts])
     noted = advised.join(regional_notes.select("region", "language", F.col("note").alias("_n")),
                          ["region", "language"], "left")
     return noted.withColumns({

@@ -180,9 +180,19 @@ def _proximity(t):
     return matching.proximity_aggregate(t.v_static.select("location_id", "latitude", "longitude"), features, "location_id", 2.0)
 
 
+# languages of the points by id; the last one is unknown, and one template is left out, so that both fall back to English
+LANGUAGES = ("en", "mr", "hi", "fr")
+UNTRANSLATED = ("hi", "Poor")
+
+
+def _local_names() -> str:
+    arms = " ".join(f"WHEN lang = '{code}' AND c.category = '{k}' THEN '{v}'" for code, names in advisory.K.CATEGORY_NAMES_LOCAL.items() for k, v in names.items())
+    return f"CASE {arms} END"
+
+
 def _template_values() -> str:
-    rows = ", ".join("('en', '" + c + "', " + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + ")"
-                     for c, texts in advisory._ENGLISH.items())
+    rows = ", ".join("('" + language + "', '" + c + "', " + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + ")"
+                     for language, table in advisory.TEXTS.items() for c, texts in table.items() if (language, c) != UNTRANSLATED)
     return f"(VALUES {rows}) AS tpl({', '.join(advisory.TEMPLATE_COLUMNS)})"
 
 
@@ -190,22 +200,24 @@ _ADV_KM = S.flat("p.latitude", "p.longitude", "d.lat", "d.lon")
 
 
 @query("advisory_lookup", "distance_km aqi_rounded", f"""
-    WITH p AS (SELECT record_id, latitude, longitude, aod_550nm * 90 AS aqi FROM v_pixels),
+    WITH p AS (SELECT record_id, latitude, longitude, aod_550nm * 90 AS aqi, CASE record_id % 4 WHEN 1 THEN 'mr' WHEN 2 THEN 'hi' ELSE 'en' END AS lang FROM v_pixels),
          c AS (SELECT *, {S.category('aqi')} AS category FROM p),
          n AS (SELECT p.record_id, d.name AS district, d.region, round({_ADV_KM}, 6) AS km FROM c p, v_districts d
                QUALIFY row_number() OVER (PARTITION BY p.record_id ORDER BY round({_ADV_KM}, 6), d.id) = 1)
-    SELECT record_id, c.category, c.category AS category_localized,
+    SELECT record_id, lang AS language, c.category, {_local_names()} AS category_localized,
            CASE c.category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in advisory.K.ADVISORY_COLORS.items())} END AS color,
            district, {S.bround('km', 2)} AS distance_km, headline, summary, mask, ventilation, general, sensitive, farmer, traffic_worker, outdoor_worker, schools,
-           CASE WHEN region = 'ASIA' THEN '' ELSE 'Regional note for ' || region END AS regional_note,
+           CASE WHEN region = 'ASIA' OR lang <> 'en' THEN '' ELSE 'Regional note for ' || region END AS regional_note,
            {S.bround('aqi')} AS aqi_rounded
-    FROM c JOIN n USING (record_id) JOIN {_template_values()} ON tpl.category = c.category""")
+    FROM c JOIN n USING (record_id) JOIN {_template_values()} ON tpl.category = c.category AND tpl.language = CASE WHEN lang = '{UNTRANSLATED[0]}' AND c.category = '{UNTRANSLATED[1]}' THEN 'en' ELSE lang END""")
 def _advisory(t):
-    points = t.v_pixels.select("record_id", "latitude", "longitude", (F.col("aod_550nm") * 90).alias("aqi"), F.lit("en").alias("language"))
+    language = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.pmod("record_id", F.lit(4)) + 1).cast("int"))
+    points = t.v_pixels.select("record_id", "latitude", "longitude", (F.col("aod_550nm") * 90).alias("aqi"), language.alias("language"))
     notes = t.region.filter("r_name <> 'ASIA'").select(
         F.col("r_name").alias("region"), F.lit("en").alias("language"), F.concat(F.lit("Regional note for "), F.col("r_name")).alias("note"))
-    out = advisory.advisory_lookup(points, advisory.default_templates(t.spark), t.v_districts, notes)
-    return out.select("record_id", "category", "category_localized", "color", "district", "distance_km", "headline", "summary", "mask",
+    templates = advisory.default_templates(t.spark).filter((F.col("language") != UNTRANSLATED[0]) | (F.col("category") != UNTRANSLATED[1]))
+    out = advisory.advisory_lookup(points, templates, t.v_districts, notes)
+    return out.select("record_id", "language", "category", "category_localized", "color", "district", "distance_km", "headline", "summary", "mask",
                       "ventilation", *advisory.PERSONAS, "regional_note", "aqi_rounded")
 
 
