@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from smogline import constants as K
 from smogline.functions import aqi
+from smogline.operators import cleaning, series
 from smogline.operators.common import present
 
 
@@ -50,3 +51,19 @@ def with_overall(df: DataFrame, pollutants: list[str] | None = None, table: str
         "dominant_pollutant": dominant, "category": aqi.category(value), "color": aqi.color_of_index(value),
         "health_advisory": F.when(value.isNull(), "No measurements provided.").otherwise(aqi.advisory(value))})
     return out if keep_subindices else out.drop(*[f"{p}_subindex" for p in names])
+
+
+def clean_station_readings(df: DataFrame, keys=("station_id",), ts: str = "timestamp_utc", tie=(), flat_hours: int = 4) -> DataFrame:
+    """Raw station readings to clean ones with their index, in one go.
+
+    Aliases get their standard names, values outside the physical limits and the ``flat_hours``-th and later of equal readings in a row
+    go, then every pollutant gets ``<pollutant>_subindex`` by the stations' own breakpoints, and a row aqi_calculated (the largest), dominant_pollutant (the first
+    of equals) and aqi_category; all three are null where no pollutant is left.
+    """
+    named = cleaning.alias_harmonise(df, cleaning.GROUND_ALIASES)
+    names = present(named, K.POLLUTANTS)
+    bounded = cleaning.mask_physical_bounds(named)
+    moving = series.flatline_mask(bounded, names, keys, ts, tie, flat_hours) if set(keys) | {ts} <= set(named.columns) else bounded
+    indexed = with_overall(moving, names, "station", "reference", digits=None, keep_subindices=True)
+    out = indexed.withColumn("aqi_category", F.when(F.col("aqi").isNotNull(), F.col("category"))).withColumnRenamed("aqi", "aqi_calculated")
+    return out.drop("n_pollutants", "category", "color", "health_advisory")

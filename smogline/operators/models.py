@@ -5,16 +5,17 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from smogline import constants as K
+from smogline.operators import series
 from smogline.operators.common import with_row_of
 from smogline.operators.features import FeatureSet
 from smogline.operators.imputing import fit_medians
 from smogline.operators.profile import persistence_baseline, regression_metrics
-from smogline.operators.splits import spatial_kfold
+from smogline.operators.splits import spatial_kfold, temporal_split
 from smogline.session import materialise
 
 
@@ -22,6 +23,7 @@ def estimators(rf_trees: int = 100, rf_depth: int = 12, gbt_rounds: int = 300, g
                gbt_depth: int = 6, subsample: float = 0.8, seed: int = 42) -> dict[str, object]:
     """The three baseline regressors."""
     return {
+        # the trace of ridge keeps the normal equations solvable when one input is a sum of others
         "linear_regression": LinearRegression(labelCol="label", solver="normal", regParam=1e-6),
         "random_forest": RandomForestRegressor(labelCol="label", numTrees=rf_trees, maxDepth=rf_depth, seed=seed),
         "boosted_trees": GBTRegressor(labelCol="label", maxIter=gbt_rounds, stepSize=gbt_step, maxDepth=gbt_depth,
@@ -30,14 +32,32 @@ def estimators(rf_trees: int = 100, rf_depth: int = 12, gbt_rounds: int = 300, g
 
 
 def fit(df: DataFrame, features: list[str], target: str, estimator, impute: bool = True) -> PipelineModel:
-    """Median imputation (unless the matrix is filled already), vector assembly and the regressor."""
+    """Imputation by exact medians (unless the matrix is filled already), vector assembly and the regressor."""
     typed = df.filter(F.col(target).isNotNull()).select(
         *[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("label"))
     filled = [f"{c}__f" for c in features] if impute else features
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=filled, relativeError=0.001)] if impute else []
+    stages = [median_filler(typed, features)] if impute else []
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=filled, outputCol="features"), estimator]).fit(typed)
 
 
+def median_filler(df: DataFrame, features: list[str]) -> SQLTransformer:
+    """A pipeline stage that adds ``<feature>__f``: the feature with its gaps filled by the exact median of ``df``, 0 for a feature without values."""
+    medians = fit_medians(df, features).first()
+    filled = ", ".join(f"coalesce(nullif(cast(`{c}` as double), cast('NaN' as double)), {0.0 if medians[c] is None else medians[c]!r}D) as `{c}__f`" for c in features)
+    return SQLTransformer(statement=f"select *, {filled} from __THIS__")
+
+
+def forecast_rows(df: DataFrame, target: str = K.TARGET, keys=("station_id",), ts: str = "timestamp_utc", tie=(), test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of a forecast, with lags, rolling statistics and leads of the whole series.
+
+    Windows come before the split, so the first test rows look back into the training rows; a window only ever looks back, so no test row is fed from its
+    future.  Rows without the first lead are left out; gaps in lags stay, for the training medians to fill (:func:`filled_matrices`).
+    """
+    windows = series.lag_lead_features(df, target, keys, ts, tie, rolling=True)
+    marked = materialise(temporal_split(windows.filter(F.col(f"target_lead_{K.HORIZON_HOURS[0]}h").isNotNull()), ts, tie, test_share), "forecast-rows")
+    return tuple(marked.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+
+
 def filled_matrices(fs: FeatureSet, train: DataFrame, test: DataFrame, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Engineered train and test rows, gaps filled with the training medians, written out once."""
     names = [*fs.names, *extra]

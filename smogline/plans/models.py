@@ -68,12 +68,30 @@ def _baselines(t):
     return models.train_baselines(train, test, folds=3, **SMALL)
 
 
+def _forecast_rows(t):
+    known = t.v_features.filter(F.col("pm25_ground").isNotNull()).withColumns(
+        {f"is_{g}_missing": F.col(f"satellite_{g}").isNull().cast("int") for g in ("no2", "so2", "co", "o3")} | {"is_aod_missing": F.col("aod_550nm").isNull().cast("int")})
+    return models.forecast_rows(known, tie=["record_id"])
+
+
 @query("train_horizons", "persistence_mae mae rmse r2 gain_pct")
 def _train_horizons(t):
-    train, test = _halves(t)
-    lagged = [series.lag_impute(series.lag_lead_features(h, tie=["record_id"], rolling=True), tie=["record_id"]) for h in (train, test)]
-    names = [c for c in lagged[0].columns if "_lag_" in c or "_rolling_" in c]
-    return models.train_horizons(*lagged, names, rounds=5, depth=3)
+    train, test = _forecast_rows(t)
+    names = [c for c in train.columns if "_lag_" in c or "_rolling_" in c]
+    return models.train_horizons(train, test, names, **{k.removeprefix("gbt_"): v for k, v in SMALL.items() if k.startswith("gbt_")})
+
+
+_LEADS = ", ".join(f"lead(pm25_ground, {h}) OVER w AS l{h}" for h in K.HORIZON_HOURS)
+
+
+@query("forecast_rows", "mae rmse", f"""
+    WITH l AS (SELECT record_id, timestamp_utc, pm25_ground, {_LEADS} FROM v_features WHERE pm25_ground IS NOT NULL WINDOW w AS (PARTITION BY station_id ORDER BY timestamp_utc, record_id)),
+         k AS (SELECT *, row_number() OVER (ORDER BY timestamp_utc, record_id) AS rn, count(*) OVER () AS total FROM l WHERE l1 IS NOT NULL),
+         t AS (SELECT * FROM k WHERE rn > floor(total * 0.8::DOUBLE))
+    {' UNION ALL '.join(f"SELECT CAST({h} AS INT) AS horizon_hours, count(l{h}) AS n, avg(abs(l{h} - pm25_ground)) AS mae, sqrt(avg((l{h} - pm25_ground) * (l{h} - pm25_ground))) AS rmse FROM t" for h in K.HORIZON_HOURS)}""")
+def _test_rows(t):
+    # the test rows of train_horizons and their persistence error
+    return profile.persistence_baseline(_forecast_rows(t)[1]).drop("gain_pct")
 
 
 @query("ablation", "mae rmse r2 mae_gain_pct")
@@ -117,7 +135,25 @@ def _importance(t):
     return explain.global_importance(t.v_features, COEFFICIENTS)
 
 
-@query("narrative", "")
+def _fixed(x: str) -> str:
+    """One decimal, half away from zero."""
+    return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 16)), 1) AS DECIMAL(20, 1)) AS VARCHAR)"
+
+
+_KNOWN_CONTRIB = _CONTRIB.replace("v_features", "(SELECT * FROM v_features WHERE pm25_ground IS NOT NULL)")
+_DRIVER = "CASE feature " + " ".join(f"WHEN '{c}' THEN '{K.DRIVER_NAMES[c].capitalize()}'" for c in _NAMES) + " END"
+
+
+@query("narrative", "", f"""
+    WITH c AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY abs(contribution) DESC, pos) AS rank FROM ({_KNOWN_CONTRIB})),
+         l AS (SELECT record_id, any_value(base_value) AS base, string_agg('- ' || {_DRIVER} || ': ' || CASE WHEN contribution > 0 THEN '+' ELSE '-' END
+                      || {_fixed('abs(contribution)')} || ' ug/m3', chr(10) ORDER BY rank) AS lines FROM c WHERE rank <= 4 GROUP BY record_id)
+    SELECT record_id, 'Estimated PM2.5: ' || {_fixed('pm25_ground')} || ' ug/m3, class ' ||
+           CASE WHEN pm25_ground <= 30 THEN 'GOOD' WHEN pm25_ground <= 60 THEN 'SATISFACTORY' WHEN pm25_ground <= 90 THEN 'MODERATE'
+                WHEN pm25_ground <= 120 THEN 'POOR' WHEN pm25_ground <= 250 THEN 'VERY POOR' ELSE 'SEVERE' END || '.' || chr(10) ||
+           'That lies ' || {_fixed('abs(pm25_ground - base)')} || ' ug/m3 ' || CASE WHEN pm25_ground > base THEN 'above' ELSE 'below' END || ' the usual ' || {_fixed('base')} || ' ug/m3.'
+           || chr(10) || 'Largest contributions:' || chr(10) || lines AS narrative
+    FROM l JOIN v_features USING (record_id)""")
 def _narrative(t):
     made = explain.contributions_array(t.v_features.filter(F.col("pm25_ground").isNotNull()), COEFFICIENTS, 12.0)
     return made.select("record_id", risk.narrative(F.col("pm25_ground"), F.col("base_value"),

@@ -44,6 +44,25 @@ def _overall(t):
     return indices.with_overall(t.v_obs_hourly, _P)
 
 
+_COARSE = ", ".join(f"floor({p} / 40) * 40 AS {p}" for p in _P)
+_BOUNDED = ", ".join(f"CASE WHEN {p} BETWEEN {K.POLLUTANT_LIMITS[p][0]} AND {K.POLLUTANT_LIMITS[p][1]} THEN {p} END AS {p}" for p in _P)
+_MOVING = ", ".join(f"CASE WHEN {' AND '.join(f'{p} = lag({p}, {k}) OVER w' for k in (1, 2, 3))} THEN NULL ELSE {p} END AS {p}" for p in _P)
+_STATION_SUBS = ", ".join(f"{S.subindex(p, p, 'station', 'reference')} AS {p}_subindex" for p in _P)
+
+
+@query("clean_station_readings", " ".join([*_P, *[f"{p}_subindex" for p in _P], "aqi_calculated"]), f"""
+    SELECT *, CASE WHEN aqi_calculated IS NULL THEN NULL {' '.join(f"WHEN {p}_subindex = aqi_calculated THEN '{p.upper()}'" for p in _P)} END AS dominant_pollutant,
+           CASE WHEN aqi_calculated IS NOT NULL THEN {S.category('aqi_calculated')} END AS aqi_category
+    FROM (SELECT *, greatest({', '.join(f'{p}_subindex' for p in _P)}) AS aqi_calculated
+          FROM (SELECT *, {_STATION_SUBS}
+                FROM (SELECT station_id, timestamp_utc, {_MOVING} FROM (SELECT station_id, timestamp_utc, {_BOUNDED} FROM (SELECT station_id, timestamp_utc, {_COARSE} FROM v_obs_hourly))
+                      WINDOW w AS (PARTITION BY station_id ORDER BY timestamp_utc))))""")
+def _station_readings(t):
+    # coarse values, so that equal runs occur, under the names that stations use
+    raw = t.v_obs_hourly.select("station_id", "timestamp_utc", *[(F.floor(F.col(p) / 40) * 40.0).alias(p.upper() if p != "pm25" else "PM2.5") for p in _P])
+    return indices.clean_station_readings(raw).select("station_id", "timestamp_utc", *_P, *[f"{p}_subindex" for p in _P], "aqi_calculated", "dominant_pollutant", "aqi_category")
+
+
 @query("naqi_official", "aqi", f"""
     SELECT station_id, timestamp_utc, CASE WHEN pm25 IS NOT NULL AND
         {' + '.join(f'CASE WHEN {p} IS NULL THEN 0 ELSE 1 END' for p in _P)} >= 3 THEN aqi END AS aqi
