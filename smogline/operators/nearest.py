@@ -54,7 +54,7 @@ def nearest_within(points: DataFrame, refs: DataFrame, radius_km: float, payload
 # References of one leaf, nodes that a search starts from at most, and the levels of the hierarchy: cells of
 # 180 degrees down to about 300 metres, each a sixteenth of the one above.
 LEAF = 32
-START_NODES = 64
+START_NODES = 32
 LEVELS = tuple(range(0, 17, 2))
 SLACK_KM = 2e-6         # distances are compared to the millimetre
 
@@ -86,10 +86,16 @@ def _seen(nodes: Column, distance: Distance, box: Callable) -> Column:
                                                  distance(lat, lon, n["r_lat"], n["r_lon"]).alias("sure")))
 
 
-def _pruned(df: DataFrame, candidates: Column, bound: Column) -> DataFrame:
-    """Positions with the candidates that may still hold the nearest reference."""
-    kept = F.filter(candidates, lambda c: c["least"] <= bound + SLACK_KM)
-    return df.select("_lat", "_lon", bound.alias("_bound"), kept.alias("_kept"))
+def _pruned(df: DataFrame, candidates: Column, seen_before: Column | None = None) -> DataFrame:
+    """Positions with the candidates that may still hold the nearest reference.
+
+    The aggregation, by the key that the rows are already dealt by, keeps candidates and bound as values: the optimizer would else write
+    the distances out again inside the comparison, for every pair of candidates.
+    """
+    sure = F.array_min(F.transform(candidates, lambda c: c["sure"]))
+    bound = sure if seen_before is None else F.least(seen_before, sure)
+    fixed = df.groupBy("_lat", "_lon").agg(F.first(candidates).alias("_all"), F.min(bound).alias("_bound"))
+    return fixed.select("_lat", "_lon", "_bound", F.filter("_all", lambda c: c["least"] <= F.col("_bound") + SLACK_KM).alias("_kept"))
 
 
 def nearest_any(points: DataFrame, refs: DataFrame, payload: list[str], order: list[str],
@@ -114,16 +120,14 @@ def nearest_any(points: DataFrame, refs: DataFrame, payload: list[str], order: l
     start = max((level for level, r in sizes.items() if r["n"] <= start_nodes), default=LEVELS[0])
     inner = [level for level in LEVELS if level >= start and level in sizes and sizes[level]["inner"]]
     first = tree.filter(F.col("level") == start).agg(F.collect_list("node").alias("nodes"))
-    search = _positions(points, lat, lon).withColumn("_nodes", first.scalar()).withColumn("_c", _seen(F.col("_nodes"), distance, box))
-    search = _pruned(search, F.col("_c"), F.array_min(F.transform("_c", lambda c: c["sure"])))
+    search = _positions(points, lat, lon).withColumn("_nodes", first.scalar())
+    search = _pruned(search, _seen(F.col("_nodes"), distance, box))
     for level in inner:
         opened = tree.filter(F.col("level") == LEVELS[LEVELS.index(level) + 1]).groupBy("parent").agg(F.collect_list("node").alias("_nodes"))
         inside = search.select("_lat", "_lon", "_bound", F.filter("_kept", lambda c: c["leaf"]).alias("_done"), F.explode_outer(F.filter("_kept", lambda c: ~c["leaf"])).alias("_c"))
         met = inside.join(opened, F.col("_c.id") == F.col("parent"), "left").groupBy("_lat", "_lon").agg(
             F.min("_bound").alias("_old"), F.first("_done").alias("_done"), F.flatten(F.collect_list("_nodes")).alias("_nodes"))
-        seen = met.withColumn("_c", _seen(F.col("_nodes"), distance, box))
-        bound = F.least("_old", F.array_min(F.transform("_c", lambda c: c["sure"])))
-        search = _pruned(seen, F.concat("_done", "_c"), bound)
+        search = _pruned(met, F.concat("_done", _seen(F.col("_nodes"), distance, box)), F.col("_old"))
     # every place lies in one of the leaves below the start
     above = tree.filter(~F.col("leaf") & (F.col("level") >= start)).select(F.col("id").alias("parent"))
     ends = tree.filter(F.col("leaf") & (F.col("level") > start)).join(above, "parent", "left_semi").select("id").unionByName(

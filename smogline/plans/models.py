@@ -172,6 +172,37 @@ def _forecast(t):
     return explain.forecast_table(known, ["record_id"], {h: F.col("pm25_ground") * (1 - h / 100.0) for h in K.HORIZON_HOURS})
 
 
+_NEAR_KM = S.flat("b.latitude", "b.longitude", "s.latitude", "s.longitude")
+_FLAT_FIELDS = {
+    "predicted_pm25": "predicted_pm25", "predicted_aqi": "predicted_aqi", "category": "category", "color": "color", "health_advisory": "health_advisory",
+    "margin_of_error": "uncertainty.margin_of_error", "lower_bound": "uncertainty.pm25_lower_bound", "upper_bound": "uncertainty.pm25_upper_bound",
+    "uncertainty_level": "uncertainty.uncertainty_level", "reliability_score": "data_reliability.reliability_score", "reliability_level": "data_reliability.reliability_level",
+    "modis_aod": "data_reliability.inputs_verified.modis_aod", "station": "station_comparison.nearest_station_name", "station_km": "station_comparison.distance_to_station_km",
+    "delta_pm25": "station_comparison.delta_pm25", "delta_direction": "station_comparison.delta_direction", "prediction_id": "provenance.prediction_id"}
+
+
+@query("response_fields", "predicted_pm25 predicted_aqi margin_of_error lower_bound upper_bound station_km delta_pm25", f"""
+    WITH b AS (SELECT * EXCLUDE (station_id) FROM v_features WHERE pm25_ground IS NOT NULL),
+         m AS (SELECT station_id, avg(pm25_ground) AS station_pm25 FROM v_pm25 GROUP BY 1), s AS (SELECT station_id, name, latitude, longitude, station_pm25 FROM v_stations JOIN m USING (station_id)),
+         n AS (SELECT b.*, s.name AS station, s.station_pm25, round({_NEAR_KM}, 6) AS km6 FROM b, s QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY round({_NEAR_KM}, 6), s.station_id) = 1),
+         k AS (SELECT *, {S.bround('km6', 2)} AS km, {S.subindex('pm25_ground', 'pm25')} AS sub, pm25_ground - station_pm25 AS raw FROM n),
+         i AS (SELECT *, {S.bround('sub')} AS predicted_aqi, {S.bround('raw')} AS delta_pm25,
+                      1.645::DOUBLE * (12.5::DOUBLE * (1.0 + 0.03::DOUBLE * least(km, 30.0)) * CASE WHEN aod_550nm IS NULL THEN 1.45::DOUBLE ELSE 1.0 END
+                      * CASE WHEN boundary_layer_height < 400 THEN 1.25::DOUBLE ELSE 1.0 END) AS spread,
+                      round_even(100.0::DOUBLE - least(km * 1.5, 30.0) - CASE WHEN aod_550nm IS NULL THEN 22 ELSE 0 END - CASE WHEN satellite_no2 IS NULL THEN 10 ELSE 0 END - 3.0, 0) AS score FROM k),
+         e AS (SELECT *, {S.bround('spread')} AS margin_of_error FROM i),
+         f AS (SELECT *, pm25_ground - margin_of_error AS lo, pm25_ground + margin_of_error AS hi, margin_of_error / greatest(pm25_ground, 20.0) * 100.0 AS p FROM e),
+         g AS (SELECT *, {S.bround('p')} AS pct FROM f)
+    SELECT record_id, {S.bround('pm25_ground')} AS predicted_pm25, predicted_aqi, {S.category('predicted_aqi')} AS category, {S.color('predicted_aqi')} AS color, {S.advisory('predicted_aqi')} AS health_advisory,
+           margin_of_error, greatest(0.0, {S.bround('lo')}) AS lower_bound, {S.bround('hi')} AS upper_bound, CASE WHEN pct < 20 THEN 'LOW' WHEN pct < 40 THEN 'MEDIUM' ELSE 'HIGH' END AS uncertainty_level,
+           CAST(greatest(least(score, 99), 25) AS INT) AS reliability_score, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS reliability_level,
+           aod_550nm IS NOT NULL AS modis_aod, station, km AS station_km, delta_pm25, CASE WHEN delta_pm25 > 0 THEN 'HIGHER' WHEN delta_pm25 < 0 THEN 'LOWER' ELSE 'EQUAL' END AS delta_direction,
+           'PRED-' || upper(substr(sha256(concat_ws(':', CAST(latitude AS VARCHAR), CAST(longitude AS VARCHAR), CAST(timestamp_utc AS VARCHAR), 'v1')), 1, 12)) AS prediction_id FROM g""")
+def _response_fields(t):
+    """The nested record of response_struct, field by field."""
+    return _response(t).select("record_id", *[F.col(f"response.{path}").alias(name) for name, path in _FLAT_FIELDS.items()])
+
+
 @query("response_struct", "")
 def _response(t):
     """Current conditions of every order's position as one nested record."""

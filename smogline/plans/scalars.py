@@ -107,9 +107,9 @@ def _pm25(t):
                                aqi.pm25_category(F.col("pm25_ground")).alias("category"))
 
 
-@query("prediction_interval", "pm25_predicted margin_of_error pm25_lower_bound pm25_upper_bound uncertainty_percentage", f"""
+@query("prediction_interval", "confidence_level pm25_predicted margin_of_error pm25_lower_bound pm25_upper_bound uncertainty_percentage", f"""
     SELECT record_id, {S.bround('y')} AS pm25_predicted, margin_of_error, greatest(0.0, {S.bround('lo')}) AS pm25_lower_bound,
-           {S.bround('hi')} AS pm25_upper_bound, pct AS uncertainty_percentage,
+           {S.bround('hi')} AS pm25_upper_bound, 0.9::DOUBLE AS confidence_level, pct AS uncertainty_percentage,
            CASE WHEN pct < 20 THEN 'LOW' WHEN pct < 40 THEN 'MEDIUM' ELSE 'HIGH' END AS uncertainty_level
     FROM (SELECT *, {S.bround('p')} AS pct FROM (SELECT *, y - margin_of_error AS lo, y + margin_of_error AS hi,
                  margin_of_error / greatest(y, 20.0) * 100.0 AS p
@@ -124,21 +124,23 @@ def _interval(t):
     return known.select("record_id", struct.alias("i")).select("record_id", "i.*")
 
 
-@query("reliability_score", "", """
+@query("reliability_score", "distance_to_station_km", f"""
     SELECT record_id, CAST(greatest(least(s, 99), 25) AS INT) AS reliability_score,
-           CASE WHEN s >= 80 THEN 'HIGH' WHEN s >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS reliability_level
-    FROM (SELECT record_id, round_even(100.0::DOUBLE - least(distance_to_station_km * 1.5, 30.0) - CASE WHEN aod_550nm IS NULL THEN 22 ELSE 0 END
+           CASE WHEN s >= 80 THEN 'HIGH' WHEN s >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS reliability_level,
+           aod_550nm IS NOT NULL AS modis_aod, satellite_no2 IS NOT NULL AS tropomi_no2, {S.bround('distance_to_station_km', 2)} AS distance_to_station_km
+    FROM (SELECT record_id, aod_550nm, satellite_no2, distance_to_station_km, round_even(100.0::DOUBLE - least(distance_to_station_km * 1.5, 30.0) - CASE WHEN aod_550nm IS NULL THEN 22 ELSE 0 END
                  - CASE WHEN satellite_no2 IS NULL THEN 10 ELSE 0 END - least((record_id % 100) / 100.0::DOUBLE * 20, 15), 0) AS s FROM v_features)""")
 def _reliability(t):
     struct = risk.reliability(F.col("distance_to_station_km"), F.col("aod_550nm").isNull(), F.col("satellite_no2").isNull(),
                               (F.col("record_id") % 100) / 100.0)
-    return t.v_features.select("record_id", struct.alias("r")).select("record_id", "r.reliability_score", "r.reliability_level")
+    return t.v_features.select("record_id", struct.alias("r")).select("record_id", "r.reliability_score", "r.reliability_level", "r.inputs_verified.modis_aod",
+                                                                            "r.inputs_verified.tropomi_no2", "r.inputs_verified.distance_to_station_km")
 
 
 _DELTA_KM = S.flat("p.latitude", "p.longitude", "s.latitude", "s.longitude")
 
 
-@query("station_delta", "distance_km delta_pm25", f"""
+@query("station_delta", "distance_km delta_pm25 nearest_station_pm25 hyperlocal_pm25", f"""
     WITH m AS (SELECT station_id, avg(pm25_ground) AS station_pm25 FROM v_pm25 GROUP BY 1),
          s AS (SELECT station_id, name, latitude, longitude, station_pm25 FROM v_stations JOIN m USING (station_id)),
          n AS (SELECT record_id, pm25_ground, s.name, s.station_pm25, round({_DELTA_KM}, 6) AS km
@@ -146,14 +148,15 @@ _DELTA_KM = S.flat("p.latitude", "p.longitude", "s.latitude", "s.longitude")
                QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY round({_DELTA_KM}, 6), s.station_id) = 1),
          d AS (SELECT *, pm25_ground - station_pm25 AS raw FROM n)
     SELECT record_id, name, {S.bround('km', 2)} AS distance_km, {S.bround('raw')} AS delta_pm25,
-           CASE WHEN {S.bround('raw')} > 0 THEN 'HIGHER' WHEN {S.bround('raw')} < 0 THEN 'LOWER' ELSE 'EQUAL' END AS delta_direction FROM d""")
+           CASE WHEN {S.bround('raw')} > 0 THEN 'HIGHER' WHEN {S.bround('raw')} < 0 THEN 'LOWER' ELSE 'EQUAL' END AS delta_direction,
+           station_pm25 AS nearest_station_pm25, {S.bround('pm25_ground')} AS hyperlocal_pm25 FROM d""")
 def _delta(t):
     means = t.v_pm25.groupBy("station_id").agg(F.avg("pm25_ground").alias("station_pm25"))
     stations = t.v_stations.join(means, "station_id")
     points = t.v_features.filter(F.col("pm25_ground").isNotNull()).select("record_id", "latitude", "longitude", "pm25_ground")
     near = matching.nearest_reference_point(points, stations, ["name", "station_pm25"], ["station_id"], ref_lat="latitude", ref_lon="longitude")
     struct = risk.station_delta(F.col("pm25_ground"), F.col("station_pm25"), F.col("name"), F.col("distance_km"))
-    return near.withColumn("d", struct).select("record_id", "name", "distance_km", "d.delta_pm25", "d.delta_direction")
+    return near.withColumn("d", struct).select("record_id", "name", "distance_km", "d.delta_pm25", "d.delta_direction", "d.nearest_station_pm25", "d.hyperlocal_pm25")
 
 
 @query("prediction_id", "", """
