@@ -1,13 +1,14 @@
 """Near copies by the Jaccard similarity of five-word shingles: MinHash cells find candidates, exact sets decide.
 
 A set's 180 minima form 30 cells of six: two sets of similarity 0.8 miss each other in every cell once in 9,000 times, more similar ones
-less often.  One bit of each of 128 minima forms a sketch; sets of similarity 0.8 differ in 13 of them on average and
-pairs that differ in more than 32 are passed over.  What is left is compared set by set.
+less often.  Four bits of each minimum form a sketch; sets of similarity 0.8 agree in 146 of them on average and
+pairs that agree in fewer than 126 are passed over, at 0.8 once in 10,000 times.  What is left is compared set by set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,7 +18,9 @@ from smogline.llm.components import components
 
 CELLS = 30
 ROWS = 6
-SKETCH_LIMIT = 32
+SKETCH_BITS = 4         # of each minimum
+AGREEING = 126
+WORDS = 3               # longs that hold one bit of each minimum
 _RANDOM = np.random.default_rng(5).integers(0, 2**64, (2, CELLS * ROWS), dtype=np.uint64)
 _FACTORS, _TERMS = _RANDOM[0] | np.uint64(1), _RANDOM[1]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -33,10 +36,10 @@ def five_word_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
-def signature(shingles: np.ndarray) -> tuple[list[int], int, int]:
-    """Cells and the two halves of the sketch, as signed numbers; a text without words has no cells."""
+def signature(shingles: np.ndarray) -> tuple[list[int], list[int]]:
+    """Cells and sketch (for each of the bits, the longs that hold it for all minima), as signed numbers; a text without words has no cells."""
     if not len(shingles):
-        return [], 0, 0
+        return [], [0] * (SKETCH_BITS * WORDS)
     least = np.full(CELLS * ROWS, 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):        # bounded memory for long texts
         np.minimum(least, (_FACTORS[:, None] * shingles[at: at + 1024] + _TERMS[:, None]).min(axis=1), out=least)
@@ -44,14 +47,18 @@ def signature(shingles: np.ndarray) -> tuple[list[int], int, int]:
     for column in least.reshape(CELLS, ROWS).T:
         cells = (cells ^ column) * _ODD
         cells ^= cells >> np.uint64(29)
-    sketch = np.packbits((least[:128] >> np.uint64(40)).astype(np.uint8) & 1).view(np.int64)
-    return cells.view(np.int64).tolist(), int(sketch[0]), int(sketch[1])
+    planes = np.zeros((SKETCH_BITS, 64 * WORDS), dtype=np.uint8)
+    planes[:, :CELLS * ROWS] = (least >> np.arange(40, 40 + SKETCH_BITS, dtype=np.uint64)[:, None]).astype(np.uint8) & 1
+    return cells.view(np.int64).tolist(), np.packbits(planes, axis=1).view(np.int64).ravel().tolist()
 
 
 def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """Whether sizes and sketches allow a similarity of 0.8."""
-    differing = F.bit_count(a("sketch_a").bitwiseXOR(b("sketch_a"))) + F.bit_count(a("sketch_b").bitwiseXOR(b("sketch_b")))
-    return (5 * F.least(a("size"), b("size")) >= 4 * F.greatest(a("size"), b("size"))) & (differing <= SKETCH_LIMIT)
+    def unlike(word: int) -> Column:
+        places = [F.get(a("sketch"), word + WORDS * bit).bitwiseXOR(F.get(b("sketch"), word + WORDS * bit)) for bit in range(SKETCH_BITS)]
+        return F.bit_count(reduce(Column.bitwiseOR, places))
+    differing = sum((unlike(w) for w in range(1, WORDS)), unlike(0))
+    return (5 * F.least(a("size"), b("size")) >= 4 * F.greatest(a("size"), b("size"))) & (differing <= CELLS * ROWS - AGREEING)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def _pairs(met: DataFrame, a: Callable[[str], Column], b: Callable[[str], Column
 def joined_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(root, top): the groups that links of similarity 0.8 or more join with others, and the least group reachable.
 
-    ``nodes`` has copy (key of a distinct text), root (its group so far), size (of its set), sketch_a, sketch_b and cells.  ``sets_of``
+    ``nodes`` has copy (key of a distinct text), root (its group so far), size (of its set), sketch and cells.  ``sets_of``
     gives (copy, shingles) for a table of copies.  First every member of a cell meets one centre, another in each cell,
     which joins large groups with rows in proportion to their number; then only members outside the
     centre's group meet the others of the cell.
@@ -79,9 +86,9 @@ def joined_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -
     cells = nodes.select("copy", "root", F.explode("cells").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("cell")
     met = staged(cells.join(shared, "cell"), "near-met")
-    live = staged(met.join(nodes.select("copy", "size", "sketch_a", "sketch_b"), "copy"), "near-cells")
+    live = staged(met.join(nodes.select("copy", "size", "sketch"), "copy"), "near-cells")
     sets = staged(sets_of(live.select("copy").distinct()), "near-sets")
-    fields = ("copy", "root", "size", "sketch_a", "sketch_b")
+    fields = ("copy", "root", "size", "sketch")
     centres = staged(live.groupBy("cell").agg(F.min_by(F.struct(*fields), F.xxhash64("cell", "copy")).alias("c")), "near-centres")
     own, centre = (lambda n: F.col(n)), (lambda n: F.col("c")[n])
     stars = live.join(centres, "cell").filter((own("root") != centre("root")) & _alike(own, centre))
@@ -90,7 +97,7 @@ def joined_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -
     grouped = staged(grouped, "near-grouped")
     main = centres.select("cell", F.col("c.copy").alias("copy")).join(grouped.select("cell", "copy", F.col("group").alias("main")), ["cell", "copy"]).select("cell", "main")
     strays = grouped.join(main, "cell").filter("group != main").drop("main")
-    named = lambda df: df.select("cell", "copy", F.col("group").alias("root"), "size", "sketch_a", "sketch_b")
+    named = lambda df: df.select("cell", "copy", F.col("group").alias("root"), "size", "sketch")
     left, right = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
     rest = named(strays).alias("l").join(named(grouped).alias("r"), (left("cell") == right("cell")) & (left("root") != right("root")) & _alike(left, right))
     tops = components(_verified(_pairs(rest, left, right), sets)).withColumnsRenamed({"node": "group", "component": "top"})

@@ -162,10 +162,10 @@ def _shapes(batches):
             hashes = _shingle_hashes(words)
             shingles = five_word_set(hashes)
             found.append((xxhash.xxh64_intdigest(b" ".join(words), SEED + 1), _folded(hashes), len(shingles), *signature(shingles)))
-        copies, bits, sizes, cells, *sketches = zip(*found)
+        copies, bits, sizes, cells, sketches = zip(*found)
         signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (copies, bits)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *signed, pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), *[pa.array(x, pa.int64()) for x in sketches]],
-                                         names=[*batch.schema.names[:-1], "copy", "bits", "size", "cells", "sketch_a", "sketch_b"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *signed, pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                                         names=[*batch.schema.names[:-1], "copy", "bits", "size", "cells", "sketch"])
 
 
 def _sets(batches):
@@ -187,9 +187,9 @@ def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     read = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("raw"), F.col(text).alias("_text"))
     kind = read.schema["doc_id"].dataType.simpleString()
-    rows = staged(read.mapInArrow(_shapes, f"doc_id {kind}, raw bigint, copy bigint, bits bigint, size bigint, cells array<bigint>, sketch_a bigint, sketch_b bigint"), "near-shapes")
+    rows = staged(read.mapInArrow(_shapes, f"doc_id {kind}, raw bigint, copy bigint, bits bigint, size bigint, cells array<bigint>, sketch array<bigint>"), "near-shapes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first")
-    texts = staged(rows.groupBy("copy").agg(first, *[F.any_value(c).alias(c) for c in ("bits", "size", "cells", "sketch_a", "sketch_b")]), "near-texts")
+    texts = staged(rows.groupBy("copy").agg(first, *[F.any_value(c).alias(c) for c in ("bits", "size", "cells", "sketch")]), "near-texts")
     roots = link_fingerprints(staged(texts.select("bits").distinct(), "near-prints"))
     nodes = staged(texts.join(roots, "bits"), "near-nodes")
 
