@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smogline.functions.geo import flat_km, haversine_km
-from smogline.operators import nearest, quantiles, surface
+from smogline.operators import matching, nearest, quantiles, surface
 from smogline.operators.surface import Grid
 
 
@@ -235,3 +235,38 @@ def test_regrid_reproduces_a_plane(spark):
     out = surface.regrid_bilinear(nodes, source, target).collect()
     assert len(out) == 121
     assert all(x["value"] == pytest.approx(2 * x["latitude"] + 3 * x["longitude"]) for x in out)
+
+
+def test_distance_matrix_of_a_dense_cell_by_pieces(spark):
+    rng = np.random.default_rng(8)
+    a = [(i, float(la), float(lo)) for i, (la, lo) in enumerate(rng.uniform((18.5, 73.8), (18.56, 73.86), (120, 2)))] + [(None, 18.5, 73.8), (200, None, 73.8), (201, 18.5, 73.8), (201, 18.5, 73.8)]
+    b = [(i, float(la), float(lo)) for i, (la, lo) in enumerate(rng.uniform((18.5, 73.8), (18.56, 73.86), (90, 2)))] + [(91, 18.5, None), (92, -40.0, 10.0)]
+    left, right = spark.createDataFrame(a, "p long, latitude double, longitude double"), spark.createDataFrame(b, "s long, latitude double, longitude double")
+    got = matching.haversine_matrix(left, right, 3.0, "p", "s", piece_rows=16, pairs_per_task=500)
+    tasks = got.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 4
+    brute = left.dropna(subset=["latitude"]).alias("l").crossJoin(right.dropna().alias("r")).select("p", "s", haversine_km(F.col("l.latitude"), F.col("l.longitude"), F.col("r.latitude"), F.col("r.longitude")).alias("distance_km")).filter("distance_km <= 3")
+    norm = lambda df: sorted((str(r["p"]), r["s"], r["distance_km"]) for r in df.collect())
+    assert norm(got) == norm(brute) and brute.count() > 1000
+
+
+def test_nearest_any_positions_are_dealt_to_tasks(spark):
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform((15, 72), (22, 81), (60, 2)))], "p long, latitude double, longitude double")
+    refs = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform((15, 72), (22, 81), (400, 2)))], "id long, latitude double, longitude double")
+    want, got = (sorted(tuple(r) for r in nearest.nearest_any(points, refs, ["id"], ["id"], positions_per_task=n).collect()) for n in (1_000, 7))
+    assert got == want and len(got) == 60
+
+
+def test_quantiles_of_whole_columns_side_by_side(spark):
+    rng = np.random.default_rng(10)
+    rows = [(float(x), None if i % 3 == 0 else int(y), float("nan") if i % 5 == 0 else float(z), None) for i, (x, y, z) in enumerate(rng.normal(0, 50, (5000, 3)))]
+    df = spark.createDataFrame(rows, "x double, y long, z double, none double").repartition(3)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    table = quantiles.exact_quantiles(df, [], ["x", "y", "z", "none"], probs)
+    assert "Join" not in table._jdf.queryExecution().toString()     # rows are counted where they stand
+    row = table.first()
+    known = {"x": [r[0] for r in rows], "y": [r[1] for r in rows if r[1] is not None], "z": [r[2] for r in rows if r[2] == r[2]]}
+    for c, values in known.items():
+        assert [row[quantiles.column_name(c, p)] for p in probs] == pytest.approx(list(np.quantile(values, probs)))
+    assert [row[quantiles.column_name("none", p)] for p in probs] == [None] * 5
