@@ -57,6 +57,8 @@ LEAF = 32
 START_NODES = 32
 LEVELS = tuple(range(0, 17, 2))
 SLACK_KM = 2e-6         # distances are compared to the millimetre
+MAX_TASKS = 20_000
+POSITIONS_PER_TASK = 4_000      # a position is small, what it sees on its way is not
 
 
 def _node_id(level: int, lat: Column, lon: Column) -> Column:
@@ -101,7 +103,7 @@ def _pruned(df: DataFrame, candidates: Column, seen_before: Column | None = None
 def nearest_any(points: DataFrame, refs: DataFrame, payload: list[str], order: list[str],
                 lat="latitude", lon="longitude", ref_lat="latitude", ref_lon="longitude",
                 distance_name: str = "distance_km", distance: Distance = flat_km, box: Callable | None = None,
-                leaf: int = LEAF, start_nodes: int = START_NODES) -> DataFrame:
+                leaf: int = LEAF, start_nodes: int = START_NODES, positions_per_task: int = POSITIONS_PER_TASK) -> DataFrame:
     """Nearest reference at any distance, by branch and bound over a hierarchy of cells.
 
     Every occupied cell knows the box around its references and one of them.  A search starts from the finest level
@@ -120,12 +122,16 @@ def nearest_any(points: DataFrame, refs: DataFrame, payload: list[str], order: l
     start = max((level for level, r in sizes.items() if r["n"] <= start_nodes), default=LEVELS[0])
     inner = [level for level in LEVELS if level >= start and level in sizes and sizes[level]["inner"]]
     first = tree.filter(F.col("level") == start).agg(F.collect_list("node").alias("nodes"))
-    search = _positions(points, lat, lon).withColumn("_nodes", first.scalar())
+    # as many tasks as the positions need, on every level; by their bytes they would share a few
+    spots = materialise(_positions(points, lat, lon), "positions")
+    tasks = min(MAX_TASKS, spots.count() // positions_per_task + 1)
+    search = spots.repartition(tasks, "_lat", "_lon").withColumn("_nodes", first.scalar())
     search = _pruned(search, _seen(F.col("_nodes"), distance, box))
     for level in inner:
         opened = tree.filter(F.col("level") == LEVELS[LEVELS.index(level) + 1]).groupBy("parent").agg(F.collect_list("node").alias("_nodes"))
         inside = search.select("_lat", "_lon", "_bound", F.filter("_kept", lambda c: c["leaf"]).alias("_done"), F.explode_outer(F.filter("_kept", lambda c: ~c["leaf"])).alias("_c"))
-        met = inside.join(opened, F.col("_c.id") == F.col("parent"), "left").groupBy("_lat", "_lon").agg(
+        seen = inside.join(opened, F.col("_c.id") == F.col("parent"), "left").select("_lat", "_lon", "_bound", "_done", "_nodes")
+        met = seen.repartition(tasks, "_lat", "_lon").groupBy("_lat", "_lon").agg(
             F.min("_bound").alias("_old"), F.first("_done").alias("_done"), F.flatten(F.collect_list("_nodes")).alias("_nodes"))
         search = _pruned(met, F.concat("_done", _seen(F.col("_nodes"), distance, box)), F.col("_old"))
     # every place lies in one of the leaves below the start
