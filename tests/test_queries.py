@@ -86,3 +86,28 @@ def test_stream_drops_late_rows_and_repeats(spark):
     out = {r["hour"]: r for r in spark.read.parquet(f"{folder}/out").collect()}
     assert out[start]["pm25"] == 60.0 and out[start]["readings"] == 2      # repeat ignored, late row dropped
     assert start + timedelta(hours=6) in out and start + timedelta(hours=13) not in out
+
+
+def test_the_forecast_is_split_after_its_windows_are_stored(spark, monkeypatch):
+    seen = []
+    split = models.temporal_split
+    monkeypatch.setattr(models, "temporal_split", lambda df, *args: seen.append(df) or split(df, *args))
+    t = Tables(spark, FOLDER)
+    train, test = models.forecast_rows(t.v_features.filter("pm25_ground IS NOT NULL"), tie=["record_id"])
+    assert seen[0].inputFiles() and "Window" not in seen[0]._jdf.queryExecution().toString()
+    assert train.count() == int((train.count() + test.count()) * 0.8) > 0
+
+
+def test_ablation_builds_one_pair_of_matrices(spark, monkeypatch):
+    made = []
+    build = models.filled_matrices
+    monkeypatch.setattr(models, "filled_matrices", lambda fs, *args: made.append(build(fs, *args)) or made[-1])
+    frame = Tables(spark, FOLDER).v_features.filter("pm25_ground IS NOT NULL")
+    train, test = frame.filter("timestamp_utc < '2000-01-01'"), frame.filter("timestamp_utc >= '2000-01-01'")
+    table = models.ablation(train, test, rounds=1, depth=2).collect()
+    assert len(made) == 1 and [r["feature_group"] for r in table] == ["weather_only", "weather_gis", "full"]
+    # a group's columns hold what its own matrices would
+    fs = features.FeatureSet("weather_gis", keep=["pm25_ground"]).fit(train)
+    own = build(fs, train, test)
+    for mine, wide in zip(own, made[0]):
+        assert sorted(map(str, mine.select(*fs.names).collect())) == sorted(map(str, wide.select(*fs.names).collect()))
