@@ -1,8 +1,12 @@
-"""Near copies by the Jaccard similarity of five-word shingles: MinHash cells find candidates, exact sets decide.
+"""Near copies by the Jaccard similarity of five-word shingles: MinHash cells and prefixes find candidates, exact sets decide.
 
 A set's 180 minima form 30 cells of six: two sets of similarity 0.8 miss each other in every cell once in 9,000 times, more similar ones
 less often.  Four bits of each minimum form a sketch; sets of similarity 0.8 agree in 146 of them on average and
 pairs that agree in fewer than 126 are passed over, at 0.8 once in 10,000 times.  What is left is compared set by set.
+
+Texts that share a cell but not a group meet by their prefixes: with all shingles in one order, rare ones first, two sets of
+similarity 0.8 share a shingle among the first fifth of either, and no more than what stands from there on.
+Copies of one text that were edited apart have shingles of their own in front and do not meet, however many they are.
 """
 
 from __future__ import annotations
@@ -75,13 +79,39 @@ def _pairs(met: DataFrame, a: Callable[[str], Column], b: Callable[[str], Column
     return met.select(low["copy"].alias("x"), high["copy"].alias("y"), low["root"].alias("a"), high["root"].alias("b")).distinct()
 
 
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(copy, place, shingle): of each set the shingles among which a set of similarity 0.8 has one too, by their place from 0.
+
+    The order is one for all sets: by the number of sets that hold a shingle, then by the shingle.
+    """
+    single = sets.select("copy", F.explode("shingles").alias("shingle"))
+    held = single.groupBy("shingle").agg(F.count("*").alias("n"))
+    ordered = single.join(held, "shingle").groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    first = F.slice("s", 1, F.size("s") - F.ceil(F.size("s") * 4 / 5).cast("int") + 1)
+    return ordered.select("copy", F.posexplode(first).alias("place", "at")).filter("at.n > 1").select("copy", "place", "at.shingle")
+
+
+def _sharing_prefix(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (l, r) of texts of different groups that share a shingle of their prefixes early enough for a similarity of 0.8.
+
+    Of the texts at one shingle, those of the group that most of them belong to do not meet each other.
+    """
+    keyed = staged(_prefixes(sets.join(texts, "copy", "left_semi")).join(texts, "copy"), "near-prefixes")
+    sizes = keyed.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
+    strays = keyed.join(main, "shingle").filter("root != main").drop("main")
+    left, right = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
+    shared = 9 * F.least(left("size") - left("place"), right("size") - right("place")) >= 4 * (left("size") + right("size"))
+    return strays.alias("l").join(keyed.alias("r"), (left("shingle") == right("shingle")) & (left("root") != right("root")) & shared & _alike(left, right))
+
+
 def joined_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(root, top): the groups that links of similarity 0.8 or more join with others, and the least group reachable.
 
     ``nodes`` has copy (key of a distinct text), root (its group so far), size (of its set), sketch and cells.  ``sets_of``
-    gives (copy, shingles) for a table of copies.  First every member of a cell meets one centre, another in each cell,
-    which joins large groups with rows in proportion to their number; then only members outside the
-    centre's group meet the others of the cell.
+    gives (copy, shingles) for a table of copies.  First every member of a cell meets one centre, the text of the widest reach in it,
+    which joins large groups with rows in proportion to their number; then the texts of cells that still hold
+    several groups meet those of other groups at the shingles of their prefixes.
     """
     cells = nodes.select("copy", "root", F.explode("cells").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("cell")
@@ -89,16 +119,19 @@ def joined_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -
     live = staged(met.join(nodes.select("copy", "size", "sketch"), "copy"), "near-cells")
     sets = staged(sets_of(live.select("copy").distinct()), "near-sets")
     fields = ("copy", "root", "size", "sketch")
-    centres = staged(live.groupBy("cell").agg(F.min_by(F.struct(*fields), F.xxhash64("cell", "copy")).alias("c")), "near-centres")
+    # the text that shares cells with the most others is the likeliest to be what the others were made from
+    reach = live.join(live.groupBy("cell").agg(F.count("*").alias("n")), "cell").groupBy("copy").agg(F.sum("n").alias("reach"))
+    middle = F.max_by(F.struct(*fields), F.struct("reach", F.xxhash64("cell", "copy")))
+    centres = staged(live.join(reach, "copy").groupBy("cell").agg(middle.alias("c")), "near-centres")
     own, centre = (lambda n: F.col(n)), (lambda n: F.col("c")[n])
     stars = live.join(centres, "cell").filter((own("root") != centre("root")) & _alike(own, centre))
     groups = staged(components(_verified(_pairs(stars, own, centre), sets)), "near-stars")
     grouped = live.join(groups.select(F.col("node").alias("root"), "component"), "root", "left").withColumn("group", F.coalesce("component", "root")).drop("component")
     grouped = staged(grouped, "near-grouped")
     main = centres.select("cell", F.col("c.copy").alias("copy")).join(grouped.select("cell", "copy", F.col("group").alias("main")), ["cell", "copy"]).select("cell", "main")
-    strays = grouped.join(main, "cell").filter("group != main").drop("main")
-    named = lambda df: df.select("cell", "copy", F.col("group").alias("root"), "size", "sketch")
+    split = grouped.join(main, "cell").filter("group != main").select("cell").distinct()
+    unlike = grouped.join(split, "cell", "left_semi").select("copy", F.col("group").alias("root"), "size", "sketch").dropDuplicates(["copy"])
+    rest = _sharing_prefix(staged(unlike, "near-unlike"), sets)
     left, right = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
-    rest = named(strays).alias("l").join(named(grouped).alias("r"), (left("cell") == right("cell")) & (left("root") != right("root")) & _alike(left, right))
     tops = components(_verified(_pairs(rest, left, right), sets)).withColumnsRenamed({"node": "group", "component": "top"})
     return grouped.select("root", "group").distinct().join(tops, "group", "left").select("root", F.coalesce("top", "group").alias("top"))

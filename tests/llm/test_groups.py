@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from llmdata import row
 
-from smogline.llm import components, license, sharding, simhash
+from smogline.llm import components, jaccard, license, sharding, simhash
 
 
 def fingerprint(text):
@@ -171,3 +171,34 @@ def test_license_scan_matches_sql_and_brute_force(spark, table, odd_rows, senten
     assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall())
     # repeated rows and null keys
     assert license.scan_licenses(table(odd_rows)).count() == len(odd_rows) and license.scan_licenses(table([])).count() == 0
+
+
+def test_copies_edited_apart_do_not_meet_pair_by_pair(table, sentence, monkeypatch):
+    rng, words = np.random.default_rng(8), sentence(160).split()
+    rows = []
+    for i in range(160):    # similarity 0.5 to 0.8 to each other, 0.69 to 0.94 to the text they come from
+        own = list(words)
+        for at in rng.choice(160, 1 + i % 6, replace=False).tolist():
+            own[at] = f"own{i}x{at}"
+        rows.append(row(i, " ".join(own)))
+    made = []
+
+    def counted(pairs, sets):
+        made.append(pairs.count())
+        return verified(pairs, sets)
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    kept = sorted(r["doc_id"] for r in simhash.keep_one_per_group(table(rows)).collect())
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    prints = [fingerprint(r[1]) for r in rows]
+    top = list(range(len(rows)))
+    for _ in rows:
+        old = list(top)
+        for i in range(len(rows)):
+            for j in range(i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 4:
+                    top[i] = top[j] = min(top[i], top[j])
+        if old == top:
+            break
+    assert kept == sorted(set(top)) and len(kept) > 20
+    assert made[1] < 4 * len(rows)      # stray texts met all others before
