@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from smogline.llm.common import Remembered, per_process
 
-CACHED_WORDS = 150_000      # chunks and words whose ids a worker remembers, twice; the rest is worked out again, with the same result
+CACHED_WORDS = 150_000      # chunks and words whose ids a task remembers, twice; the rest is worked out again, with the same result
+LASTING_WORDS = 300_000     # the same for a worker that keeps them from task to task
 LONG_CHUNK = 200            # longer chunks are not remembered
 BATCH_BYTES = 16_000_000    # text per round of merges
 
@@ -52,6 +53,7 @@ class Vocabulary:
             raise ValueError("the vocabulary lacks a token for some byte")
         self._base = max(ranks.values()) + 1
         self._pairs: dict[int, int] = {}        # rank of a pair's merge by a * base + b, -1 when there is none
+        self._bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])     # the same for two bytes
 
     def merged(self, a: int, b: int) -> int:
         """Rank of the pair's merge, -1 when the vocabulary has none."""
@@ -61,40 +63,38 @@ class Vocabulary:
         return rank
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word.
+        """Ids of each word."""
+        return [np.frombuffer(raw, dtype="<u4").tolist() for raw in self.replay_packed(words)]
+
+    def replay_packed(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers.
 
         ``ids`` is the flat corpus; a merge at place i writes the new id there and empties the right part's place.
-        ``index`` holds, for every rank, the places whose pair merges to it.  The lowest rank goes first and its places from
+        ``index`` holds, for every rank, the places whose pair merges to it, ``pair`` the rank at every place.  The lowest rank goes first and its places from
         left to right; when a merge opens a pair of lower rank, the places still waiting go back to the index, so that
         every word sees exactly the order lowest rank first, leftmost first.
         """
         if len(self._pairs) > 300_000:
             self._pairs.clear()
-        single, merged, base, known = self.single, self.merged, self._base, self._pairs
-        ids: list[int] = []
-        right: list[int] = []       # next live place of the word, -1 at its end
-        left: list[int] = []
-        bounds = [0]
-        index: dict[int, list[int]] = {}
-        for word in words:
-            at = len(ids)
-            whole = self.ranks.get(word)
-            row = [whole] if whole is not None else [single[b] for b in word]
-            n = len(row)
-            ids += row
-            right += range(at + 1, at + n + 1)
-            left += range(at - 1, at + n - 1)
-            right[at + n - 1], left[at] = -1, -1
-            bounds.append(at + n)
-            for i, (a, b) in enumerate(zip(row, row[1:]), at):
-                rank = known.get(a * base + b)
-                if rank is None:
-                    rank = merged(a, b)
-                if rank >= 0:
-                    if rank in index:
-                        index[rank].append(i)
-                    else:
-                        index[rank] = [i]
+        out = [None if r is None else r.to_bytes(4, "little") for r in map(self.ranks.get, words)]
+        split = [i for i, o in enumerate(out) if o is None]
+        if not split:
+            return out
+        merged, base, known = self.merged, self._base, self._pairs
+        parts = [words[i] for i in split]
+        flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        bounds = np.cumsum([0, *map(len, parts)])
+        places_of_all = np.arange(len(flat))
+        after_, before, pair_ = places_of_all + 1, places_of_all - 1, np.full(len(flat), -1)
+        after_[bounds[1:] - 1], before[bounds[:-1]] = -1, -1
+        pair_[:-1] = self._bytes[flat[:-1], flat[1:]]
+        pair_[bounds[1:] - 1] = -1
+        order = np.argsort(pair_, kind="stable")[np.count_nonzero(pair_ < 0):]
+        steps = np.flatnonzero(np.diff(pair_[order], prepend=-1)).tolist()
+        firsts, places = pair_[order[steps]].tolist(), order.tolist()
+        index = {r: places[a:b] for r, a, b in zip(firsts, steps, [*steps[1:], len(places)])}
+        ids = np.array(self.single)[flat].tolist()
+        right, left, pair = after_.tolist(), before.tolist(), pair_.tolist()      # next and last live place of the word, -1 beyond its ends
         order = list(index)
         heapq.heapify(order)
         while order:
@@ -104,33 +104,49 @@ class Vocabulary:
                 continue
             places.sort()
             for done, i in enumerate(places):
-                j = right[i] if ids[i] >= 0 else -1
-                if j < 0 or known.get(ids[i] * base + ids[j]) != rank:
+                if pair[i] != rank:
                     continue        # a neighbour took part of the pair
-                ids[i], ids[j] = rank, -1
-                after = right[j]
-                right[i] = after
+                j = right[i]
+                ids[i], ids[j], pair[j] = rank, -1, -1
+                right[i] = after = right[j]
+                lower = False
+                new = -1
                 if after >= 0:
                     left[after] = i
-                lower = False
-                for a, b in ((left[i], i), (i, after)):
-                    if a >= 0 and b >= 0:
-                        new = known.get(ids[a] * base + ids[b])
-                        if new is None:
-                            new = merged(ids[a], ids[b])
-                        if new >= 0:
-                            if new in index:
-                                index[new].append(a)
-                            else:
-                                index[new] = [a]
-                                if new != rank:
-                                    heapq.heappush(order, new)
-                            lower |= new <= rank
+                    new = known.get(rank * base + ids[after])
+                    if new is None:
+                        new = merged(rank, ids[after])
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            heapq.heappush(order, new)
+                        lower = new < rank
+                pair[i] = new
+                a = left[i]
+                if a >= 0:
+                    new = known.get(ids[a] * base + rank)
+                    if new is None:
+                        new = merged(ids[a], rank)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(a)
+                        else:
+                            index[new] = [a]
+                            heapq.heappush(order, new)
+                        lower |= new < rank
+                    pair[a] = new
                 if lower:
                     index.setdefault(rank, []).extend(places[done + 1:])
                     heapq.heappush(order, rank)
                     break
-        return [[x for x in ids[a:b] if x >= 0] for a, b in zip(bounds, bounds[1:])]
+        live = np.array(ids)
+        ends = 4 * np.concatenate(([0], np.cumsum(live >= 0)))[bounds]
+        raw, ends = live[live >= 0].astype("<u4").tobytes(), ends.tolist()
+        for i, a, b in zip(split, ends, ends[1:]):
+            out[i] = raw[a:b]
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -143,7 +159,7 @@ def splitter(pattern: str):
     strict = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])")
     strict = regex.sub(r" \?\\p\{([LN])\}\+", lambda m: rf" ?(?:(?![{newer}])\p{{{m[1]}}})+", strict)
     strict = regex.compile(strict).findall
-    return lambda text: strict(text) if has_newer(text) else plain(text)
+    return lambda text: plain(text) if text.isascii() or not has_newer(text) else strict(text)
 
 
 class Encoder:
@@ -154,10 +170,13 @@ class Encoder:
     white space next to a space are split whole.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN, remembered: int = CACHED_WORDS):
         self.vocabulary, self.split = vocabulary, splitter(pattern)
-        self.odd = re.compile(r"\s\s| \Z").search
-        self.chunks, self.words = Remembered(CACHED_WORDS), Remembered(CACHED_WORDS)
+        self._white = re.compile(r"\s\s").search
+        self.chunks, self.words = Remembered(remembered), Remembered(remembered)
+
+    def odd(self, text: str) -> bool:
+        return text.endswith(" ") or self._white(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -165,8 +184,7 @@ class Encoder:
         fresh = {c: self.split(c) for c in self.chunks.missing(set(chain.from_iterable(rows)))}
         words = list(self.words.missing(set(chain.from_iterable(fresh.values()))))
         known = self.words.young
-        for word, ids in zip(words, self.vocabulary.replay([w.encode("utf-8", "surrogatepass") for w in words])):
-            known[word] = np.array(ids, dtype="<u4").tobytes()
+        known.update(zip(words, self.vocabulary.replay_packed([w.encode("utf-8", "surrogatepass") for w in words])))
         made = {c: b"".join(map(known.__getitem__, parts)) for c, parts in fresh.items()}
         known = self.chunks.young
         known.update(made)
@@ -178,6 +196,8 @@ class Encoder:
 
 
 def _chunks(text: str) -> list[str]:
+    if "\0" not in text:
+        return text.replace(" ", "\0 ").split("\0")
     first, *rest = text.split(" ")
     return [first, *(" " + c for c in rest)]
 
@@ -196,7 +216,7 @@ def _rounds(texts: list[str]):
 
 def _encoder(ranks_file: str, keep_ids: bool, lasting: bool):
     def run(batches):
-        made = lambda: Encoder(Vocabulary(load_ranks(ranks_file)))
+        made = lambda: Encoder(Vocabulary(load_ranks(ranks_file)), remembered=LASTING_WORDS if lasting else CACHED_WORDS)
         encoder = per_process(("bpe", ranks_file), made) if lasting else made()
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -224,7 +244,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, text: str = "text", keep:
 
     Each match of the tokenizer's pattern is encoded by itself, without special tokens; a null text counts as empty and has no
     ids (digests of the empty string).  ``decoded_sha256`` digests the bytes that the ids decode to.  Rows are neither dropped
-    nor merged.  ``lasting`` keeps the ids of words met from task to task in a Python worker (under 150 MB); where other work follows in the same
+    nor merged.  ``lasting`` keeps the ids of words met, twice as many, from task to task in a Python worker (under 300 MB); where other work follows in the same
     workers, without it they end with the task.  ``ranks_file`` must be readable on the executors.
     """
     taken = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]

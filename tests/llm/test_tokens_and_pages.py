@@ -41,6 +41,18 @@ def test_replay_of_long_words_and_all_code_points():
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in ENCODER.encode(texts)] == [PLAIN.encode_ordinary(t) for t in texts]
 
 
+def test_words_are_replayed_packed_and_remembered(monkeypatch):
+    """Words of the vocabulary and others side by side; what was met is not replayed again, in a lasting worker twice as much."""
+    words = [w.encode() for w in (" the", "zqxj", "é", " unlikelywordx", "zqxj")]
+    assert VOCABULARY.replay_packed(words) == [np.array(w, dtype="<u4").tobytes() for w in VOCABULARY.replay(words)]
+    assert VOCABULARY.replay_packed([]) == [] and bpe._chunks("a\0b c") == ["a\0b", " c"] and bpe._chunks("") == [""]
+    seen = []
+    monkeypatch.setattr(bpe, "Encoder", lambda *a, remembered: seen.append(remembered) or ENCODER)
+    for lasting in (True, False):
+        list(bpe._encoder(RANKS, False, lasting)([]))
+    assert seen == [2 * bpe.CACHED_WORDS, bpe.CACHED_WORDS]
+
+
 def test_replay_goes_back_to_a_lower_rank():
     """A vocabulary in which a merge opens a pair of lower rank: each word must still take its lowest pair first."""
     single = {bytes([b]): 100 + b for b in range(256)}
