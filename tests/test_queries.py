@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import _rows
@@ -111,3 +112,16 @@ def test_ablation_builds_one_pair_of_matrices(spark, monkeypatch):
     own = build(fs, train, test)
     for mine, wide in zip(own, made[0]):
         assert sorted(map(str, mine.select(*fs.names).collect())) == sorted(map(str, wide.select(*fs.names).collect()))
+
+
+def test_training_rows_stand_in_even_parts_and_models_predict_once(spark, monkeypatch):
+    monkeypatch.setattr(models, "PART_ROWS", 100, raising=False)
+    frame = Tables(spark, FOLDER).v_features.filter("pm25_ground IS NOT NULL").coalesce(1)
+    train, test = frame.filter("timestamp_utc < '2000-01-01'"), frame.filter("timestamp_utc >= '2000-01-01'")
+    written = {}
+    keep = models.materialise
+    monkeypatch.setattr(models, "materialise", lambda df, label: written.setdefault(label, keep(df, label)))
+    table = models.train_baselines(train, test, "weather_only", folds=2, rf_trees=2, rf_depth=2, gbt_rounds=1, gbt_depth=2)
+    sizes = [r["count"] for r in written["train"].groupBy(F.input_file_name().alias("file")).count().collect()]
+    assert sum(sizes) == train.count() > 300 and max(sizes) <= 150 and max(sizes) - min(sizes) <= 10
+    assert set(table.inputFiles()) == set(written["scores"].inputFiles()) and table.count() == 3
