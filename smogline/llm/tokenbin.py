@@ -12,21 +12,71 @@ import os
 import re
 import uuid
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from smogline.llm.common import Remembered, per_process, scratch_path, staged
+from smogline.llm.common import per_process, scratch_path, staged
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000    # chunks a worker remembers
+CACHED_BYTES = 64_000_000   # and their bytes, with places
+PIECE = 8_000_000           # characters encoded at once
 MARKS = ".,;:!?"
+SPACE = "\u0120"            # how byte-level vocabularies write a space
+GATHERED = 50_000         # chunks whose ids are brought together at once
 PART_BYTES = 16_000_000     # text per partition file, about
 MAX_PARTS = 10_000          # most partition files; they only get larger beyond
 
 
+def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` on end."""
+    done = np.cumsum(lengths)
+    return pool[np.repeat(starts - done + lengths, lengths) + np.arange(done[-1] if len(done) else 0)]
+
+
+class KnownChunks:
+    """Ids of chunks met before, on end in one array; those not asked for longest are let go."""
+
+    def __init__(self, width: str):
+        self.words, self.pool = pa.array([], pa.large_string()), np.empty(0, dtype=width)
+        self.starts, self.lengths, self.asked, self.round = *(np.empty(0, dtype=np.int64) for _ in range(3)), 0
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of every word, -1 where it is not known."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        self.asked[at[at >= 0]] = self.round
+        return at
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Places of words not known so far."""
+        places = len(self) + np.arange(len(words))
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
+        self.lengths, self.pool = np.concatenate((self.lengths, lengths)), np.concatenate((self.pool, ids))
+        self.asked = np.concatenate((self.asked, np.full(len(words), self.round)))
+        return places
+
+    def age(self) -> None:
+        """Begin a new round; places found before hold no longer."""
+        self.round += 1
+        if len(self) <= CACHED_WORDS and self.words.nbytes <= CACHED_BYTES:
+            return
+        latest = np.argsort(-self.asked, kind="stable")[:CACHED_WORDS * 3 // 4]
+        held = np.cumsum(pc.binary_length(self.words).to_numpy()[latest] + 8)
+        kept = np.sort(latest[held <= CACHED_BYTES * 3 // 4])
+        self.words, self.asked = self.words.take(pa.array(kept)), self.asked[kept]
+        self.pool, self.lengths = _gathered(self.pool, self.starts[kept], self.lengths[kept]), self.lengths[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+
 class CachingTokenizer:
     """Ids of whole texts by the tokenizers library, which sees each distinct chunk of a task once.
 
@@ -39,52 +89,98 @@ class CachingTokenizer:
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.tokenizer.encode_special_tokens = True
         self.rare_space = re.compile(r"[^\S\n ]").search
-        self.known = Remembered(CACHED_WORDS)
-        self.marks = dict(zip(MARKS, self._whole(list(MARKS))))
-        self.newline = np.frombuffer(self._whole(["\n"])[0], dtype=width)[0]
+        self.known = KnownChunks(width)
+        self.marks = {m: i for i, m in enumerate(MARKS)}
+        self.mark_ids = self._ids(list(MARKS))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.after_space = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.after_space[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _odd(self, text: str) -> bool:
         """White space next to a space, or any but spaces and newlines."""
         return "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or self.rare_space(text) is not None
 
-    def _words(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, each after a space and without white space but newlines.  Many chunks go to the library as the lines of one text: a newline before a
-        space is a token of its own, so it marks the ends."""
-        lines = [c for c in chunks if c and "\n" not in c]
-        made = {}
-        for a in range(0, len(lines), 4096):
-            part = lines[a: a + 4096]
-            raw = self._whole([" " + "\n ".join(part)])[0]
-            size = np.dtype(self.width).itemsize
-            ends = (np.flatnonzero(np.frombuffer(raw, dtype=self.width) == self.newline) * size).tolist()
-            if len(ends) == len(part) - 1:
-                made.update((c, raw[s:e]) for c, s, e in zip(part, [0, *(e + size for e in ends)], [*ends, len(raw)]))
-        rest = [c for c in chunks if c not in made]
-        made.update(zip(rest, self._whole([" " + c for c in rest])))
-        return made
+    def _words(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Chunks, their ids on end and how many each has, each after a space and without white space but newlines.  Many chunks go to the library as
+        one text: only the first token of a chunk holds a space, so it marks where the chunk starts."""
+        joined, alone = [c for c in chunks if c[-1] != "\n"], [c for c in chunks if c[-1] == "\n"]
+        order, ids, lengths = [], [], []
+        for a in range(0, len(joined), 256):
+            part = joined[a: a + 256]
+            raw = self._ids([" " + " ".join(part)])[0]
+            starts = np.flatnonzero(self.after_space[raw])
+            if len(starts) == len(part) and starts[0] == 0:
+                order += part
+                ids.append(raw)
+                lengths.append(np.diff(starts, append=len(raw)))
+            else:
+                alone += part
+        single = self._ids([" " + c for c in alone])
+        return order + alone, np.concatenate([np.empty(0, dtype=self.width), *ids, *single]), np.concatenate([np.empty(0, dtype=np.int64), *lengths, [len(x) for x in single]]).astype(np.int64)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct chunks among the known ones, where the new ones are added."""
+        self.known.age()
+        at = self.known.find(words)
+        new = words.filter(pa.array(at < 0)).to_numpy(zero_copy_only=False).tolist()
+        # letters and digits before one mark are matches of their own, so the library need not see them with every mark
+        marked = {c: c[:-1] for c in new if c[-1:] in self.marks and c[:-1].isalnum()}
+        plain = list(dict.fromkeys(marked.get(c, c) for c in new))
+        found = self.known.find(pa.array(plain, pa.large_string()))
+        place = dict(zip(plain, found.tolist()))
+        order, ids, lengths = self._words([c for c in plain if place[c] < 0])
+        place.update(zip(order, self.known.add(order, ids, lengths).tolist()))
+        if marked:
+            base = np.array([place[c] for c in marked.values()], dtype=np.int64)
+            mark = np.array([self.marks[c[-1]] for c in marked])
+            # base and mark in turns; the marks' ids stand behind the pool
+            sizes = np.array([len(x) for x in self.mark_ids])
+            behind = len(self.known.pool) + np.cumsum(sizes) - sizes
+            starts = np.stack((self.known.starts[base], behind[mark]), axis=1).ravel()
+            turns = np.stack((self.known.lengths[base], sizes[mark]), axis=1)
+            ids = _gathered(np.concatenate((self.known.pool, *self.mark_ids)), starts, turns.ravel())
+            place.update(zip(marked, self.known.add(list(marked), ids, turns.sum(axis=1)).tolist()))
+        at[at < 0] = [place[c] for c in new]
+        return at
+
+    def _even(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are not odd: Arrow numbers the chunks, and memory is asked once for each distinct one."""
+        chunks = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        firsts = chunks.offsets.to_numpy()
+        flat = chunks.flatten().dictionary_encode()
+        n, numbers = len(flat.dictionary), flat.indices.to_numpy().astype(np.int64)
+        # first chunks stand after no space: they are numbered behind the others and go to the library as they are
+        numbers[firsts[:-1]] = n + np.arange(len(texts))
+        used = np.flatnonzero(np.bincount(numbers, minlength=n)[:n])
+        heads = self._ids([t.split(" ", 1)[0] for t in texts])
+        sizes = np.array([len(x) for x in heads])
+        places = self._places(flat.dictionary.take(pa.array(used)))
+        pool = np.concatenate((self.known.pool, *heads))
+        starts, lengths = np.zeros(n + len(texts), dtype=np.int64), np.zeros(n + len(texts), dtype=np.int64)
+        starts[used], starts[n:] = self.known.starts[places], len(self.known.pool) + np.cumsum(sizes) - sizes
+        lengths[used], lengths[n:] = self.known.lengths[places], sizes
+        out, ends = [], [np.zeros(1, dtype=np.int64)]
+        for a in range(0, len(numbers), GATHERED):
+            part = numbers[a: a + GATHERED]
+            out.append(_gathered(pool, starts[part], lengths[part]).tobytes())
+            ends.append(ends[-1][-1] + np.cumsum(lengths[part]))
+        raw, cuts = b"".join(out), (np.concatenate(ends)[firsts] * np.dtype(self.width).itemsize).tolist()
+        return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if self._odd(t)]
         out: list[bytes | None] = [None] * len(texts)
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = ids
-        rows = []
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                first, *rest = t.split(" ")
-                rows.append((i, first, rest))
-        new = self.known.missing(set().union(*(rest for _, _, rest in rows)))
-        known = self.known.young
-        # letters and digits before one mark are matches of their own, so the library need not see them with every mark
-        marked = {c: c[:-1] for c in new if c[-1:] in self.marks and c[:-1].isalnum()}
-        known.update(self._words(list(self.known.unknown(new.difference(marked).union(marked.values())))))
-        for c, word in marked.items():
-            known[c] = known[word] + self.marks[c[-1]]
-        for (i, _, rest), head in zip(rows, self._whole([first for _, first, _ in rows])):
-            out[i] = head + b"".join(map(known.__getitem__, rest))
+        for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
+            out[i] = ids.tobytes()
+        even = [i for i, ids in enumerate(out) if ids is None]
+        piece = (np.cumsum([len(texts[i]) for i in even], dtype=np.int64) // PIECE).tolist()
+        for _, rows in groupby(zip(piece, even), key=lambda x: x[0]):
+            rows = [i for _, i in rows]
+            for i, ids in zip(rows, self._even([texts[i] for i in rows])):
+                out[i] = ids
         return out
 
 

@@ -90,6 +90,34 @@ def test_chunked_tokenizer_equals_library(text):
     assert np.frombuffer(coder.encode([text])[0], dtype="<u2").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_sees_each_chunk_once(monkeypatch, sentence):
+    coder, given = tokenbin.CachingTokenizer(FILE, "<u2"), []
+    library = coder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    coder.tokenizer = Counting()
+    texts = [f"{sentence(i % 50)} one, two\nthree {i % 7}!" for i in range(400)]
+    same = lambda: [np.frombuffer(x, dtype="<u2").tolist() for x in coder.encode(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+    assert same()
+    heads, chunks = [t.split(" ")[0] for t in texts], {c for t in texts for c in t.split(" ")[1:]}
+    assert sum(map(len, given)) <= sum(map(len, heads)) + sum(len(c) + 1 for c in chunks)
+    given.clear()
+    assert same() and sorted(given) == sorted(heads)
+    # what is let go for want of room is worked out again
+    monkeypatch.setattr(tokenbin, "CACHED_WORDS", 20)
+    monkeypatch.setattr(tokenbin, "PIECE", 3000)
+    assert same() and same()
+    coder.known.age()
+    assert len(coder.known) <= 15
+    monkeypatch.setattr(tokenbin, "CACHED_BYTES", 40)
+    coder.known.age()
+    assert coder.known.words.nbytes <= 100 and same()
+
+
 def test_token_files_round_trip(spark, table, odd_rows, sentence):
     rows = odd_rows + [row(1000 + i * 37 % 500, sentence(i % 60)) for i in range(300)] + [row(20, "<|endoftext|> is text")]
     folder = tokenbin.token_folder(spark)
