@@ -19,15 +19,20 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from smogline.llm.common import Remembered, per_process
+from smogline.llm.common import Remembered, per_process, release
 
 CACHED_WORDS = 150_000      # chunks and words whose ids a task remembers, twice; the rest is worked out again, with the same result
 LASTING_WORDS = 300_000     # the same for a worker that keeps them from task to task
-LONG_CHUNK = 200            # longer chunks are not remembered
-BATCH_BYTES = 16_000_000    # text per round of merges
+LONG_CHUNK = 200            # longer chunks and words are not remembered
+BATCH_BYTES = 16_000_000    # text per batch of rows that goes back to Spark
+ROUND_CHARS = 1_000_000     # characters cut into words at once; a longer text goes piece by piece
+REPLAY_BYTES = 250_000      # bytes of new words merged at once, which take some 200 bytes of memory each
+
+SAFE_CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 # Code points that Unicode versions after 16 made letters or numbers.  The vocabulary's own library, built
 # on version 16, splits them like punctuation.
@@ -179,22 +184,42 @@ class Encoder:
         return text.endswith(" ") or self._white(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        About ``ROUND_CHARS`` characters are in work at a time, so memory beside the ids does not grow with the number of texts nor with
+        their length.
+        """
+        out = []
+        for a, b in _rounds(list(map(len, texts)), ROUND_CHARS):
+            if b - a == 1 and len(texts[a]) > ROUND_CHARS:
+                out.append(b"".join(self._round([piece])[0] for piece in _pieces(texts[a])))
+            else:
+                out += self._round(texts[a:b])
+        return out
+
+    def _round(self, texts: list[str]) -> list[bytes]:
         rows = [[t] if self.odd(t) else _chunks(t) for t in texts]
         fresh = {c: self.split(c) for c in self.chunks.missing(set(chain.from_iterable(rows)))}
         words = list(self.words.missing(set(chain.from_iterable(fresh.values()))))
         known = self.words.young
-        known.update(zip(words, self.vocabulary.replay_packed([w.encode("utf-8", "surrogatepass") for w in words])))
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        for a, b in _rounds(list(map(len, raw)), REPLAY_BYTES):
+            known.update(zip(words[a:b], self.vocabulary.replay_packed(raw[a:b])))
         made = {c: b"".join(map(known.__getitem__, parts)) for c, parts in fresh.items()}
+        _forget_long(known, words)
         known = self.chunks.young
         known.update(made)
         out = [b"".join(map(known.__getitem__, row)) for row in rows]
-        for c in made:
-            if len(c) > LONG_CHUNK:
-                del known[c]
+        _forget_long(known, made)
         return out
 
 
+def _forget_long(known: dict, keys) -> None:
+    for key in keys:
+        if len(key) > LONG_CHUNK:
+            del known[key]
+
+
 def _chunks(text: str) -> list[str]:
     if "\0" not in text:
         return text.replace(" ", "\0 ").split("\0")
@@ -202,27 +227,39 @@ def _chunks(text: str) -> list[str]:
     return [first, *(" " + c for c in rest)]
 
 
-def _rounds(texts: list[str]):
-    """Slices of the texts of about BATCH_BYTES characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _pieces(text: str):
+    """A text cut after every ``ROUND_CHARS`` characters at the next single space between ASCII letters or digits, where the pattern always splits."""
+    start = 0
+    while start < len(text):
+        cut = SAFE_CUT.search(text, start + ROUND_CHARS)
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
+        start = end
+
+
+def _rounds(sizes: list[int], most: int):
+    """Slices of things of these sizes, each of at most ``most`` together or one alone."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total + size > most and i > start:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _encoder(ranks_file: str, keep_ids: bool, lasting: bool):
     def run(batches):
         made = lambda: Encoder(Vocabulary(load_ranks(ranks_file)), remembered=LASTING_WORDS if lasting else CACHED_WORDS)
+        if not lasting:
+            release()       # what an earlier stage kept in this worker
         encoder = per_process(("bpe", ranks_file), made) if lasting else made()
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in _rounds(texts):
+            column = batch.column(batch.num_columns - 1)
+            for a, b in _rounds(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BATCH_BYTES):
                 counts, id_digests, text_digests, all_ids = [], [], [], []
-                for raw in encoder.encode(texts[a:b]):
+                for raw in encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()]):
                     ids = np.frombuffer(raw, dtype="<u4")
                     counts.append(len(ids))
                     id_digests.append(hashlib.sha256(raw).hexdigest())

@@ -90,9 +90,19 @@ def per_process(key: tuple, make: Callable):
 
     A worker that is asked for another key lets the earlier one go: its stage is over.
     """
-    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    kept = _kept()
     if key not in kept:
-        for old in [k for k in kept if isinstance(k, tuple)]:
-            del kept[old]
+        release()
         kept[key] = make()
     return kept[key]
+
+
+def release() -> None:
+    """Lets go of what :func:`per_process` keeps in this Python worker."""
+    kept = _kept()
+    for old in [k for k in kept if isinstance(k, tuple)]:
+        del kept[old]
+
+
+def _kept() -> dict:
+    return sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__

@@ -2,16 +2,18 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings, strategies as st
 from llmdata import row
 from tokenizers import Tokenizer
 
-from smogline.llm import bpe, langid, mainhtml, queries, tokenbin
+from smogline.llm import bpe, common, langid, mainhtml, queries, tokenbin
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 VOCABULARY = bpe.Vocabulary(bpe.load_ranks(RANKS))
@@ -53,6 +55,51 @@ def test_words_are_replayed_packed_and_remembered(monkeypatch):
     assert seen == [2 * bpe.CACHED_WORDS, bpe.CACHED_WORDS]
 
 
+def test_new_words_are_merged_in_bounded_rounds(monkeypatch, sentence):
+    """Many new words, and one long text of any white space, are worked through piece by piece with the library's ids; nothing is replayed twice."""
+    monkeypatch.setattr(bpe, "ROUND_CHARS", 4000, raising=False)
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 1000, raising=False)
+    vocabulary, sizes = bpe.Vocabulary(VOCABULARY.ranks), []
+    replay = vocabulary.replay_packed
+    vocabulary.replay_packed = lambda words: sizes.append(sum(map(len, words))) or replay(words)
+    rng = random.Random(8)
+    new = lambda n: " ".join("".join(rng.choice("abcdefghxyzé漢1") for _ in range(rng.randint(5, 12))) for _ in range(n))
+    long = "".join(f"{new(3)}{rng.choice(['  ', ' ', chr(10) * 2 + ' ', chr(9) + ' ', ' . '])}{sentence(4)}" for _ in range(600))
+    texts = [new(100), "", *(new(60) for _ in range(40)), long, "b" * 9000, long + " ", sentence(20)]
+    encoder = bpe.Encoder(vocabulary)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)] == [PLAIN.encode_ordinary(t) for t in texts]
+    assert len(sizes) > 20 and sorted(sizes)[-2] <= 1000 and max(sizes) == 9000     # a single word is not cut
+    assert max(map(len, [*encoder.words.young, *encoder.chunks.young])) <= bpe.LONG_CHUNK
+    assert list(bpe._rounds([5, 1, 1, 9, 3], 4)) == [(0, 1), (1, 3), (3, 4), (4, 5)] and list(bpe._rounds([], 4)) == []
+
+
+def test_a_batch_of_new_words_takes_little_memory(monkeypatch):
+    """30,000 distinct words in one batch: what is in work at a time stays small."""
+    monkeypatch.setattr(bpe, "ROUND_CHARS", 30_000, raising=False)
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 20_000, raising=False)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(300)) for _ in range(100)]
+    encoder = bpe.Encoder(bpe.Vocabulary(VOCABULARY.ranks), remembered=1000)
+    encoder.vocabulary.replay_packed([" ".join(texts).encode()])        # the table of pairs is filled
+    tracemalloc.start()
+    try:
+        found = encoder.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 15e6, peak
+    assert np.frombuffer(found[7], dtype="<u4").tolist() == PLAIN.encode_ordinary(texts[7])
+
+
+def test_last_stage_lets_go_of_what_earlier_ones_kept():
+    common.per_process(("decontam",), dict)["indexes"] = [1]
+    batch = pa.RecordBatch.from_pydict({"k0": [1, 2, 3], "t": ["a b", None, "c" * 50]})
+    out = [r for b in bpe._encoder(RANKS, True, False)([batch]) for r in b.to_pylist()]
+    assert [r["ids"] for r in out] == [PLAIN.encode_ordinary(t) for t in ("a b", "", "c" * 50)] and [r["k0"] for r in out] == [1, 2, 3]
+    assert common.per_process(("decontam",), dict) == {}
+    common.release()
+
+
 def test_replay_goes_back_to_a_lower_rank():
     """A vocabulary in which a merge opens a pair of lower rank: each word must still take its lowest pair first."""
     single = {bytes([b]): 100 + b for b in range(256)}
