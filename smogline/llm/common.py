@@ -52,6 +52,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_sorting(df: DataFrame) -> DataFrame:
+    """The table, to be joined by sorting and never as a whole in every task.
+
+    Spark judges a table by its files, however many rows an explode or a Python function makes of each of theirs and however well they are
+    packed: what looks like a few megabytes is collected by the driver and may be a hundred times that.
+    """
+    return df.hint("merge")
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of a text's UTF-8 bytes as 32 bytes; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))

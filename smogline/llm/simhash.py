@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from smogline.llm.common import staged
+from smogline.llm.common import by_sorting, staged
 from smogline.llm.components import components
 from smogline.llm.jaccard import five_word_set, joined_groups, signature
 
@@ -100,13 +100,13 @@ def _neighbour_links(prints: DataFrame) -> DataFrame:
     """
     keyed = prints.select("bits", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("bits").bitwiseAND(F.lit(_signed(~(15 << (4 * i)) & (2**64 - 1)))).alias("rest")) for i in range(16)])).alias("k"))
     least = keyed.groupBy("k").agg(F.min("bits").alias("a"), F.max("bits").alias("z")).filter("a != z").select("k", "a")
-    return keyed.join(least, "k").select("a", F.col("bits").alias("b")).filter("a != b").distinct()
+    return by_sorting(keyed).join(least, "k").select("a", F.col("bits").alias("b")).filter("a != b").distinct()
 
 
 def _joined(prints: DataFrame, links: DataFrame) -> DataFrame:
     """(bits, root): the component of each fingerprint under the links."""
     found = components(links)
-    return prints.select("bits").join(found.withColumnRenamed("node", "bits"), "bits", "left").select("bits", F.coalesce("component", "bits").alias("root"))
+    return by_sorting(prints.select("bits")).join(found.withColumnRenamed("node", "bits"), "bits", "left").select("bits", F.coalesce("component", "bits").alias("root"))
 
 
 def link_fingerprints(prints: DataFrame, limit: int = LIMIT, bands: int = BANDS) -> DataFrame:
@@ -122,13 +122,13 @@ def link_fingerprints(prints: DataFrame, limit: int = LIMIT, bands: int = BANDS)
     near = staged(_joined(prints, staged(_neighbour_links(prints), "simhash-stars")), "simhash-near")
     masks = F.array(*[F.struct(F.lit(i).alias("c"), F.col("code").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(_cells(bands, limit))])
     cells = near.withColumn("code", counts_code(F.col("bits"))).select("bits", "root", "code", F.explode(masks).alias("cell"))
-    left, right = cells.alias("l"), cells.alias("r")
+    left, right = by_sorting(cells).alias("l"), cells.alias("r")
     pairs = (left.join(right, (F.col("l.cell") == F.col("r.cell")) & (F.col("l.bits") < F.col("r.bits")) & (F.col("l.root") != F.col("r.root"))
                        & (F.bit_count(F.col("l.code").bitwiseXOR(F.col("r.code"))) <= limit)         # Manhattan distance
                        & (F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits"))) <= limit))        # verified
              .select(F.col("l.root").alias("a"), F.col("r.root").alias("b")).distinct())
     roots = components(pairs).withColumnsRenamed({"node": "root", "component": "top"})
-    return near.join(roots, "root", "left").select("bits", F.coalesce("top", "root").alias("root"))
+    return by_sorting(near).join(roots, "root", "left").select("bits", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,9 +142,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = staged(fingerprints(docs, key, text), "simhash-rows")
     prints = staged(rows.groupBy("bits").agg(F.min("doc_id").alias("first")), "simhash-prints")
     roots = staged(link_fingerprints(prints), "simhash-roots")
-    first = prints.join(roots, "bits").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(first, "root").select("bits", "component_id")
-    return rows.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    first = by_sorting(prints).join(roots, "bits").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = by_sorting(roots).join(first, "root").select("bits", "component_id")
+    return by_sorting(rows).join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _pieces(batches, rows: int = 256):
@@ -191,15 +191,15 @@ def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first")
     texts = staged(rows.groupBy("copy").agg(first, *[F.any_value(c).alias(c) for c in ("bits", "size", "cells", "sketch")]), "near-texts")
     roots = link_fingerprints(staged(texts.select("bits").distinct(), "near-prints"))
-    nodes = staged(texts.join(roots, "bits"), "near-nodes")
+    nodes = staged(by_sorting(texts).join(roots, "bits"), "near-nodes")
 
     def sets_of(copies: DataFrame) -> DataFrame:
-        wanted = nodes.join(copies, "copy", "left_semi").select("copy", F.col("first.doc_id").alias("k"), F.col("first.raw").alias("r"))
+        wanted = by_sorting(nodes).join(copies, "copy", "left_semi").select("copy", F.col("first.doc_id").alias("k"), F.col("first.raw").alias("r"))
         met = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("raw") == F.col("r"))).select("copy", "_text")
         return met.mapInArrow(_sets, "copy bigint, shingles array<bigint>").groupBy("copy").agg(F.any_value("shingles").alias("shingles"))
 
-    named = staged(nodes.join(joined_groups(nodes, sets_of), "root", "left").select("copy", "first", F.coalesce("top", "root").alias("top")), "near-groups")
+    named = staged(by_sorting(nodes).join(joined_groups(nodes, sets_of), "root", "left").select("copy", "first", F.coalesce("top", "root").alias("top")), "near-groups")
     kept = named.groupBy("top").agg(F.min("first").alias("kept"))
-    found = rows.filter("doc_id IS NOT NULL").join(named.join(kept, "top").select("copy", "kept"), "copy")
+    found = rows.filter("doc_id IS NOT NULL").join(by_sorting(by_sorting(named).join(kept, "top").select("copy", "kept")), "copy")
     gone = found.filter((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("raw") != F.col("kept.raw"))).select(F.col("doc_id").alias("_gone"), "raw").distinct()
     return docs.join(gone, (F.col(key) == F.col("_gone")) & (F.xxhash64(F.col(text)) == F.col("raw")), "left_anti")

@@ -11,3 +11,8 @@ EXTRA = ("x",) * 6      # values of columns whose names the operators use themse
 
 def row(doc_id, text, lang="en", source="s"):
     return (doc_id, text, lang, source, None if text is None else len(text), *EXTRA)
+
+
+def sends(df):
+    """Whether the plan, as Spark makes it before anything has run, sends a table whole to every task."""
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()

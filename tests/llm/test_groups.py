@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from llmdata import row
+from llmdata import row, sends
 
 from smogline.llm import components, jaccard, license, sharding, simhash
 
@@ -202,3 +202,14 @@ def test_copies_edited_apart_do_not_meet_pair_by_pair(table, sentence, monkeypat
             break
     assert kept == sorted(set(top)) and len(kept) > 20
     assert made[1] < 4 * len(rows)      # stray texts met all others before
+
+
+def test_cells_and_stars_are_not_sent_to_every_task(spark, monkeypatch):
+    # a row explodes to 16 keys and 35 cells, and Spark takes those tables to be as small as the file of fingerprints
+    made, staged, components = {}, simhash.staged, simhash.components
+    monkeypatch.setattr(simhash, "staged", lambda df, label: made.setdefault(label, df) and staged(df, label))
+    monkeypatch.setattr(simhash, "components", lambda links: made.setdefault(f"links {len(made)}", links) and components(links))
+    prints = spark.createDataFrame([(i << 3,) for i in range(64)], "bits bigint")
+    assert {r["root"] for r in simhash.link_fingerprints(prints).collect()} == {0}
+    pairs = [df for label, df in made.items() if label.startswith("links")][-1]
+    assert "explode" in pairs._jdf.queryExecution().toString() and not sends(pairs) and not sends(made["simhash-stars"])
