@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from smogline.llm.common import staged
+from smogline.llm.common import by_sorting, staged
 
 MIN_LENGTH = 7
 MIN_COUNT = 2
@@ -135,7 +135,7 @@ def near_words(words: DataFrame) -> DataFrame:
     frequency = {r["g"]: r["n"] for r in grams.groupBy("g").agg(F.count("*").alias("n")).collect()}
     kind = "key bigint, word string, n bigint"
     left, right = (words.select("word", "n").mapInArrow(_index(frequency, pivots), kind) for pivots in (True, False))
-    met = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.word") != F.col("r.word")) & (F.levenshtein("l.word", "r.word", 1) == 1))
+    met = by_sorting(left).alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.word") != F.col("r.word")) & (F.levenshtein("l.word", "r.word", 1) == 1))
     both = F.array(F.struct(F.col("l.word").alias("word"), F.col("r.word").alias("near"), F.col("r.n").alias("near_n")),
                    F.struct(F.col("r.word").alias("word"), F.col("l.word").alias("near"), F.col("l.n").alias("near_n")))
     return met.select(F.explode(both).alias("p")).select("p.*").distinct()
@@ -146,7 +146,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     hop = staged(forms.select("word", F.col("form").alias("root")), "spelling-hops")
     while True:
         ahead = hop.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        hop = staged(hop.select("word", "root").join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-hops")
+        hop = staged(by_sorting(hop.select("word", "root")).join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-hops")
         if not hop.filter("moved").limit(1).count():
             return hop.select("word", "root")
 
@@ -160,10 +160,10 @@ def variant_groups(words: DataFrame, factor: int = FORM_FACTOR) -> DataFrame:
     words = staged(words, "spelling-words")
     best = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("b"))
     fits = -F.col("b.m") >= factor * F.col("n")
-    judged = staged(words.join(best, "word", "left").select("word", F.when(fits, F.col("b.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
+    judged = staged(by_sorting(words).join(best, "word", "left").select("word", F.when(fits, F.col("b.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
                                                             F.when(fits, -F.col("b.m")).alias("form_n")), "spelling-forms")
     roots = _roots(judged.filter("form IS NOT NULL"))
-    return judged.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return by_sorting(judged).join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

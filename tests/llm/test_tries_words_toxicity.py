@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from llmdata import row
+from llmdata import row, sends
 from pyspark.sql import functions as F
 
 from smogline.llm import prefixtrie, running, spelling, toxicity
@@ -146,6 +146,14 @@ def test_variants_of_odd_tables(table, odd_rows):
     assert spelling.spelling_variants(table(odd_rows[3:6])).count() == 0
 
 
+def test_index_of_near_words_is_not_sent_to_every_task(spark):
+    # a word makes some thirty index rows, and Spark takes their table to be as small as the one of words
+    words = spark.createDataFrame([("variant", 30), ("varient", 2), ("another", 5)], "word string, n bigint")
+    near = spelling.near_words(words)
+    assert {(r["word"], r["near"]) for r in near.collect()} == {("variant", "varient"), ("varient", "variant")}
+    assert not sends(near) and not sends(spelling.variant_groups(words))
+
+
 def test_forms_are_followed_to_the_last(spark):
     words = [("aaaabbbb", 10_000), ("aaaabbbc", 900), ("aaaabbcc", 80), ("aaaabccc", 7), ("zzzzyyyy", 3)]
     out = {r["word"]: (r["form"], r["root"], r["n_near"]) for r in spelling.variant_groups(spark.createDataFrame(words, "word string, n long")).collect()}
