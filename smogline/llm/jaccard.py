@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from smogline.llm.common import staged
+from smogline.llm.common import by_sorting, staged
 from smogline.llm.components import components
 
 CELLS = 30
@@ -68,7 +68,7 @@ def _alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the groups of those pairs of sets whose similarity is 0.8 or more."""
     left, right = sets.select(F.col("copy").alias("x"), F.col("shingles").alias("xs")), sets.select(F.col("copy").alias("y"), F.col("shingles").alias("ys"))
-    met = pairs.join(left, "x").join(right, "y")
+    met = pairs.join(by_sorting(left), "x").join(by_sorting(right), "y")
     return met.filter(9 * F.size(F.array_intersect("xs", "ys")) >= 4 * (F.size("xs") + F.size("ys"))).select("a", "b").distinct()
 
 
@@ -86,7 +86,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     """
     single = sets.select("copy", F.explode("shingles").alias("shingle"))
     held = single.groupBy("shingle").agg(F.count("*").alias("n"))
-    ordered = single.join(held, "shingle").groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    ordered = by_sorting(single).join(held, "shingle").groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
     first = F.slice("s", 1, F.size("s") - F.ceil(F.size("s") * 4 / 5).cast("int") + 1)
     return ordered.select("copy", F.posexplode(first).alias("place", "at")).filter("at.n > 1").select("copy", "place", "at.shingle")
 
@@ -96,13 +96,13 @@ def _sharing_prefix(texts: DataFrame, sets: DataFrame) -> DataFrame:
 
     Of the texts at one shingle, those of the group that most of them belong to do not meet each other.
     """
-    keyed = staged(_prefixes(sets.join(texts, "copy", "left_semi")).join(texts, "copy"), "near-prefixes")
+    keyed = staged(_prefixes(by_sorting(sets).join(texts, "copy", "left_semi")).join(by_sorting(texts), "copy"), "near-prefixes")
     sizes = keyed.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
-    strays = keyed.join(main, "shingle").filter("root != main").drop("main")
+    strays = by_sorting(keyed).join(main, "shingle").filter("root != main").drop("main")
     left, right = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
     shared = 9 * F.least(left("size") - left("place"), right("size") - right("place")) >= 4 * (left("size") + right("size"))
-    return strays.alias("l").join(keyed.alias("r"), (left("shingle") == right("shingle")) & (left("root") != right("root")) & shared & _alike(left, right))
+    return strays.alias("l").join(by_sorting(keyed).alias("r"), (left("shingle") == right("shingle")) & (left("root") != right("root")) & shared & _alike(left, right))
 
 
 def joined_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -115,22 +115,22 @@ def joined_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -
     """
     cells = nodes.select("copy", "root", F.explode("cells").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("cell")
-    met = staged(cells.join(shared, "cell"), "near-met")
-    live = staged(met.join(nodes.select("copy", "size", "sketch"), "copy"), "near-cells")
+    met = staged(by_sorting(cells).join(shared, "cell"), "near-met")
+    live = staged(by_sorting(met).join(nodes.select("copy", "size", "sketch"), "copy"), "near-cells")
     sets = staged(sets_of(live.select("copy").distinct()), "near-sets")
     fields = ("copy", "root", "size", "sketch")
     # the text that shares cells with the most others is the likeliest to be what the others were made from
-    reach = live.join(live.groupBy("cell").agg(F.count("*").alias("n")), "cell").groupBy("copy").agg(F.sum("n").alias("reach"))
+    reach = by_sorting(live).join(live.groupBy("cell").agg(F.count("*").alias("n")), "cell").groupBy("copy").agg(F.sum("n").alias("reach"))
     middle = F.max_by(F.struct(*fields), F.struct("reach", F.xxhash64("cell", "copy")))
-    centres = staged(live.join(reach, "copy").groupBy("cell").agg(middle.alias("c")), "near-centres")
+    centres = staged(by_sorting(live).join(reach, "copy").groupBy("cell").agg(middle.alias("c")), "near-centres")
     own, centre = (lambda n: F.col(n)), (lambda n: F.col("c")[n])
-    stars = live.join(centres, "cell").filter((own("root") != centre("root")) & _alike(own, centre))
+    stars = by_sorting(live).join(centres, "cell").filter((own("root") != centre("root")) & _alike(own, centre))
     groups = staged(components(_verified(_pairs(stars, own, centre), sets)), "near-stars")
-    grouped = live.join(groups.select(F.col("node").alias("root"), "component"), "root", "left").withColumn("group", F.coalesce("component", "root")).drop("component")
+    grouped = by_sorting(live).join(groups.select(F.col("node").alias("root"), "component"), "root", "left").withColumn("group", F.coalesce("component", "root")).drop("component")
     grouped = staged(grouped, "near-grouped")
-    main = centres.select("cell", F.col("c.copy").alias("copy")).join(grouped.select("cell", "copy", F.col("group").alias("main")), ["cell", "copy"]).select("cell", "main")
-    split = grouped.join(main, "cell").filter("group != main").select("cell").distinct()
-    unlike = grouped.join(split, "cell", "left_semi").select("copy", F.col("group").alias("root"), "size", "sketch").dropDuplicates(["copy"])
+    main = centres.select("cell", F.col("c.copy").alias("copy")).join(by_sorting(grouped.select("cell", "copy", F.col("group").alias("main"))), ["cell", "copy"]).select("cell", "main")
+    split = by_sorting(grouped).join(main, "cell").filter("group != main").select("cell").distinct()
+    unlike = by_sorting(grouped).join(split, "cell", "left_semi").select("copy", F.col("group").alias("root"), "size", "sketch").dropDuplicates(["copy"])
     rest = _sharing_prefix(staged(unlike, "near-unlike"), sets)
     left, right = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
     tops = components(_verified(_pairs(rest, left, right), sets)).withColumnsRenamed({"node": "group", "component": "top"})

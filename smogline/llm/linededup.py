@@ -14,7 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from smogline.llm.common import digest, staged
+from smogline.llm.common import by_sorting, digest, staged
 
 RUN_WORDS = 20          # fewest words of a run of repeated units that is cut
 BOILERPLATE = 0.2       # share of the documents from which a unit is cut even alone
@@ -53,7 +53,7 @@ def _later(units: DataFrame, least: float) -> DataFrame:
     hot, rest = F.broadcast(repeated.filter(F.col("n") > many).select("unit", "first")), repeated.filter(F.col("n") <= many)
     hot_rows = units.join(hot, "unit")
     hot_rows = hot_rows.join(F.broadcast(_common(hot_rows, least)), "unit")
-    usual = units.join(hot, "unit", "left_anti").join(rest.select("unit", "first"), "unit")
+    usual = units.join(hot, "unit", "left_anti").join(by_sorting(rest.select("unit", "first")), "unit")
     if many >= least:       # otherwise no unit below the hot ones can be common
         asked = units.join(rest.filter(F.col("n") >= least).select("unit"), "unit")
         usual = usual.join(_common(asked, least), "unit", "left").withColumn("common", F.coalesce("common", F.lit(False)))

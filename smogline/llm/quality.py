@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from smogline.llm.common import staged, total
+from smogline.llm.common import by_sorting, staged, total
 
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -130,7 +130,7 @@ def learn_rules(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label:
     document teach nothing; without labels the list is empty and rejects nothing.
     """
     votes = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_good"))
-    known = stats.filter(~base_failed()).dropDuplicates([key]).join(votes, key).select(
+    known = stats.filter(~base_failed()).dropDuplicates([key]).join(by_sorting(votes), key).select(
         *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()], (F.col("_good") == 0).cast("int").alias("_bad"),
         (F.pmod(F.xxhash64(key), F.lit(3)) == 0).alias("_prune"))
     known = staged(known, "quality-labelled")

@@ -213,3 +213,14 @@ def test_cells_and_stars_are_not_sent_to_every_task(spark, monkeypatch):
     assert {r["root"] for r in simhash.link_fingerprints(prints).collect()} == {0}
     pairs = [df for label, df in made.items() if label.startswith("links")][-1]
     assert "explode" in pairs._jdf.queryExecution().toString() and not sends(pairs) and not sends(made["simhash-stars"])
+
+
+def test_near_dedup_sends_no_table_of_texts_to_every_task(table, sentence, monkeypatch):
+    made, staged = {}, simhash.staged
+    for module in (simhash, jaccard):
+        monkeypatch.setattr(module, "staged", lambda df, label: made.setdefault(label, df) and staged(df, label))
+    words = sentence(120).split()
+    rows = [row(i, " ".join([*words[:90], *sentence(30).split()])) for i in range(12)] + [row(20 + i, sentence(40)) for i in range(4)]
+    assert simhash.keep_one_per_group(table(rows)).count() >= 5
+    grown = ("near-nodes", "near-met", "near-cells", "near-centres", "near-grouped", "near-prefixes", "near-unlike")    # rows for every cell or shingle
+    assert [label for label in grown if sends(made[label])] == []

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from llmdata import row
+from llmdata import row, sends
 
 from smogline.llm import decontam, linededup, quality
 
@@ -190,3 +190,19 @@ def test_line_dedup_cuts_short_lines_and_wrapped_passages(table, sentence):
     assert out[0]["text"] == rows[0][1] and out[0]["removed"] == []
     for i in (1, 2):        # lines without a word are no repeats
         assert out[i]["text"] == f"{own[i]}\n---\n\n{own[i + 3]}" and [s["line"] for s in out[i]["removed"]] == [3]
+
+
+def test_labels_are_not_sent_to_every_task(spark, table, sentence, monkeypatch):
+    made, staged = {}, quality.staged
+    monkeypatch.setattr(quality, "staged", lambda df, label: made.setdefault(label, df) and staged(df, label))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, quality int")
+    assert quality.judge_quality(table([row(i, sentence(30)) for i in range(8)]), labels).count() == 8
+    assert made["quality-labelled"].count() == 8 and not sends(made["quality-labelled"])
+
+
+def test_only_the_hot_units_are_sent_to_every_task(table, sentence):
+    copy = sentence(40)
+    units = linededup._units(table([row(i, f"{copy}\n{sentence(5)}") for i in range(4)]), "doc_id", "text")
+    plan = linededup._later(units, 100.0)._jdf.queryExecution().logical().toString()
+    # units without the hot ones meet the other repeated ones by sorting
+    assert "strategy=merge" in plan and linededup._later(units, 100.0).count() == 3
