@@ -125,3 +125,18 @@ def test_training_rows_stand_in_even_parts_and_models_predict_once(spark, monkey
     sizes = [r["count"] for r in written["train"].groupBy(F.input_file_name().alias("file")).count().collect()]
     assert sum(sizes) == train.count() > 300 and max(sizes) <= 150 and max(sizes) - min(sizes) <= 10
     assert set(table.inputFiles()) == set(written["scores"].inputFiles()) and table.count() == 3
+
+
+@pytest.mark.parametrize("name, forests, boosted", [("ablation", 0, 3)])
+def test_registered_models_are_fitted_in_their_full_sizes(spark, monkeypatch, name, forests, boosted):
+    fit, asked = models.fit, []
+
+    def quick(df, names, target, estimator, impute=True):
+        asked.append(estimator)
+        return fit(df, names[:3], target, models.estimators()["linear_regression"], impute)
+    monkeypatch.setattr(models, "fit", quick)
+    assert entry.queries()[name](spark, FOLDER).count() in (3, 4)
+    sizes = [(e.getNumTrees(), e.getMaxDepth()) if hasattr(e, "getNumTrees") else (e.getMaxIter(), e.getMaxDepth()) for e in asked if hasattr(e, "getMaxDepth")]
+    assert sorted(sizes) == [(100, 12)] * forests + [(300, 6)] * boosted
+    # rounds of boosting need a folder, else their lineage only grows
+    assert spark.sparkContext.getCheckpointDir()
