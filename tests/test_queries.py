@@ -127,7 +127,7 @@ def test_training_rows_stand_in_even_parts_and_models_predict_once(spark, monkey
     assert set(table.inputFiles()) == set(written["scores"].inputFiles()) and table.count() == 3
 
 
-@pytest.mark.parametrize("name, forests, boosted", [("train_horizons", 0, 4), ("ablation", 0, 3)])
+@pytest.mark.parametrize("name, forests, boosted", [("train_baselines", 6, 6), ("train_horizons", 0, 4), ("ablation", 0, 3)])
 def test_registered_models_are_fitted_in_their_full_sizes(spark, monkeypatch, name, forests, boosted):
     fit, asked = models.fit, []
 
